@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality_rules
 
-MODULES = (mixing,)
+MODULES = (mixing, quality_rules)
 
 
 def queries() -> dict:
