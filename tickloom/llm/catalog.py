@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, packing, quality_rules, token_files
 
-MODULES = (mixing, quality_rules)
+MODULES = (mixing, packing, quality_rules, token_files)
 
 
 def queries() -> dict:
