@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, simhash, token_files
+from . import mixing, packing, quality_rules, simhash, suffix_dedup, token_files
 
-MODULES = (mixing, packing, quality_rules, simhash, token_files)
+MODULES = (mixing, packing, quality_rules, simhash, suffix_dedup, token_files)
 
 
 def queries() -> dict:
