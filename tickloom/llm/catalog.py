@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality_rules, simhash, suffix_dedup, token_files
+from . import chunk_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, token_files, vector_search
 
-MODULES = (mixing, packing, quality_rules, simhash, suffix_dedup, token_files)
+MODULES = (suffix_dedup, token_files, simhash, packing, mixing, chunk_dedup, vector_search, quality_rules)
 
 
 def queries() -> dict:
