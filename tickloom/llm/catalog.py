@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, mixing, packing, quality_rules, simhash, suffix_dedup, token_files, vector_search
+from . import chunk_dedup, hmm_lm, mixing, packing, quality_rules, simhash, suffix_dedup, token_files, vector_search
 
-MODULES = (suffix_dedup, token_files, simhash, packing, mixing, chunk_dedup, vector_search, quality_rules)
+MODULES = (suffix_dedup, token_files, hmm_lm, simhash, packing, mixing, chunk_dedup, vector_search, quality_rules)
 
 
 def queries() -> dict:

@@ -193,8 +193,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     ordered.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids, shard, block) of every document; raises if a checksum is off."""
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, block, doc_id, at, n_tokens, ids) of every document, ``at`` within its block; raises if a checksum is off."""
     model = spark.read.schema("id int, freq int").parquet(f"{path}/model").collect()  # the vocabulary at most
     freq = np.zeros(max((r.id for r in model), default=0) + 1, np.int64)
     for r in model:
@@ -222,9 +222,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     names=names,
                 )
 
-    decoded = blocks.mapInArrow(run, "shard int, block int, doc_id long, at long, n_tokens long, ids binary")
+    return blocks.mapInArrow(run, "shard int, block int, doc_id long, at long, n_tokens long, ids binary")
+
+
+def with_starts(decoded: DataFrame, path: str) -> DataFrame:
+    """Rows of ``read_blocks``, or what was made of them, with start: the ids of all documents before this one."""
     # ids before each block: a running sum over shards, and one over the blocks of each shard
-    sizes = blocks.select("shard", "block", "n_tokens")
+    sizes = decoded.sparkSession.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").select("shard", "block", "n_tokens")
     earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -233,13 +237,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         .join(shards, "shard")
         .select("shard", "block", (F.col("before") + F.col("within")).alias("block_start"))
     )
-    return decoded.join(starts, ["shard", "block"]).select("doc_id", (F.col("block_start") + F.col("at")).alias("start"), "n_tokens", "ids", "shard", "block")
+    return decoded.join(starts, ["shard", "block"]).withColumn("start", F.col("block_start") + F.col("at")).drop("block_start", "at")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, block, doc_id, n_tokens, ids, start) of every document."""
+    return with_starts(read_blocks(spark, path), path)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    # the digest is taken before the join, which then moves no ids
+    digests = read_blocks(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return with_starts(digests, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op2_token_files": op2_token_files}

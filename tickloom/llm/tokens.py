@@ -13,6 +13,7 @@ import json
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import regex
@@ -34,6 +35,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Known(dict):
+    """Places of pieces; a new piece is learnt when it is asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self._learn = learn
+
+    def __missing__(self, piece: str) -> int:
+        return self._learn(piece)
+
+
 class Encoder:
     """Ids of whole texts; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
@@ -52,7 +64,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}  # piece -> its place below
+        self.known = _Known(self._learn)  # piece -> its place below
         self.parts: dict[str, list[int]] = {}  # part of a piece -> ids
         self.flat, self.used = np.zeros(1 << 20, np.int32), 0
         self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
@@ -114,29 +126,17 @@ class Encoder:
         """Ids of all texts in one array, and how many each text has."""
         if len(self.known) > self.most or len(self.parts) > self.most:
             self.clear()
-        places: list[np.ndarray] = []
-        counts = np.zeros(len(texts), np.int64)
         odd: dict[int, list[int]] = {}
-        get = self.known.get
-        sizes = np.zeros(len(texts), np.int64)
-        for n, text in enumerate(texts):
-            pieces = self._split(text)
+        split = [self._split(t) for t in texts]
+        for n, pieces in enumerate(split):
             if pieces is None:
-                odd[n] = self._odd(text)
-                continue
-            at = [get(p) for p in pieces]
-            if None in at:
-                for k, p in enumerate(pieces):
-                    if at[k] is None:
-                        at[k] = get(p)
-                        if at[k] is None:
-                            at[k] = self._learn(p)
-            places.append(np.array(at, np.int64))
-            sizes[n] = len(at)
-        at = np.concatenate(places) if places else np.zeros(0, np.int64)
+                odd[n], split[n] = self._odd(texts[n]), []
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         lengths = self.length[at]
         flat = self.flat[ragged(self.start[at], lengths)]
-        counts = np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=lengths, minlength=len(texts)).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
+        counts = np.diff(ends)
         if odd:
             pieces_of = np.split(flat, np.cumsum(counts)[:-1])
             for n, ids in odd.items():
