@@ -25,8 +25,8 @@ def returns_correlation(a: DataFrame, b: DataFrame, least: int = 20) -> DataFram
     w = Window.orderBy("time")
     both = align(a, b).withColumn("pa", F.lag("a").over(w)).withColumn("pb", F.lag("b").over(w)).where("pa <> 0 and pb <> 0")
     r = both.select((F.col("a") / F.nullif("pa", F.lit(0.0)) - 1).alias("x"), (F.col("b") / F.nullif("pb", F.lit(0.0)) - 1).alias("y"))
-    s = r.agg(F.count("*").alias("n"), F.corr("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
-    return s.select("n", F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.least(F.greatest("c", F.lit(-1.0)), F.lit(1.0))).alias("r"))
+    s = r.agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"))
+    return s.select("n", F.when((F.col("n") >= least) & (F.col("vx") > 0) & (F.col("vy") > 0), F.least(F.greatest(F.col("c") / F.nullif(F.sqrt(F.col("vx") * F.col("vy")), F.lit(0.0)), F.lit(-1.0)), F.lit(1.0))).alias("r"))
 
 
 def correlation_label(r: Column) -> Column:
