@@ -1,9 +1,9 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic classifier gives each document its own evidence: which of the telling words and word
-beginnings it holds, and what its text looks like. Telling features are chosen by counts over all
-labelled documents; the weights are fitted on a bounded sample of them (``SAMPLE`` rows, by hash of the
-id). Then hosts and paths within hosts have a share of good documents each, from the evidence of all
+beginnings it holds, and what its text looks like. It is fitted on a bounded sample of the labelled
+rows (``SAMPLE`` at most, by hash of the id), which is small enough to be sent to all tasks, so that no
+text is shuffled. Then hosts and paths within hosts have a share of good documents each, from the evidence of all
 their documents: a path is shrunk to its host and a host to the corpus, each by a strength estimated
 from how much such shares vary, so that a site with few documents says little. A document's posterior
 odds are its own evidence times the odds of its path without itself.
@@ -144,10 +144,11 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> np.n
     return w
 
 
-def train(labelled: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> tuple[list[bytes], np.ndarray, float]:
-    """Chosen features, weights, and the share of good rows that the constant stands for. labelled: (id, text, good)."""
+def train(labelled: DataFrame, features: int = FEATURES) -> tuple[list[bytes], np.ndarray, float]:
+    """Chosen features, weights, and the share of good rows that the constant stands for. labelled: (id, text, good), a bounded sample."""
     chosen = choose(labelled, features)
-    rows = vectors(labelled, chosen).orderBy(F.xxhash64("id"), "id").limit(sample).toArrow() if chosen else None
+    # rows that repeat an id count each, so the bound holds here by the limit as well
+    rows = vectors(labelled, chosen).orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).toArrow() if chosen else None
     if rows is None or not len(rows):
         return chosen, np.zeros(len(chosen) + LOOKS + 1), 0.5
     x = np.zeros((len(rows), len(chosen) + LOOKS), np.float32)
@@ -217,14 +218,15 @@ def site_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", features: int = FEATURES, sample: int = SAMPLE, keep: list[str] | None = None
 ) -> DataFrame:
     """``docs`` (or its columns ``keep``) with evidence, host_good, path_good, p_good and kept; labels: (id, good)."""
-    known = labels.select(F.col(id_col).alias("id"), F.col("good").cast("boolean").alias("good")).where("id is not null and good is not null")
-    labelled = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(known, F.col("d_id") == F.col("id")).select(F.col("id").cast("long").alias("id"), "text", "good")
-    labelled = materialize(labelled, "labelled")
-    chosen, weights, share = train(labelled, features, sample)
-    if not chosen:
-        share = 0.9
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("good").cast("boolean").alias("good")).where("id is not null and good is not null")
+    known = materialize(known.orderBy(F.xxhash64("id"), "id", "good").limit(sample), "labels")
+    texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
+    # broadcast: ``sample`` rows of two numbers at most
+    labelled = materialize(texts.join(F.broadcast(known), F.col("d_id") == F.col("id")).select("id", "text", "good"), "labelled")
+    chosen, weights, share = train(labelled, features)
     scored = materialize(with_evidence(docs, text_col, chosen, weights, share).select(*(keep or docs.columns), "evidence"), "evidence")
-    return judge(scored, host_col, path_col, share)
+    # without labels there is no evidence, and documents are good unless shown otherwise
+    return judge(scored, host_col, path_col, share if chosen else 0.9)
 
 
 def document_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
