@@ -15,10 +15,10 @@ ROLL = """SELECT symbol, CAST(floor(time / {step}) * {step} AS BIGINT) AS t, fir
  first(close ORDER BY time DESC) AS close, sum(volume) AS volume, sum(buy_volume) AS buy_volume, sum(sell_volume) AS sell_volume FROM ({bars}) GROUP BY 1, 2"""
 
 CELLS = """SELECT CAST(floor(epoch(CAST(l_shipdate AS TIMESTAMP)) / 604800) * 604800000 AS BIGINT) AS ts_ms, CAST(l_quantity AS DOUBLE) AS price,
- 100.0 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'N' AND l_linestatus = 'O'), 0) AS bid,
- 100.0 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'N' AND l_linestatus = 'F'), 0) AS ask,
- 1.0 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'A'), 0) AS buy,
- 1.0 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'R'), 0) AS sell FROM lineitem GROUP BY 1, 2"""
+ CAST(100 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'N' AND l_linestatus = 'O'), 0) AS DOUBLE) AS bid,
+ CAST(100 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'N' AND l_linestatus = 'F'), 0) AS DOUBLE) AS ask,
+ CAST(1 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'A'), 0) AS DOUBLE) AS buy,
+ CAST(1 * coalesce(sum(l_linenumber) FILTER (l_returnflag = 'R'), 0) AS DOUBLE) AS sell FROM lineitem GROUP BY 1, 2"""
 
 
 def trades(by_symbol: bool = True) -> str:

@@ -177,7 +177,7 @@ def depth_zoom_aggregate(spark, d):
 
 
 def _scale(source: str) -> str:
-    return f"SELECT quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.99) AS p99, count(*) AS n, 0.18 AS alpha_min, 0.92 AS alpha_max, 0.5 AS gamma FROM ({source}) WHERE v > 0"
+    return f"SELECT quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.99) AS p99, count(*) AS n, CAST(0.18 AS DOUBLE) AS alpha_min, CAST(0.92 AS DOUBLE) AS alpha_max, CAST(0.5 AS DOUBLE) AS gamma FROM ({source}) WHERE v > 0"
 
 
 @query(_scale(f"SELECT bid AS v FROM ({Q.CELLS})"))
