@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary_array, materialize, table
-from .token_files import tokenize
+from .token_files import id_and_text, token_batches
 
 LENGTH = 2048
 OPEN = 128
@@ -53,8 +53,11 @@ class Windows:
         return window, used
 
 
-def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN) -> DataFrame:
-    """(sequence_id, offset, doc_id, start, length, doc_tokens, ids) per piece of (doc_id, n_tokens, ids)."""
+def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN, read=None) -> DataFrame:
+    """(sequence_id, offset, doc_id, start, length, doc_tokens, ids) per piece of (doc_id, n_tokens, ids).
+
+    ``read`` makes Arrow batches of these columns from those of ``tokens``, if it has others, in the same task.
+    """
     names = [x.split()[0] for x in PIECES.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
     schema = pa.schema(list(zip(names, kinds)))
@@ -69,7 +72,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN) -> D
             cols = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], schema=schema)
 
-        for batch in batches:
+        for batch in read(batches) if read else batches:
             out: list[tuple] = []
             for doc, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 ids = ids.as_py()
@@ -93,7 +96,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN) -> D
         for rows in held.values():
             yield batch_of(rows)
 
-    pieces = materialize(tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, PIECES), "pieces")
+    pieces = materialize(tokens.mapInArrow(run, PIECES), "pieces")
 
     merged_schema = pa.schema([("old", pa.int64()), ("sequence_id", pa.int64()), ("base", pa.int64())])
 
@@ -121,7 +124,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN) -> D
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize and pack: the pieces of all texts, with their ids."""
-    return pack(tokenize(docs, tokenizer_path, end_id, id_col, text_col), length)
+    return pack(id_and_text(docs, id_col, text_col), length, read=lambda b: token_batches(b, tokenizer_path, end_id))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

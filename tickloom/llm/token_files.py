@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -113,21 +114,26 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- the jobs
 
 
-def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, the end id last."""
+def token_batches(batches, tokenizer_path: str, end_id: int):
+    """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text)."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+    code = encoder(tokenizer_path)
+    for batch in batches:
+        column = batch.column(1)
+        sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
+        for i, j in slices(sizes, 1 << 21):
+            ids, n = code.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
+            flat = np.insert(ids, np.cumsum(n), end_id).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n + 1), binary_array(flat, n + 1)], schema=schema)
 
-    def run(batches):
-        code = encoder(tokenizer_path)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            for i, j in slices(sizes, 1 << 21):
-                ids, n = code.encode(texts[i:j])
-                flat = np.insert(ids, np.cumsum(n), end_id).astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n + 1), binary_array(flat, n + 1)], schema=schema)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+
+def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers, the end id last."""
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: token_batches(b, tokenizer_path, end_id), "doc_id long, n_tokens long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> dict[int, int]:

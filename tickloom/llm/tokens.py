@@ -13,6 +13,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -49,7 +50,7 @@ class _Known(dict):
 class Encoder:
     """Ids of whole texts; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,26 +62,30 @@ class Encoder:
         if not self.lowered and (spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel"):
             raise ValueError(f"{path}: not a kind of tokenizer that is known here")
         self.letters, self.most = byte_letters(), most
+        self.parts: dict[str, bytes] = {}  # part of a piece -> ids
         self.clear()
 
     def clear(self) -> None:
         self.known = _Known(self._learn)  # piece -> its place below
-        self.parts: dict[str, list[int]] = {}  # part of a piece -> ids
-        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.length = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.flat, self.start, self.length = array("i"), array("q"), array("q")
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
-            spelled = part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.whole.model.tokenize(spelled)]
+            if part.isalnum() and part.isascii():
+                spelled = part
+            elif part[1:].isalnum() and part.isascii():
+                spelled = self.letters[ord(part[0])] + part[1:]
+            else:
+                spelled = part.encode().decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = array("i", [t.id for t in self.whole.model.tokenize(spelled)]).tobytes()
         return ids
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
         mark = "" if self.lowered or piece[:1] == "\0" else " "
         if self.lowered:
             if not piece.isascii() and max(piece) >= "\u0250":
-                return self.whole.encode(piece, add_special_tokens=False).ids
+                return array("i", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
             piece = unicodedata.normalize("NFC", piece).lower()
         elif not mark:
             piece = piece[1:]
@@ -89,19 +94,14 @@ class Encoder:
             return self._part(mark + piece)
         if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
             return self._part(mark + piece[:-1]) + self._part(piece[-1])
-        return [i for p in (_WORDS if self.lowered else _BYTES).findall(mark + piece) for i in self._part(p)]
+        return b"".join(map(self._part, (_WORDS if self.lowered else _BYTES).findall(mark + piece)))
 
     def _learn(self, piece: str) -> int:
         ids = self._piece(piece)
-        k = len(self.known)
-        if k == len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.length))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start[k], self.length[k] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[piece] = k
+        self.start.append(len(self.flat))
+        self.length.append(len(ids) // 4)
+        self.flat.frombytes(ids)
+        k = self.known[piece] = len(self.start) - 1
         return k
 
     def _strange(self, text: str) -> bool:
@@ -124,30 +124,32 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
-        if len(self.known) > self.most or len(self.parts) > self.most:
+        if len(self.known) > self.most:
             self.clear()
-        odd: dict[int, list[int]] = {}
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        odd: dict[int, np.ndarray] = {}
         split = [self._split(t) for t in texts]
         for n, pieces in enumerate(split):
             if pieces is None:
                 odd[n], split[n] = self._odd(texts[n]), []
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        lengths = self.length[at]
-        flat = self.flat[ragged(self.start[at], lengths)]
+        lengths = np.frombuffer(self.length, np.int64)[at] if len(at) else at
+        flat = np.frombuffer(self.flat, np.int32)[ragged(np.frombuffer(self.start, np.int64)[at], lengths)] if len(at) else np.zeros(0, np.int32)
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
         counts = np.diff(ends)
         if odd:
             pieces_of = np.split(flat, np.cumsum(counts)[:-1])
             for n, ids in odd.items():
-                pieces_of[n], counts[n] = np.array(ids, np.int32), len(ids)
+                pieces_of[n], counts[n] = ids, len(ids)
             flat = np.concatenate(pieces_of)
         return flat.astype(np.int32, copy=False), counts
 
-    def _odd(self, text: str) -> list[int]:
+    def _odd(self, text: str) -> np.ndarray:
         if self.lowered or self._strange(text):
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return [i for p in _BYTES.findall(text) for i in self._part(p)]
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.frombuffer(b"".join(map(self._part, _BYTES.findall(text))), np.int32)
 
 
 _ENCODERS: dict[str, Encoder] = {}
