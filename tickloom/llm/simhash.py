@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices, table, text_bytes
+from .common import materialize, row_key, slices, table, text_bytes
 from .components import components
 
 BITS = 64
@@ -159,14 +159,14 @@ def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """(fp, component_id, links): the classes of (id, fingerprint) rows, each with the smallest id that it reaches."""
+    """(fp, root, component_id, links): the classes of (id, fingerprint) rows, each with the smallest id that it reaches; root tells components apart."""
     classes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first_id")), "classes")
     links = materialize(near_links(classes.select("fp"), crowd), "near-links")
     roots = components(links)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     degree = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("links"))
-    return rooted.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return rooted.join(least, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,11 +177,14 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, and one of rows that repeat it."""
-    rep = simhash_documents(docs, id_col, text_col).select("doc_id", "component_id").where("doc_id <=> component_id").distinct()
-    kept = docs.join(rep.select(F.col("doc_id").alias("__kept_id")), F.col(id_col).eqNullSafe(F.col("__kept_id")))
-    again = Window.partitionBy(id_col).orderBy(F.lit(0))
-    return kept.withColumn("__again", F.row_number().over(again)).where("__again = 1").drop("__again", "__kept_id")
+    """``docs`` with one row of each component: that of the smallest id, or one of those without an id if all are."""
+    printed = materialize(with_fingerprint(docs, text_col, "__print"), "printed")
+    classes = near_duplicates(printed.select(F.col(id_col).alias("doc_id"), F.col("__print").alias("fingerprint")))
+    classes = classes.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
+    kept = printed.join(classes, F.col("__print") == F.col("__fp")).where(F.col(id_col).eqNullSafe(F.col("__least")))
+    # rows that repeat an id; a component has few others left here
+    again = F.row_number().over(Window.partitionBy("__root").orderBy(row_key(id_col, text_col)))
+    return kept.withColumn("__again", again).where("__again = 1").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
