@@ -87,7 +87,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
             for k, text in enumerate(batch.column(0).to_pylist()):
                 for f in _features((text or "").encode().lower()):
                     counts.setdefault(f, [0, 0])[not good[k]] += 1
-                if len(counts) > 1 << 19:
+                if len(counts) > 1 << 18:
                     yield close()
         if counts:
             yield close()
