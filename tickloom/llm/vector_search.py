@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-#: Vectors in a block; a tile's scores then take 32 MB at most.
-QUERY_BLOCK = 1024
+#: Vectors in a block of queries and of candidates, and queries of a tile scored at a time (16 MB of scores).
+QUERY_BLOCK = 4096
 BLOCK = 8192
+ROWS = 512
 
 PACKED = "dim int, n int, ids binary, small binary, scales binary, slack binary, norms binary, floats binary"
 
@@ -83,10 +84,12 @@ def tile_best(q: tuple, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
     """The best k candidates of each query of a tile: places of query and candidate, and scores."""
     qid, q8, qs, ql, qn, qx = q
     cid, c8, cs, cl, cn, cx = c
-    scores = q8.astype(np.float32) @ c8.astype(np.float32).T
+    left, right = q8.astype(np.float32), c8.astype(np.float32).T
     places, found, exact = [], [], []
     for i in range(len(qid)):
-        near = scores[i] * (qs[i] * cs)
+        if i % ROWS == 0:
+            scores = left[i : i + ROWS] @ right
+        near = scores[i % ROWS] * (qs[i] * cs)
         # |q'| <= |q| + what rounding lost; the last term is for the rounding of this arithmetic itself
         slack = ql[i] * cn + (qn[i] + ql[i]) * cl + 1e-12 * qn[i] * cn
         near[cid == qid[i]] = -np.inf
@@ -105,7 +108,9 @@ def tile_best(q: tuple, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``queries`` its k best of ``vectors``; both (id, vector)."""
     c = materialize(blocks(vectors, block).withColumn("c", F.monotonically_increasing_id()), "vector-blocks")
-    q = materialize(blocks(queries, query_block).withColumn("q", F.monotonically_increasing_id()), "query-blocks")
+    # full blocks of queries: each block of candidates is sent once for each of them
+    dealt = queries.repartition(max(1, -(-queries.count() // query_block)))
+    q = materialize(blocks(dealt, query_block).withColumn("q", F.monotonically_increasing_id()), "query-blocks")
     # a tile is a row: the numbers of all query blocks of one length (packed rows, few) are laid to each candidate block
     numbers = q.groupBy("dim").agg(F.collect_list("q").alias("qs"))
     tiles = c.join(numbers, "dim").select("*", F.explode("qs").alias("q")).drop("qs").repartition("q", "c")
