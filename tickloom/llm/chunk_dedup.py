@@ -2,7 +2,8 @@
 
 The gear hash of a place depends on the 32 bytes up to it: each step shifts it by one bit and adds a
 number for the new byte. A chunk may end where the hash's leading bits are zero, so an insertion moves
-the cuts next to it and no others. Chunks are as long as two bounds allow; equal ones (by a 128-bit
+the cuts next to it and no others. Chunks are as long as two bounds allow (the last takes a
+shorter tail with it); equal ones (by a 128-bit
 digest of the bytes) are one chunk, kept where it first starts by document id and place, and removed elsewhere.
 
 Defined cases: a null text is an empty one, without chunks; of rows with one id, repeated or not, the
@@ -69,7 +70,9 @@ def cuts(buf: np.ndarray, offsets: np.ndarray, least: int = LEAST, bits: int = M
         while b - at > most:
             at += most
             ends.append(at - a)
-        if b > at:
+        if ends and b - at < least:
+            ends[-1] = b - a  # a short tail is no chunk of its own: a full stop would repeat everywhere
+        elif b > at:
             ends.append(b - a)
         out.append(ends)
     return out
