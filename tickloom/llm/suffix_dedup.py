@@ -40,6 +40,8 @@ SLICE = 1 << 17
 CROWD = 4096
 #: Strings that start so close share the key by which crowded anchors are dealt again.
 STEP = 16
+#: Rows of texts handled at a time where Python objects are made of them.
+ROWS = 256
 #: Bytes of segments sorted at a time.
 CHUNK = 1 << 18
 
@@ -231,7 +233,8 @@ def _cut(batches, length: int, crowd: int):
     """Cut segments out of their texts; those of crowded anchors in parts of STEP strings."""
     names = ["key", "d1", "d2", "copies", "pkey", "p1", "p2", "off", "bytes"]
     kinds = [pa.int64()] * 8 + [pa.binary()]
-    for batch in batches:
+    # a few hundred rows at a time: the lists of wanted segments are larger as Python objects than as columns
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         buf, offsets = text_bytes(batch.column(0))
         for k, wanted in enumerate(batch.column(1).to_pylist()):
             text = buf[offsets[k] : offsets[k + 1]].tobytes()
@@ -287,7 +290,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     found = materialize(segments(docs, length), "segments")
     digest = F.struct("d1", "d2")
     keys = found.groupBy("key").agg(F.count("*").alias("total"), (F.min(digest) == F.max(digest)).alias("alike")).where("total > 1")
-    shared = materialize(found.join(keys, "key").drop("total"), "shared-segments")
+    # written first: a join of two plain exchanges is one whose hot keys Spark can split
+    shared = materialize(found.join(materialize(keys, "shared-keys"), "key").drop("total"), "shared-segments")
     whole = shared.where("alike").select("doc_id", "row", F.array(F.col("first"), F.col("first") + F.col("n") - 1).alias("starts"))
 
     mixed = shared.where("not alike")
@@ -338,7 +342,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields = [*docs.schema.fields, T.StructField("removed_spans", T.ArrayType(T.LongType())), T.StructField("kept_bytes", T.BinaryType())]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             buf, offsets = text_bytes(batch.column(at))
             spans, kept = [], []
             for k, starts in enumerate(batch.column(starts_at).to_pylist()):
