@@ -114,16 +114,17 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- the jobs
 
 
-def token_batches(batches, tokenizer_path: str, end_id: int):
-    """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text)."""
+def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = False):
+    """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text); ``narrow``: two bytes an id if all ids fit."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     code = encoder(tokenizer_path)
+    kind = np.uint16 if narrow and max(code.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
     for batch in batches:
         column = batch.column(1)
         sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
         for i, j in slices(sizes, 1 << 21):
             ids, n = code.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
-            flat = np.insert(ids, np.cumsum(n), end_id).astype(np.uint32)
+            flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n + 1), binary_array(flat, n + 1)], schema=schema)
 
 
@@ -136,28 +137,36 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     return id_and_text(docs, id_col, text_col).mapInArrow(lambda b: token_batches(b, tokenizer_path, end_id), "doc_id long, n_tokens long, ids binary")
 
 
+def _ids_of(n: int, ids: pa.BinaryScalar) -> np.ndarray:
+    data = ids.as_buffer()
+    return np.frombuffer(data, np.uint16 if data.size == 2 * n else np.uint32)
+
+
 def count_ids(tokens: DataFrame) -> dict[int, int]:
     """How often each id occurs; as many rows as the vocabulary has at most, so the driver may hold them."""
 
     def run(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), np.uint32))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+            n = batch.column(0).to_pylist()
+            if not n:
+                continue
+            got = np.bincount(np.concatenate([_ids_of(k, ids) for k, ids in zip(n, batch.column(1))]))
+            if len(got) > len(total):
+                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+            total[: len(got)] += got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    counted = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r.id: r.n for r in counted.collect()}
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encode all texts in ascending id order into a folder of the format above."""
     spark = docs.sparkSession
-    tokens = materialize(tokenize(docs, tokenizer_path, end_id, id_col, text_col), "token-ids")
+    narrow = id_and_text(docs, id_col, text_col).mapInArrow(lambda b: token_batches(b, tokenizer_path, end_id, True), "doc_id long, n_tokens long, ids binary")
+    tokens = materialize(narrow, "token-ids")
     counts = count_ids(tokens)
     n = np.zeros(max(counts, default=0) + 1, np.int64)
     for k, v in counts.items():
@@ -185,8 +194,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
             return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in row.items()], names=list(row))
 
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(2)):
-                held.append(np.frombuffer(ids.as_buffer(), np.uint32))
+            for doc, n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                held.append(_ids_of(n, ids))
                 docs.append(doc)
                 sizes.append(len(held[-1]))
                 filled += sizes[-1]

@@ -2,7 +2,7 @@
 
 The tokenizers library splits a text into pieces and merges each piece by itself, so a piece has
 the same ids wherever it stands. Natural text repeats its words; each worker therefore keeps the
-ids of pieces that it has met (bounded, cleared when full) and asks the library's model only for
+ids of pieces that it has met (bounded: of two generations the older goes) and asks the library's model only for
 new ones. Whatever the quick split can't promise to cut as the library would (rare white space,
 letters with context rules, the names of special tokens) goes through the library as a whole.
 """
@@ -50,7 +50,7 @@ class _Known(dict):
 class Encoder:
     """Ids of whole texts; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,15 +63,23 @@ class Encoder:
             raise ValueError(f"{path}: not a kind of tokenizer that is known here")
         self.letters, self.most = byte_letters(), most
         self.parts: dict[str, bytes] = {}  # part of a piece -> ids
-        self.clear()
+        self.old_parts: dict[str, bytes] = {}
+        self.turn()
+        self.turn()
 
-    def clear(self) -> None:
+    def turn(self) -> None:
+        """Begin a new generation of pieces; those that are met again come over from the last."""
+        self.old = (self.known, self.flat, self.start, self.length) if hasattr(self, "known") else None
         self.known = _Known(self._learn)  # piece -> its place below
         self.flat, self.start, self.length = array("i"), array("q"), array("q")
 
     def _part(self, part: str) -> bytes:
         ids = self.parts.get(part)
         if ids is None:
+            ids = self.old_parts.get(part)
+            if ids is not None:
+                self.parts[part] = ids
+                return ids
             if part.isalnum() and part.isascii():
                 spelled = part
             elif part[1:].isalnum() and part.isascii():
@@ -97,7 +105,9 @@ class Encoder:
         return b"".join(map(self._part, (_WORDS if self.lowered else _BYTES).findall(mark + piece)))
 
     def _learn(self, piece: str) -> int:
-        ids = self._piece(piece)
+        known, flat, start, length = self.old
+        k = known.get(piece)
+        ids = self._piece(piece) if k is None else flat[start[k] : start[k] + length[k]].tobytes()
         self.start.append(len(self.flat))
         self.length.append(len(ids) // 4)
         self.flat.frombytes(ids)
@@ -125,9 +135,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and how many each text has."""
         if len(self.known) > self.most:
-            self.clear()
+            self.turn()
         if len(self.parts) > self.most:
-            self.parts.clear()
+            self.old_parts, self.parts = self.parts, {}
         odd: dict[int, np.ndarray] = {}
         split = [self._split(t) for t in texts]
         for n, pieces in enumerate(split):
