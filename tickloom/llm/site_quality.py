@@ -18,8 +18,6 @@ count each; an empty table gives an empty result. Other columns pass through.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -124,17 +122,17 @@ def vectors(labelled: DataFrame, chosen: list[bytes]) -> DataFrame:
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> np.ndarray:
-    """Weights (the last is the constant) of a logistic regression, by gradient steps with momentum.
+    """Weights of a logistic regression, by gradient steps with momentum; the last column of ``x`` is all ones.
 
-    Each row's loss counts the same, and the penalty holds the other weights as a normal prior would.
+    Each row's loss counts the same, and the penalty holds all weights but the last as a normal prior would.
+    ``x`` is the driver's largest array, so nothing here copies it.
     """
-    x = np.column_stack([x, np.ones(len(x), np.float32)]).astype(np.float32)
     w = np.zeros(x.shape[1], np.float32)
     w[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     hold = np.full(len(w), penalty, np.float32)
     hold[-1] = 0
     # the step that the curvature of each coordinate's loss bounds, shared by coordinates that come together
-    size = 0.25 * (x * x.sum(axis=1, keepdims=True)).sum(axis=0) + hold + 1e-6
+    size = 0.25 * (x.T @ x.sum(axis=1)) + hold + 1e-6
     v, last = w.copy(), w.copy()
     for k in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
@@ -151,11 +149,12 @@ def train(labelled: DataFrame, features: int = FEATURES) -> tuple[list[bytes], n
     rows = vectors(labelled, chosen).orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE).toArrow() if chosen else None
     if rows is None or not len(rows):
         return chosen, np.zeros(len(chosen) + LOOKS + 1), 0.5
-    x = np.zeros((len(rows), len(chosen) + LOOKS), np.float32)
-    held = rows["features"].to_pylist()
-    x[np.repeat(np.arange(len(rows)), [len(h) for h in held]), list(chain.from_iterable(held))] = 1
-    x[:, len(chosen) :] = np.array(rows["looks"].to_pylist(), np.float32)
-    y = np.array(rows["good"].to_pylist(), np.float32)
+    x = np.zeros((len(rows), len(chosen) + LOOKS + 1), np.float32)
+    held = rows["features"].combine_chunks()
+    x[np.repeat(np.arange(len(rows)), np.diff(held.offsets.to_numpy())), held.flatten().to_numpy()] = 1
+    x[:, len(chosen) : -1] = rows["looks"].combine_chunks().flatten().to_numpy().reshape(-1, LOOKS)
+    x[:, -1] = 1
+    y = rows["good"].to_numpy().astype(np.float32)
     return chosen, fit(x, y, penalty=0.5), float((y.sum() + 1) / (len(y) + 2))
 
 
