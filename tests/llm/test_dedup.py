@@ -39,6 +39,34 @@ def test_suffix_removal(docs, rows, crowd):
         assert bytes(r.kept_bytes) == b"".join(t[a:b] for a, b in zip(e[::2], e[1::2]))
 
 
+def test_no_group_outgrows_the_crowd(spark, monkeypatch):
+    rng = random.Random(6)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    passage = noise(L + 20)
+    texts = [noise(300) + passage + noise(300) for _ in range(40)]
+    crowd = 8
+
+    def bounded(batches, length):
+        from collections import Counter
+
+        from tickloom.llm.suffix_dedup import _sort
+
+        held = list(batches)
+        most = max(Counter(k for b in held for k in b.column(0).to_pylist()).values(), default=0)
+        if most > crowd:
+            raise ValueError(f"{most} segments in one group")
+        yield from _sort(iter(held), length)
+
+    monkeypatch.setattr(suffix_dedup, "_sort", bounded)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.removed_spans for r in suffix_dedup.remove_repeats(d, crowd=crowd).collect()}
+    want = brute_spans([t.encode() for t in texts], L)
+    assert [got[i] for i in range(40)] == want and all(want)
+
+
 def test_two_stage_order_is_the_order_of_prefixes():
     rng = random.Random(1)
     for _ in range(30):

@@ -11,7 +11,9 @@ The segments left meet by anchor. There a suffix array of their strings is built
 sorting: only the suffixes smaller than their successors are sorted directly, the others are induced
 from them by scanning the buckets of first bytes in order; then the common prefixes of neighbours in
 the array tell which strings occur twice. An anchor with very many different segments is dealt again
-by what the strings that start within 16 bytes of each other have in common.
+by what the strings that start within 16 bytes of each other have in common. Where very many different
+parts have that in common too, each of their strings is counted by its own digest, so no group that
+meets in one task has more than ``crowd`` segments.
 
 Defined cases: a null text is an empty one; a text shorter than ``length`` loses nothing; rows that
 repeat others count as occurrences of their own; a null id is an id like any other; an empty table
@@ -285,6 +287,28 @@ def _sort(batches, length: int):
         yield close()
 
 
+def _strings(batches, length: int):
+    """A row for each string of a part; in: (key, d1, d2, copies, bytes), out: (key, d1, d2, copies, at, s1, s2)."""
+    for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+        parts = batch.column(4).to_pylist()
+        n = np.array([len(p) - length + 1 for p in parts])
+        digest = b"".join([hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p, k in zip(parts, n.tolist()) for i in range(k)])
+        d = np.frombuffer(digest, np.int64).reshape(-1, 2)
+        at = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c).take(at) for c in range(4)), pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])],
+            names=["key", "d1", "d2", "copies", "at", "s1", "s2"],
+        )
+
+
+def _counted(parts: DataFrame, length: int) -> DataFrame:
+    """(key, d1, d2, spans): what the suffix arrays give, by counting the strings of each part; equal ones add up before they are moved."""
+    strings = materialize(parts.mapInArrow(lambda b: _strings(b, length), "key long, d1 long, d2 long, copies long, at int, s1 long, s2 long"), "crowded-strings")
+    repeated = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").select("s1", "s2")
+    found = strings.join(materialize(repeated, "repeated-strings"), ["s1", "s2"])
+    return found.groupBy("key", "d1", "d2").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("spans"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, row, starts): first and last start of runs of repeated strings. docs: (doc_id, row, text)."""
     found = materialize(segments(docs, length), "segments")
@@ -309,8 +333,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     cut = materialize(cut, "cut-segments")
     plain = cut.where("off = 0 and key = pkey and d1 = p1 and d2 = p2").select("key", "d1", "d2", "copies", "bytes")
     again = cut.where("not (off = 0 and key = pkey and d1 = p1 and d2 = p2)").groupBy("key", "d1", "d2").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
-    met = plain.unionByName(again).repartition("key").sortWithinPartitions("key", "d1", "d2")
+    # parts of one key that are too many for one suffix array
+    full = cut.where("not (off = 0 and key = pkey and d1 = p1 and d2 = p2)").select("key", "d1", "d2").distinct().groupBy("key").count().where(F.col("count") > crowd)
+    full = materialize(full.select("key"), "full-keys")
+    met = plain.unionByName(again.join(full, "key", "left_anti")).repartition("key").sortWithinPartitions("key", "d1", "d2")
     sorted_ = met.mapInArrow(lambda b: _sort(b, length), "key long, d1 long, d2 long, spans array<int>")
+    sorted_ = sorted_.unionByName(_counted(again.join(full, "key", "left_semi"), length))
     marks = (
         cut.drop("bytes", "copies").join(sorted_, ["key", "d1", "d2"])
         .select(F.col("pkey").alias("key"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), F.transform("spans", lambda x: x + F.col("off")).alias("spans"))
