@@ -71,6 +71,51 @@ def test_splice_prefers(spark):
         align.splice(h, v, 60, "none")
 
 
+def test_splice_of_incoherent_sources(spark):
+    kind = "time long, open double, high double, low double, close double, volume double"
+    h = spark.createDataFrame([(60 * i, 1.0, 1.0, 1.0, 100.0, 1.0) for i in range(5)], kind)
+
+    def live(factor, at=range(3, 8)):
+        return spark.createDataFrame([(60 * i, 1.0, 1.0, 1.0, 100.0 * factor, 1.0) for i in at], kind)
+
+    def got(v, side, **k):
+        return sorted((r.time, r.close, r.origin) for r in align.splice(h, v, 60, diverging=side, **k).collect())
+
+    assert got(live(1.01), "archive") == [(60 * i, 100.0, "archive") for i in range(5)]
+    assert got(live(1.01), "live") == [(60 * i, 101.0, "live") for i in range(3, 8)]
+    assert got(live(1.0005), "archive") == got(live(1.0005), "merge") != got(live(1.01), "archive")
+    assert [r[2] for r in got(live(1.01), "merge")] == ["archive"] * 4 + ["live"] * 4
+    with pytest.raises(ValueError):
+        align.splice(h, live(1.0), 60, diverging="none")
+    row = align.splice_report(h, live(1.0), 60).first()
+    assert tuple(row) == (240, 5, 3, 1, 1, 0, None, None, 420, True)
+    assert tuple(align.splice_report(h, live(1.01), 60, diverging="archive").first()) == (None, 5, 0, 0, 0, 0, None, None, None, False)
+    assert tuple(align.splice_report(h, live(1.0, [7, 8]), 60).first()) == (420, 5, 2, 0, 0, 0, 300, 420, 480, None)
+    # without an archive the live series is all there is
+    assert align.splice(h.limit(0), live(1.0), 60).count() == 5
+
+
+def test_daily_splice_keeps_the_time_of_the_archive(spark):
+    kind = "time long, open double, high double, low double, close double, volume double"
+    h = spark.createDataFrame([(86_400 * i, 1.0, 1.0, 1.0, 5.0, 1.0) for i in range(3)], kind)
+    v = spark.createDataFrame([(86_400 * i + 10_800, 2.0, 2.0, 2.0, 5.0, 1.0) for i in range(2, 4)], kind)
+    assert sorted((r.time, r.open, r.origin) for r in align.splice(h, v, 86_400).collect()) == [(0, 1.0, "archive"), (86_400, 1.0, "archive"), (172_800, 2.0, "live"), (270_000, 2.0, "live")]
+    assert align.splice_report(h, v, 86_400).first().forming == 270_000
+
+
+@pytest.mark.parametrize("name", ["splice_series", "splice_coherence", "splice_incoherent", "splice_report"])
+def test_splices_equal_their_sql(spark, data, name):
+    import duckdb
+
+    from tickloom.plans import catalog
+
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    want = c.execute(catalog.oracle_sql()[name])
+    names = [x[0] for x in want.description]
+    assert sorted(map(str, (tuple(r[k] for k in names) for r in catalog.queries()[name](spark, data).collect()))) == sorted(map(str, want.fetchall()))
+
+
 def test_correlation_needs_twenty(spark):
     def series(n, f):
         return spark.createDataFrame([("A", i, float(f(i))) for i in range(n)], "symbol string, time long, close double")

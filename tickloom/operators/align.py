@@ -67,34 +67,93 @@ def coherence(history: DataFrame, live: DataFrame, period: int, price_tol: float
     stats = both.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("lc") - F.col("hc"))).alias("gap"), F.avg(F.abs("hc")).alias("level"), m.alias("m"), F.array_sort(F.collect_list("r")).alias("rs"))
     stats = stats.withColumn("median_ratio", F.when(F.col("m") > 0, F.element_at("rs", F.floor(F.col("m") / 2).cast("int") + 1)))
     rel = F.col("gap") / F.nullif("level", F.lit(0.0))
-    fine = (F.col("n") == 0) | ((rel <= price_tol) & (F.col("median_ratio").isNull() | F.col("median_ratio").between(0.5, 2)))
+    fine = (F.col("n") == 0) | ((rel.isNull() | (rel <= price_tol)) & (F.col("median_ratio").isNull() | F.col("median_ratio").between(0.5, 2)))
     return stats.select("n", "gap", rel.alias("relative_gap"), "median_ratio", F.coalesce(fine, F.lit(False)).alias("coherent"))
 
 
-def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut") -> DataFrame:
-    """Bars of an archive continued by a live series, one per bucket, with where each came from.
+DAY = 86_400
 
-    Live bars off the archive's usual phase are dropped. ``cut``: live bars older than the archive's last
-    bucket are dropped, and the live bar wins in that bucket; ``live``: live bars win; ``archive``: archive bars win.
-    """
+
+def _on_grid(history: DataFrame, live: DataFrame, period: int, by_bucket: bool) -> DataFrame:
+    """Live bars on the archive's usual phase; all of them where only the bucket counts or there is no archive."""
+    if by_bucket:
+        return live
+    phases = history.groupBy(F.pmod("time", F.lit(period)).alias("phase")).agg(F.count("*").alias("n"), F.min("time").alias("first"))
+    phase = phases.agg(F.min_by("phase", F.struct(-F.col("n"), "first")).alias("phase"))
+    return live.join(F.broadcast(phase)).where(F.col("phase").isNull() | (F.pmod("time", F.lit(period)) == F.col("phase"))).drop("phase")
+
+
+def _buckets(history: DataFrame, live: DataFrame, period: int, precedence: str, diverging: str, by_bucket: bool | None, price_tol: float) -> DataFrame:
+    """A row for each bucket: b, h, v (bars of both sides), last (bucket of the archive), one (the only side taken, or null), coherent (null without common buckets)."""
     if precedence not in ("cut", "live", "archive"):
         raise ValueError(f"unknown precedence {precedence!r}")
+    if diverging not in ("archive", "live", "merge"):
+        raise ValueError(f"unknown side {diverging!r}")
     cols = ["open", "high", "low", "close", "volume"]
     bucket = F.floor(F.col("time") / period).alias("b")
-    phases = history.groupBy(F.pmod("time", F.lit(period)).alias("phase")).agg(F.count("*").alias("n"), F.min("time").alias("first"))
-    phase = phases.orderBy(F.desc("n"), "first").limit(1).select("phase")
-    on_grid = live.withColumn("phase", F.pmod("time", F.lit(period))).join(F.broadcast(phase), "phase", "left_semi")
+    on_grid = _on_grid(history, live, period, period >= DAY if by_bucket is None else by_bucket)
     row = F.struct("time", *cols)
     h = history.groupBy(bucket).agg(F.max_by(row, "time").alias("h"))
     v = on_grid.groupBy(bucket).agg(F.min_by(row, "time").alias("v"))
     last = h.agg(F.max("b").alias("last"))
-    joined = h.join(v, "b", "full_outer").join(F.broadcast(last), F.lit(True), "left")
-    if precedence == "cut":
-        joined = joined.where(F.col("h").isNotNull() | F.col("last").isNull() | (F.col("b") >= F.col("last")))
-        win = F.when((F.col("b") >= F.coalesce("last", "b")) & F.col("v").isNotNull(), F.col("v")).otherwise(F.coalesce("h", "v"))
-        live_won = (F.col("b") >= F.coalesce("last", "b")) & F.col("v").isNotNull()
-    elif precedence == "live":
-        win, live_won = F.coalesce("v", "h"), F.col("v").isNotNull()
-    else:
-        win, live_won = F.coalesce("h", "v"), F.col("h").isNull()
-    return joined.select(win.alias("w"), F.when(live_won, "live").otherwise("archive").alias("origin"), (F.col("h").isNotNull() & F.col("v").isNotNull()).alias("overlap")).select("w.*", "origin", "overlap")
+    verdict = coherence(history, on_grid, period, price_tol).select(F.when(F.col("n") > 0, F.col("coherent")).alias("coherent"))
+    one = F.when(~F.col("coherent") & F.lit(diverging != "merge"), F.lit(diverging)).alias("one")
+    return h.join(v, "b", "full_outer").join(F.broadcast(last), F.lit(True), "left").join(F.broadcast(verdict.select("coherent", one)))
+
+
+def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001) -> DataFrame:
+    """Bars of an archive continued by a live series, one per bucket, with where each came from.
+
+    Live bars off the archive's usual phase are dropped. ``cut``: live bars older than the archive's last
+    bucket are dropped, and the live bar wins in that bucket; ``live``: live bars win; ``archive``: archive bars win.
+    ``diverging``: what is taken where ``coherence`` finds the sources incompatible: ``archive`` or ``live`` alone
+    (half a splice has a step at the seam), or ``merge`` them anyway. ``by_bucket`` (from a day on, if not given):
+    the phase doesn't count, and a live bar that wins keeps the archive's time.
+    """
+    joined = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol)
+    h, v, one = F.col("h"), F.col("v"), F.col("one")
+    late = F.col("last").isNull() | (F.col("b") >= F.col("last"))
+    taken = v.isNotNull() & (late if precedence == "cut" else F.lit(True))
+    live_won = F.when(one == "live", True).when(one == "archive", False).otherwise(taken & h.isNull() if precedence == "archive" else taken)
+    joined = joined.where(F.when(one == "live", v.isNotNull()).when(one == "archive", h.isNotNull()).otherwise(h.isNotNull() | taken))
+    keeps = period >= DAY if by_bucket is None else by_bucket
+    bar = v.withField("time", F.when(one.isNull(), h.getField("time")).otherwise(v.getField("time"))) if keeps else v
+    bar = F.when(one.isNull() & h.isNotNull(), bar).otherwise(v)
+    overlap = one.isNull() & h.isNotNull() & v.isNotNull()
+    return joined.select(F.when(live_won, bar).otherwise(h).alias("w"), F.when(live_won, "live").otherwise("archive").alias("origin"), overlap.alias("overlap")).select("w.*", "origin", "overlap")
+
+
+def splice_report(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001, gap_tol: int = 0) -> DataFrame:
+    """One row on a splice: seam (time of the first live bar used), bars by origin, live bars that overlap, fall to the cut or are off the grid, gap before the seam, the bar still forming, coherent."""
+    j = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol)
+    keeps = period >= DAY if by_bucket is None else by_bucket
+    h, v = F.col("h").isNotNull(), F.col("v").isNotNull()
+    used = v & (F.col("last").isNull() | (F.col("b") >= F.col("last")))
+    taken = used if precedence == "cut" else v
+    archive_time = h if keeps or precedence == "archive" else h & ~taken
+    n = lambda c: F.count(F.when(c, 1))
+    got = j.agg(
+        F.first("one").alias("one"), F.first("coherent").alias("coherent"), n(h).alias("nh"), n(v).alias("nv"), n(h | taken).alias("bars"), n(taken & ~h).alias("fresh"), n(taken & h).alias("both"), n(v & ~taken).alias("cut"),
+        F.min(F.when(used, F.col("v.time"))).alias("first_used"), F.min("v.time").alias("first_live"), F.max("v.time").alias("last_live"),
+        F.max(F.when(h | taken, F.struct("b", used.alias("used"), F.when(archive_time, F.col("h.time")).otherwise(F.col("v.time")).alias("time")))).alias("top"),
+    ).join(F.broadcast(live.agg(F.count("*").alias("given"))))
+    before = history.join(F.broadcast(got.select("first_used"))).where(F.col("time") < F.col("first_used")).agg(F.max("time").alias("before"))
+    one = F.col("one")
+
+    def by_side(archive, live_, merged):
+        return F.when(one == "archive", archive).when(one == "live", live_).otherwise(merged)
+
+    no = F.lit(None).cast("long")
+    gap = one.isNull() & (F.col("first_used") - F.col("before") > period + max(0, gap_tol))
+    return got.join(F.broadcast(before)).select(
+        by_side(no, F.col("first_live"), F.col("first_used")).alias("seam"),
+        by_side(F.col("nh"), F.lit(0), F.col("bars") - F.col("fresh")).cast("long").alias("from_archive"),
+        by_side(F.lit(0), F.col("nv"), F.col("fresh")).cast("long").alias("from_live"),
+        by_side(F.lit(0), F.lit(0), F.col("both")).cast("long").alias("overlapping"),
+        by_side(F.lit(0), F.lit(0), F.col("cut")).cast("long").alias("dropped_by_cut"),
+        (F.col("given") - F.col("nv")).alias("off_grid"),
+        F.when(gap, F.col("before") + period).alias("gap_from"),
+        F.when(gap, F.col("first_used")).alias("gap_to"),
+        by_side(no, F.col("last_live"), F.when(F.col("top.used"), F.col("top.time"))).alias("forming"),
+        "coherent",
+    )

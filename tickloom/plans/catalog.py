@@ -418,7 +418,21 @@ TWO = f"b AS ({Q.bars(3600, False)}), h AS (SELECT * FROM b WHERE time < {CUT}),
  FROM h FULL JOIN (SELECT v.* FROM v, z WHERE v.time >= m) v ON h.time = v.time LEFT JOIN v vv ON vv.time = coalesce(v.time, h.time)"""
 )
 def splice_series(spark, d):
-    return rounded(align.splice(*_two(spark, d, 1.0005), 3600))
+    return rounded(align.splice(*_two(spark, d, 1.0005), 3600, diverging="archive"))
+
+
+@query(f"WITH {TWO} SELECT time, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, 'archive' AS origin, false AS overlap FROM h")
+def splice_incoherent(spark, d):
+    return rounded(align.splice(*_two(spark, d, 1.01), 3600, diverging="archive"))
+
+
+@query(
+    f"""WITH {TWO}, z AS (SELECT max(time) AS m FROM h), s AS (SELECT min(time) AS seam FROM v, z WHERE time >= m), p AS (SELECT max(h.time) AS t FROM h, s WHERE h.time < seam)
+ SELECT seam, (SELECT count(*) FROM h) AS from_archive, (SELECT count(*) FROM v WHERE time > m) AS from_live, (SELECT count(*) FROM v WHERE time = m) AS overlapping, (SELECT count(*) FROM v WHERE time < m) AS dropped_by_cut, 0 AS off_grid,
+ CASE WHEN seam - t > 3600 THEN t + 3600 END AS gap_from, CASE WHEN seam - t > 3600 THEN seam END AS gap_to, (SELECT max(time) FROM v) AS forming, true AS coherent FROM s, p, z"""
+)
+def splice_report(spark, d):
+    return align.splice_report(*_two(spark, d, 1.0005), 3600, diverging="archive")
 
 
 @query(
