@@ -24,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints link, that of the smallest id."""
-    return simhash.keep_one(docs).select(*docs.columns)
+    """One document of each group that fingerprints or a similarity of 0.8 (shingles of five words) link, that of the smallest id."""
+    return simhash.keep_one(docs, similarity=0.8).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

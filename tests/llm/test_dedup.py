@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickloom.llm import chunk_dedup, simhash, suffix_dedup
 from tickloom.llm.components import components
 
@@ -164,6 +165,40 @@ def test_keep_one(docs, spark):
     assert simhash.keep_one(nameless).count() == 4
 
 
+def test_near_copies_of_similarity_08_are_linked(spark):
+    rng = random.Random(8)
+    texts = []
+    for group in range(30):
+        base = [f"v{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for edits in (2, 4, 5, 8, 12):
+            near = list(base)
+            for at in rng.sample(range(200), edits):
+                near[at] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(near))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    prints = [brute_print(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    wide = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            similar = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9
+            near = (prints[i] ^ prints[j]).bit_count() <= 2
+            wide += similar and not near
+            if similar or near:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    assert wide > 20
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [i for i in range(len(texts)) if find(i) == i]
+
+
 GEAR = chunk_dedup.gear_table().tolist()
 
 

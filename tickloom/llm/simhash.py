@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .common import materialize, row_key, slices, table, text_bytes
 from .components import components
+from .near_sets import set_links, with_bands
 
 BITS = 64
 BUDGET = 2
@@ -158,10 +159,12 @@ def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return calm.repartition("block", "head", "sub", "subhead").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(prints: DataFrame, id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
-    """(fp, root, component_id, links): the classes of (id, fingerprint) rows, each with the smallest id that it reaches; root tells components apart."""
+def near_duplicates(prints: DataFrame, id_col: str = "doc_id", crowd: int = CROWD, more=None) -> DataFrame:
+    """(fp, root, component_id, links), with ``more`` (a function of the links) over all links: the classes of (id, fingerprint) rows, each with the smallest id that it reaches; root tells components apart."""
     classes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first_id")), "classes")
     links = materialize(near_links(classes.select("fp"), crowd), "near-links")
+    if more is not None:
+        links = materialize(more(links), "all-links")
     roots = components(links)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -176,10 +179,15 @@ def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return prints.join(classes, prints.fingerprint == classes.fp).select("doc_id", "fp", "component_id", "links")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, or one of those without an id if all are."""
-    printed = materialize(with_fingerprint(docs, text_col, "__print"), "printed")
-    classes = near_duplicates(printed.select(F.col(id_col).alias("doc_id"), F.col("__print").alias("fingerprint")))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, or one of those without an id if all are.
+
+    With ``similarity``, texts are also linked whose sets of shingles of ``words`` words are at least so similar.
+    """
+    printed = with_fingerprint(docs, text_col, "__print")
+    printed = materialize(printed if similarity is None else with_bands(printed, text_col, words), "printed")
+    more = None if similarity is None else lambda links: set_links(printed, links, text_col, words, similarity)
+    classes = near_duplicates(printed.select(F.col(id_col).alias("doc_id"), F.col("__print").alias("fingerprint")), more=more)
     classes = classes.select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), F.col("component_id").alias("__least"))
     kept = printed.join(classes, F.col("__print") == F.col("__fp")).where(F.col(id_col).eqNullSafe(F.col("__least")))
     # rows that repeat an id; a component has few others left here
