@@ -118,13 +118,14 @@ def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = Fals
     """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text); ``narrow``: two bytes an id if all ids fit."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     code = encoder(tokenizer_path)
-    kind = np.uint16 if narrow and max(code.whole.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
+    # the end id may be beyond the vocabulary
+    kind = code.kind if narrow and end_id <= np.iinfo(code.kind).max else np.dtype("<u4")
     for batch in batches:
         column = batch.column(1)
         sizes = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))))
         for i, j in slices(sizes, 1 << 21):
             ids, n = code.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
-            flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
+            flat = np.insert(ids.astype(kind), np.cumsum(n), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n + 1), binary_array(flat, n + 1)], schema=schema)
 
 

@@ -2,8 +2,8 @@
 
 The tokenizers library splits a text into pieces and merges each piece by itself, so a piece has
 the same ids wherever it stands. Natural text repeats its words; each worker therefore keeps the
-ids of pieces that it has met (bounded: of two generations the older goes) and asks the library's model only for
-new ones. Whatever the quick split can't promise to cut as the library would (rare white space,
+ids of pieces that it has met (bounded: of two generations the older goes) and asks the library's model
+only for words that it hasn't. Whatever the quick split can't promise to cut as the library would (rare white space,
 letters with context rules, the names of special tokens) goes through the library as a whole.
 """
 
@@ -14,19 +14,18 @@ import os
 import re
 import unicodedata
 from array import array
-from itertools import chain
 
 import numpy as np
 import regex
 
-from .common import ragged
-
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than ASCII's, and control characters that Python alone counts as such.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: A space after other white space: a run that cutting at spaces would break.
 _RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
+#: White space next to which the end of a line may be no part of its own.
+_NO_LINES = ("\n\n", "\t", "\r", "\x0b", "\x0c")
 
 
 def byte_letters() -> dict[int, str]:
@@ -37,20 +36,28 @@ def byte_letters() -> dict[int, str]:
 
 
 class _Known(dict):
-    """Places of pieces; a new piece is learnt when it is asked for."""
+    """Ids of pieces; a new piece is looked up in the last generation, or learnt, when it is asked for."""
 
-    def __init__(self, learn):
+    def __init__(self, old: dict, learn):
         super().__init__()
-        self._learn = learn
+        self.old, self.learn = old, learn
 
-    def __missing__(self, piece: str) -> int:
-        return self._learn(piece)
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.learn(piece)
+        self[piece] = ids
+        return ids
 
 
 class Encoder:
-    """Ids of whole texts; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``."""
+    """Ids of whole texts; equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
+
+    A piece is a word as it stands between blanks. Of the byte-level kind it has a space before it, or,
+    if it begins with a zero character, none.
+    """
 
-    def __init__(self, path: str, most: int = 350_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,104 +69,72 @@ class Encoder:
         if not self.lowered and (spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel"):
             raise ValueError(f"{path}: not a kind of tokenizer that is known here")
         self.letters, self.most = byte_letters(), most
-        self.parts: dict[str, bytes] = {}  # part of a piece -> ids
-        self.old_parts: dict[str, bytes] = {}
-        self.turn()
-        self.turn()
+        #: Two bytes an id if all ids fit.
+        self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model, self.blank = self.whole.model, self.letters[32]
+        self.known = _Known({}, self._learn)
 
     def turn(self) -> None:
         """Begin a new generation of pieces; those that are met again come over from the last."""
-        self.old = (self.known, self.flat, self.start, self.length) if hasattr(self, "known") else None
-        self.known = _Known(self._learn)  # piece -> its place below
-        self.flat, self.start, self.length = array("i"), array("q"), array("q")
+        self.known.old = {}
+        self.known = _Known(self.known, self._learn)
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _merged(self, spelled: str) -> bytes:
+        return self._pack([t.id for t in self.model.tokenize(spelled)])
 
     def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            ids = self.old_parts.get(part)
-            if ids is not None:
-                self.parts[part] = ids
-                return ids
-            if part.isalnum() and part.isascii():
-                spelled = part
-            elif part[1:].isalnum() and part.isascii():
-                spelled = self.letters[ord(part[0])] + part[1:]
-            else:
-                spelled = part.encode().decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = array("i", [t.id for t in self.whole.model.tokenize(spelled)]).tobytes()
-        return ids
+        """Ids of what the tokenizer's pattern takes as one; kept as those of the piece that it would be."""
+        return self.known[part if self.lowered else part[1:] if part[0] == " " else "\0" + part]
 
-    def _piece(self, piece: str) -> bytes:
-        mark = "" if self.lowered or piece[:1] == "\0" else " "
-        if self.lowered:
-            if not piece.isascii() and max(piece) >= "\u0250":
-                return array("i", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
-            piece = unicodedata.normalize("NFC", piece).lower()
-        elif not mark:
-            piece = piece[1:]
+    def _learn(self, piece: str) -> bytes:
         # most pieces are a word, or a word and one mark; the pattern cuts these the same way
         if piece.isalpha():
-            return self._part(mark + piece)
-        if piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
-            return self._part(mark + piece[:-1]) + self._part(piece[-1])
-        return b"".join(map(self._part, (_WORDS if self.lowered else _BYTES).findall(mark + piece)))
-
-    def _learn(self, piece: str) -> int:
-        known, flat, start, length = self.old
-        k = known.get(piece)
-        ids = self._piece(piece) if k is None else flat[start[k] : start[k] + length[k]].tobytes()
-        self.start.append(len(self.flat))
-        self.length.append(len(ids) // 4)
-        self.flat.frombytes(ids)
-        k = self.known[piece] = len(self.start) - 1
-        return k
+            if piece.isascii() and (not self.lowered or piece.islower()):
+                return self._merged(piece if self.lowered else self.blank + piece)
+        elif piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
+            return self.known[piece[:-1]] + self._part(piece[-1])
+        if self.lowered:
+            if not piece.isascii() and max(piece) >= "\u0250":
+                return self._pack(self.whole.encode(piece, add_special_tokens=False).ids)
+            text = unicodedata.normalize("NFC", piece).lower()
+        else:
+            text = piece[1:] if piece[:1] == "\0" else " " + piece
+        parts = (_WORDS if self.lowered else _BYTES).findall(text)
+        if parts == [text] and (text == piece or not self.lowered):
+            return self._merged(text.encode().decode("latin-1").translate(self.letters))
+        return b"".join(map(self._part, parts))
 
     def _strange(self, text: str) -> bool:
         return any(x in text for x in self.special) or "\0" in text or _ODD_SPACE.search(text) is not None
 
     def _split(self, text: str) -> list[str] | None:
-        """Pieces whose ids can be put one after another; None if the library must see the whole.
-
-        Of the byte-level kind, every piece but the first stands for itself with a space before it.
-        """
+        """Pieces whose ids can be put one after another; None if the library must see the whole."""
         if self._strange(text):
             return None
         if self.lowered:
             return text.split()
         if not text or text[0] == " " or text[-1] == " " or any(x in text for x in _RUNS):
             return None
-        pieces = text.split(" ")
-        pieces[0] = "\0" + pieces[0]
-        return pieces
+        if "\n" in text and not any(x in text for x in _NO_LINES):
+            text = text.replace("\n", " \0\n \0")  # a line's end is a part of its own
+        return ("\0" + text).split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in one array, and how many each text has."""
+        """Ids of all texts in one array of ``kind``, and how many each text has."""
         if len(self.known) > self.most:
             self.turn()
-        if len(self.parts) > self.most:
-            self.old_parts, self.parts = self.parts, {}
-        odd: dict[int, np.ndarray] = {}
-        split = [self._split(t) for t in texts]
-        for n, pieces in enumerate(split):
-            if pieces is None:
-                odd[n], split[n] = self._odd(texts[n]), []
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        lengths = np.frombuffer(self.length, np.int64)[at] if len(at) else at
-        flat = np.frombuffer(self.flat, np.int32)[ragged(np.frombuffer(self.start, np.int64)[at], lengths)] if len(at) else np.zeros(0, np.int32)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
-        counts = np.diff(ends)
-        if odd:
-            pieces_of = np.split(flat, np.cumsum(counts)[:-1])
-            for n, ids in odd.items():
-                pieces_of[n], counts[n] = ids, len(ids)
-            flat = np.concatenate(pieces_of)
-        return flat.astype(np.int32, copy=False), counts
-
-    def _odd(self, text: str) -> np.ndarray:
+        of = self.known.__getitem__
+        split = map(self._split, texts)
+        found = [self._odd(t) if pieces is None else b"".join(map(of, pieces)) for t, pieces in zip(texts, split)]
+        return np.frombuffer(b"".join(found), self.kind), np.fromiter(map(len, found), np.int64, len(found)) // self.kind.itemsize
+
+    def _odd(self, text: str) -> bytes:
         if self.lowered or self._strange(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.int32)
-        return np.frombuffer(b"".join(map(self._part, _BYTES.findall(text))), np.int32)
+            return self._pack(self.whole.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self._part, _BYTES.findall(text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
