@@ -5,8 +5,8 @@ written and any file system that Spark reads will do:
 
 * ``model``: one row per token id with its frequency in 2^20ths, shared by all blocks;
 * ``blocks``: one row per block. A block holds whole documents, in ascending id order, and is coded
-  by itself: 1024 lanes run side by side, symbol i belongs to lane i mod 1024, each lane has a 64-bit
-  state that sheds 32-bit words into one common stream. Every 128 rounds (131,072 symbols) the
+  by itself: 4096 lanes run side by side, symbol i belongs to lane i mod 4096, each lane has a 64-bit
+  state that sheds 32-bit words into one common stream. Every 128 rounds (524,288 symbols) the
   states, the place in the stream and the crc32 of the ids up to the next such point are kept, so
   that readers can start, or check, in the middle.
 
@@ -31,10 +31,10 @@ from .common import binary_array, materialize, scratch, slices, table
 from .tokens import encoder
 
 BITS = 20
-LANES = 1024
+LANES = 4096
 LOW = np.uint64(1 << 31)
 #: Symbols of a block, about: a block ends with the document that reaches it.
-BLOCK = 1 << 18
+BLOCK = 1 << 20
 #: Rounds of all lanes between two checkpoints.
 ROUNDS = 128
 
@@ -90,18 +90,19 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, start: np.ndarray) -> tuple[
 def decode_part(n: int, x: np.ndarray, words: np.ndarray, freq: np.ndarray, start: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     """``n`` ids from the states and the words that follow a checkpoint."""
     out, x, at = np.empty(n, np.int32), x.copy(), 0
-    mask = np.uint64((1 << BITS) - 1)
+    slots, bits, half, low = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32), np.uint64((1 << 32) - 1)
+    both = (freq << half) | start  # one lookup for the two
     for i in range(0, n, LANES):
         y = x[: min(LANES, n - i)]
-        slot = y & mask
+        slot = y & slots
         s = symbol[slot]
         out[i : i + len(s)] = s
-        y = freq[s] * (y >> np.uint64(BITS)) + slot - start[s]
-        need = y < LOW
-        k = int(need.sum())
-        if k:
-            y[need] = (y[need] << np.uint64(32)) | words[at : at + k].astype(np.uint64)
-            at += k
+        of = both[s]
+        y = (of >> half) * (y >> bits) + slot - (of & low)
+        need = np.flatnonzero(y < LOW)
+        if len(need):
+            y[need] = (y[need] << half) | words[at : at + len(need)]
+            at += len(need)
         x[: len(y)] = y
     return out
 

@@ -35,6 +35,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Known(dict):
     """Ids of pieces; a new piece is looked up in the last generation, or learnt, when it is asked for."""
 
@@ -115,7 +123,8 @@ class Encoder:
         if self._strange(text):
             return None
         if self.lowered:
-            return text.split()
+            # letters up to Latin-1 have no other forms and no context rules, so the case can go at once
+            return (text.lower() if text.isascii() or _latin(text) else text).split()
         if not text or text[0] == " " or text[-1] == " " or any(x in text for x in _RUNS):
             return None
         if "\n" in text and not any(x in text for x in _NO_LINES):
