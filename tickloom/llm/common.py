@@ -17,10 +17,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint folder of the session.
 
     ``spark.checkpoint.dir`` names a folder that the driver and all executors share. Where it
-    is unset (local tests), the session's own warehouse folder serves.
+    is unset and Spark runs in one process (tests), the session's own warehouse folder serves.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -30,7 +32,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a looked-up table up to which it is sent to all tasks.
+SMALL = 100_000
+
+
+def small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df``, a written table, marked for broadcast if it has at most ``rows`` rows; they are counted here."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with ``right``, whose ``count`` says how many of the ``total`` rows of left have its key.
+
+    Keys that more than a thousandth of all rows have are fewer than a thousand, so they are sent to all
+    tasks and no task gets such a key's rows; the rest meets in a shuffle. Both should be written tables.
+    """
+    hot = F.broadcast(right.where(F.col(count) * 1000 > total))
+    rest = right.where(F.col(count) * 1000 <= total)
+    return left.join(hot, keys).unionByName(left.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
