@@ -2,9 +2,9 @@
 
 A byte goes if a string of ``length`` bytes around it also starts anywhere else in the corpus. The
 strings (one starts at each byte) are dealt to tasks so that equal ones meet: each string has an
-anchor, the place of its least hash of 128 bytes, and goes with the strings of all texts that have
+anchor, the place of its least hash of some bytes (128 of 400), and goes with the strings of all texts that have
 the same anchor. Runs of strings with one anchor are cut out as segments, and equal segments are
-counted and collapsed before anything is moved, so copies by the thousand cost one row. An anchor
+counted and collapsed before anything is moved, so copies by the thousand cost two rows. An anchor
 that occurs once can be dropped: none of its strings is repeated.
 
 The segments left meet by anchor. There a suffix array of their strings is built by two-stage
@@ -17,7 +17,8 @@ meets in one task has more than ``crowd`` segments.
 
 Defined cases: a null text is an empty one; a text shorter than ``length`` loses nothing; rows that
 repeat others count as occurrences of their own; a null id is an id like any other; an empty table
-gives an empty result. Only the id and text columns are read.
+gives an empty result. Only the id and text columns are read; others pass through, but for those of the
+result's names, which are replaced (names that begin with two underscores are used inside).
 """
 
 from __future__ import annotations
@@ -30,10 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, materialize, ragged, row_key, slices, table, text_bytes
+from .common import discard, join_counted, list_array, materialize, ragged, row_key, slices, table, text_bytes
 
 LENGTH = 400
-GRAM = 128
 #: Bits of a place within a slice of text; the rest of a packed key is the hash.
 PLACE = 21
 #: Bytes that one pass of array operations looks at (small enough for a cache).
@@ -61,10 +61,15 @@ _OF_BYTE = byte_hashes()
 _BASE = 0xD6E8FEB86659FD93
 
 
-def gram_hashes(buf: np.ndarray) -> np.ndarray:
-    """The hash of the GRAM bytes that start at each place."""
+def gram_of(length: int) -> int:
+    """How many bytes an anchor hashes: the largest power of two up to a third of the strings' length."""
+    return 1 << max(0, (length // 3).bit_length() - 1)
+
+
+def gram_hashes(buf: np.ndarray, gram: int) -> np.ndarray:
+    """The hash of the ``gram`` bytes, a power of two, that start at each place."""
     h, n, width, base = _OF_BYTE[buf], len(buf), 1, _BASE
-    while width < GRAM:
+    while width < gram:
         h = h[: n - 2 * width + 1] * np.uint64(base) + h[width : n - width + 1]
         width, base = 2 * width, base * base % (1 << 64)
     h ^= h >> np.uint64(32)
@@ -79,10 +84,11 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     long = np.flatnonzero(sizes >= length)
     if not len(long):
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    h = gram_hashes(buf)
+    gram = gram_of(length)
+    h = gram_hashes(buf, gram)
     low = np.uint64((1 << PLACE) - 1)
     m = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    window, width = length - GRAM + 1, 1
+    window, width = length - gram + 1, 1
     while 2 * width <= window:
         m = np.minimum(m[:-width], m[width:])
         width *= 2
@@ -263,14 +269,17 @@ def _cut(batches, length: int, crowd: int):
 
 
 def _sort(batches, length: int):
-    """Suffix arrays over chunks of whole groups; in: (key, d1, d2, copies, bytes), sorted by key."""
+    """Suffix arrays over chunks of whole groups; in: (key, d1, d2, copies, bytes), sorted by key.
+
+    A segment that stands for several is in the array twice, so that its strings are found there.
+    """
     names = ["key", "d1", "d2", "spans"]
     held: list[tuple] = []
     size = 0
 
     def close():
-        found = repeated_strings([r[4] for r in held], length)
-        spans = [[0, len(f) - 1] if r[3] > 1 else _spans(f) for r, f in zip(held, found)]
+        found = repeated_strings([r[4] for r in held] + [r[4] for r in held if r[3] > 1], length)
+        spans = [_spans(f) for f in found[: len(held)]]
         keep = [i for i, s in enumerate(spans) if s]
         return pa.RecordBatch.from_arrays(
             [*(pa.array([held[i][c] for i in keep], pa.int64()) for c in range(3)), list_array(np.array([x for i in keep for x in spans[i]], np.int32), np.array([len(spans[i]) for i in keep]), pa.int32())], names=names
@@ -312,15 +321,12 @@ def _counted(parts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(doc_id, row, starts): first and last start of runs of repeated strings. docs: (doc_id, row, text)."""
     found = materialize(segments(docs, length), "segments")
-    digest = F.struct("d1", "d2")
-    keys = found.groupBy("key").agg(F.count("*").alias("total"), (F.min(digest) == F.max(digest)).alias("alike")).where("total > 1")
-    # written first: a join of two plain exchanges is one whose hot keys Spark can split
-    shared = materialize(found.join(materialize(keys, "shared-keys"), "key").drop("total"), "shared-segments")
-    whole = shared.where("alike").select("doc_id", "row", F.array(F.col("first"), F.col("first") + F.col("n") - 1).alias("starts"))
+    keys = materialize(found.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"), "shared-keys")
+    shared = materialize(join_counted(found, keys, ["key"], "total", found.count()).drop("total"), "shared-segments")
+    discard(found, keys)
 
-    mixed = shared.where("not alike")
     one = F.min(F.struct("doc_id", "row", "first", "n", "lead")).alias("one")
-    chosen = mixed.groupBy("key", "d1", "d2").agg(F.count("*").alias("copies"), one)
+    chosen = shared.groupBy("key", "d1", "d2").agg(F.count("*").alias("copies"), one)
     kinds = chosen.groupBy("key").agg(F.count("*").alias("kinds"))
     per_text = (
         chosen.join(kinds, "key")
@@ -343,8 +349,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
         cut.drop("bytes", "copies").join(sorted_, ["key", "d1", "d2"])
         .select(F.col("pkey").alias("key"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), F.transform("spans", lambda x: x + F.col("off")).alias("spans"))
     )
-    partly = mixed.join(marks, ["key", "d1", "d2"]).select("doc_id", "row", F.transform("spans", lambda x: x + F.col("first")).alias("starts"))
-    return whole.unionByName(partly).groupBy("doc_id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = shared.join(marks, ["key", "d1", "d2"]).select("doc_id", "row", F.transform("spans", lambda x: x + F.col("first")).alias("starts"))
+    return starts.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
 
 def _removed(starts: list[int] | None, size: int, length: int) -> list[tuple[int, int]]:
@@ -360,8 +366,26 @@ def _removed(starts: list[int] | None, size: int, length: int) -> list[tuple[int
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """``docs`` with removed_spans (array of from, to in bytes) and kept_bytes (the other bytes) per row."""
+def _whole(raw: bytes, edges: list[int]) -> list[int]:
+    """Edges of kept runs (from, to, ...) moved inwards so that none starts or ends within a character of UTF-8."""
+    out = edges[:]
+    for k, at in enumerate(edges):
+        if k % 2 == 0:
+            while at < edges[k + 1] and raw[at] & 0xC0 == 0x80:
+                at += 1
+        elif at < len(raw):
+            while at > out[k - 1] and raw[at] & 0xC0 == 0x80:
+                at -= 1
+        out[k] = at
+    return out
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, whole_characters: bool = False) -> DataFrame:
+    """``docs`` with removed_spans (array of from, to in bytes) and kept_bytes (the other bytes) per row.
+
+    With ``whole_characters``, kept_bytes also loses what a cut within a character leaves of it, so it is UTF-8.
+    """
+    docs = docs.drop("removed_spans", "kept_bytes")
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     texts = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
     spans = repeated_spans(texts, length, crowd).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__key"), F.col("starts").alias("__starts"))
@@ -378,6 +402,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone = _removed(starts, len(raw), length)
                 spans.append([x for ab in gone for x in ab])
                 edge = [0, *spans[-1], len(raw)]
+                if whole_characters and gone:
+                    edge = _whole(raw, edge)
                 kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])))
             own = [c for k, c in enumerate(batch.columns) if k != starts_at]
             yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[f.name for f in fields])
