@@ -8,7 +8,8 @@ digest of the bytes) are one chunk, kept where it first starts by document id an
 
 Defined cases: a null text is an empty one, without chunks; of rows with one id, repeated or not, the
 order is that of a hash of the text, and equal rows count as one place, so both keep what one would; a
-null id comes last in the order of documents; an empty table gives an empty result. Only the id and text columns are read.
+null id comes last in the order of documents; an empty table gives an empty result. Only the id and text columns are read; others
+pass through, but for those of the result's names, which are replaced (names that begin with two underscores are used inside).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, row_key, slices, table, text_bytes
+from .common import join_counted, materialize, row_key, slices, table, text_bytes
 
 LEAST, MEAN_BITS, MOST = 32, 6, 256
 SLICE = 1 << 18
@@ -112,6 +113,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with n_chunks, removed_spans (from, to in bytes) and kept_bytes per row."""
     if least < 32:
         raise ValueError("a chunk must be as long as the hash's window, 32 bytes, at least")
+    docs = docs.drop("n_chunks", "removed_spans", "kept_bytes")
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     texts = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
     cut = materialize(chunks(texts, least, bits, most), "chunks")
@@ -119,7 +121,7 @@ def chunk_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "start")
     first = cut.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min(place).alias("kept")).where("times > 1")
     late = (
-        cut.join(first, ["d1", "d2"])
+        join_counted(cut, materialize(first, "repeated-chunks"), ["d1", "d2"], "times", cut.count())
         .where(~place.eqNullSafe(F.col("kept")))
         .groupBy(F.col("doc_id").alias("__doc"), F.col("row").alias("__key"))
         .agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("__late"))
