@@ -1,16 +1,17 @@
 """Exact nearest neighbours by a block matrix join with int8 tiles.
 
 Vectors are packed in blocks: one row holds some thousands of vectors as int8 with a scale each, and
-as the floats they were. Every block of queries meets every block of candidates in a tile. In a tile
-the int8 product (exact, as all its sums stay far under 2^24) gives each score up to a bound on the
-quantisation error, |q.c - q'.c'| <= |q - q'||c| + |q'||c - c'|. A pair survives if its upper bound
+as the floats they were (in four bytes if that is exact). Every block of queries meets every block of
+candidates in a tile, a task's work of its own. In a tile the int8 product (exact, as it is summed in
+float32 over at most 1024 components at a time, so under 2^24) gives each score up to a bound on the quantisation error, |q.c - q'.c'| <= |q - q'||c| + |q'||c - c'|. A pair survives if its upper bound
 reaches the k-th best lower bound of its query; survivors are computed again in double precision and
 go through a heap of k. The heaps of all tiles of a query are merged the same way.
 
 Defined cases: vectors that are null, zero, or hold a null or a number that is not finite take no
 part; vectors of different length never meet; vectors of no elements take no part; a null id is no
-query but a candidate, last among ties; rows that repeat an id are all candidates, and a query's own
-row is told by its id, so such rows never find each other; an empty table gives an empty result.
+query but a candidate, last among ties; rows that repeat an id are queries and candidates each, and of the
+candidates that equal a query in id and vector one, its own row, is left out, so equal rows find each other;
+an empty table gives an empty result. Other columns than the first two are not allowed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import materialize, table
 QUERY_BLOCK = 4096
 BLOCK = 8192
 ROWS = 512
+#: Components whose int8 products are summed in float32: 127 * 127 * 1024 is under 2^24.
+EXACT = 1024
 
 PACKED = "dim int, n int, ids binary, small binary, scales binary, slack binary, norms binary, floats binary"
 
@@ -51,7 +54,8 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
         small, scale, lost, norm = quantise(x)
         # the largest long stands for a null id
         number = np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-        cells = [number, small, scale, lost, norm, x]
+        short = x.astype(np.float32)
+        cells = [number, small, scale, lost, norm, short if (short == x).all() else x]
         return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], names=names)
 
     def run(batches):
@@ -75,48 +79,56 @@ def blocks(vectors: DataFrame, size: int) -> DataFrame:
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, ...]:
-    n = row["n"]
+    n, dim = row["n"], row["dim"]
     f = lambda k: np.frombuffer(row[k], np.float64)
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["small"], np.int8).reshape(n, -1), f("scales"), f("slack"), f("norms"), f("floats").reshape(n, -1)
+    floats = np.frombuffer(row["floats"], np.float32 if len(row["floats"]) == 4 * n * dim else np.float64).reshape(n, dim)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["small"], np.int8).reshape(n, dim), f("scales"), f("slack"), f("norms"), floats.astype(np.float64)
 
 
-def tile_best(q: tuple, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best k candidates of each query of a tile: places of query and candidate, and scores."""
+def tile_best(q: tuple, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The best k candidates of each query of a tile: places of query and candidate, scores, and whether the two are equal."""
     qid, q8, qs, ql, qn, qx = q
     cid, c8, cs, cl, cn, cx = c
-    left, right = q8.astype(np.float32), c8.astype(np.float32).T
-    places, found, exact = [], [], []
+    parts = [(q8[:, d : d + EXACT].astype(np.float32), c8[:, d : d + EXACT].astype(np.float32).T) for d in range(0, q8.shape[1], EXACT)]
+    places, found, exact, same = [], [], [], []
     for i in range(len(qid)):
         if i % ROWS == 0:
-            scores = left[i : i + ROWS] @ right
+            scores = parts[0][0][i : i + ROWS] @ parts[0][1]
+            for left, right in parts[1:]:
+                scores = scores + (left[i : i + ROWS] @ right).astype(np.float64)
         near = scores[i % ROWS] * (qs[i] * cs)
         # |q'| <= |q| + what rounding lost; the last term is for the rounding of this arithmetic itself
         slack = ql[i] * cn + (qn[i] + ql[i]) * cl + 1e-12 * qn[i] * cn
-        near[cid == qid[i]] = -np.inf
         low = near - slack
         at = np.arange(len(cid)) if len(cid) <= k else np.flatnonzero(near + slack >= np.partition(low, -k)[-k])
-        at = at[cid[at] != qid[i]]
         # one sum over the components in their order, so that equal vectors get equal scores
         score = np.add.accumulate(qx[i] * cx[at], axis=1)[:, -1]
         best = heapq.nsmallest(k, range(len(at)), key=lambda j: (-score[j], cid[at[j]]))
+        own = at[best]
         places += [i] * len(best)
-        found += at[best].tolist()
+        found += own.tolist()
         exact += score[best].tolist()
-    return np.array(places, np.int64), np.array(found, np.int64), np.array(exact, np.float64)
+        same += ((cid[own] == qid[i]) & (cx[own] == qx[i]).all(axis=1)).tolist()
+    return np.array(places, np.int64), np.array(found, np.int64), np.array(exact, np.float64), np.array(same, bool)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): for each of ``queries`` its k best of ``vectors``; both (id, vector)."""
+    spark = vectors.sparkSession
     c = materialize(blocks(vectors, block).withColumn("c", F.monotonically_increasing_id()), "vector-blocks")
     # full blocks of queries: each block of candidates is sent once for each of them
     dealt = queries.repartition(max(1, -(-queries.count() // query_block)))
     q = materialize(blocks(dealt, query_block).withColumn("q", F.monotonically_increasing_id()), "query-blocks")
-    # a tile is a row: the numbers of all query blocks of one length (packed rows, few) are laid to each candidate block
-    numbers = q.groupBy("dim").agg(F.collect_list("q").alias("qs"))
-    tiles = c.join(numbers, "dim").select("*", F.explode("qs").alias("q")).drop("qs").repartition("q", "c")
-    left = [F.col(x).alias(f"q_{x}") for x in ("n", "ids", "small", "scales", "slack", "norms", "floats")]
-    tiles = tiles.join(q.select("q", *left), "q")
-    names = ["query_id", "vec_id", "score"]
+    # a tile is a row: the numbers of all blocks of one length (packed rows, few) are laid to each block of the other side
+    payload = ("n", "ids", "small", "scales", "slack", "norms", "floats")
+    facing = q.groupBy("dim").agg(F.collect_list("q").alias("qs"))
+    left = c.join(facing, "dim").select("*", F.explode("qs").alias("q")).drop("qs")
+    facing = c.groupBy(F.col("dim").alias("q_dim")).agg(F.collect_list("c").alias("cs"))
+    right = q.join(facing, q.dim == F.col("q_dim")).select("q_dim", "q", F.explode("cs").alias("c"), *(F.col(x).alias(f"q_{x}") for x in payload))
+    # a fixed number of tasks: tiles are few bytes and much work, so they shouldn't be put together
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles = left.repartition(tasks, "q", "c").join(right.repartition(tasks, "q", "c"), ["q", "c"])
+    names = ["q", "i", "query_id", "vec_id", "score", "same"]
 
     def run(batches):
         for batch in batches:
@@ -124,18 +136,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, query_block: in
                 row = {n: v[0] for n, v in batch.slice(k_, 1).to_pydict().items()}
                 cand = _unpack(row)
                 quer = _unpack({n[2:]: v for n, v in row.items() if n.startswith("q_")})
-                i, j, s = tile_best(quer, cand, k)
-                yield pa.RecordBatch.from_arrays([pa.array(quer[0][i]), pa.array(cand[0][j]), pa.array(s)], names=names)
+                # one more than asked for, as a query's own row goes at the end
+                i, j, s, same = tile_best(quer, cand, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row["q"])), pa.array(i), pa.array(quer[0][i]), pa.array(cand[0][j]), pa.array(s), pa.array(same)], names=names)
 
-    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = tiles.mapInArrow(run, "q long, i long, query_id long, vec_id long, score double, same boolean")
 
     def merge(key, rows):
-        # at most k rows of each tile of one query
-        vec, score = rows.column("vec_id").to_numpy(), rows.column("score").to_numpy()
-        best = heapq.nsmallest(k, range(len(vec)), key=lambda j: (-score[j], vec[j]))
-        return pa.table({"query_id": pa.array([key[0].as_py()] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), "vec_id": pa.array(vec[best]), "score": pa.array(score[best])})
-
-    best = found.groupBy("query_id").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
+        # at most k + 1 rows of each tile of one query
+        vec, score, same = (rows.column(x).to_numpy() for x in ("vec_id", "score", "same"))
+        best = heapq.nsmallest(k + 1, range(len(vec)), key=lambda j: (-score[j], vec[j], not same[j]))
+        own = [j for j in best if same[j]][:1]
+        best = [j for j in best if j not in own][:k]
+        query = rows.column("query_id")[0].as_py()
+        return pa.table({"query_id": pa.array([query] * len(best), pa.int64()), "rank": pa.array(range(1, len(best) + 1), pa.int32()), "vec_id": pa.array(vec[best]), "score": pa.array(score[best])})
+
+    best = found.groupBy("q", "i").applyInArrow(merge, "query_id long, rank int, vec_id long, score double")
     return best.withColumn("vec_id", F.when(F.col("vec_id") != np.iinfo(np.int64).max, F.col("vec_id")))
 
 
