@@ -5,9 +5,17 @@ never passes ``cap`` times its source's size, and the excess is reshared by weig
 water filling has a closed form: order the sources by ``cap * size / weight``; the capped ones
 are a prefix of that order, and the rest get ``weight * level`` with one common level.
 
+A document of a source with rate r = target / size is taken floor(r) times and once more with
+probability r - floor(r), by a hash of its id, text and the seed. The draws of a source aren't
+independent of each other, which would miss its target by the size of its largest texts: its documents fall
+in classes of about the same size, a class of n gives n * (r - floor(r)) of them, rounded so that
+the sum over the classes from the largest down is never off by one, at a place that a hash of the source sets,
+and those of the least hashes are taken. So each has that probability and the sum stays near the target.
+
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of its
-own, last in order; a source of size 0 has target 0; an empty table gives an empty result;
-repeated rows draw the same copies. Other columns pass through untouched.
+own, last in order; a source of size 0 has target 0 and is not taken; an empty table gives an empty result;
+repeated rows (id and text) draw the same copies. Other columns pass through untouched, but for those of the
+result's names, which are replaced (names that begin with ``__mix`` are used inside).
 """
 
 from __future__ import annotations
@@ -15,14 +23,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, materialize, row_key, small, table
 
 #: Internal columns; chosen not to clash with those of a caller.
 _SRC, _SIZE = "__mix_source", "__mix_size"
 
 
 def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
-    """From (source, size per document) to (source, source_size, weight, target): one row per source."""
+    """From (source, size per document) to (source, source_size, weight, target): one row per source.
+
+    The windows over all sources take one task, which holds for the millions of sources that fit one.
+    """
     totals = sizes.groupBy(_SRC).agg(F.sum(_SIZE).alias("source_size"))
     order = Window.orderBy(F.col(_SRC).asc_nulls_last())
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -53,25 +64,65 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
     )
 
 
+#: Size classes for each doubling of the size, and parts of a class's hashes that are counted apart.
+FINE, BINS = 4, 1024
+RESULT = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def draw_limits(light: DataFrame, seed: int) -> DataFrame:
+    """(source, class, limit): a document of the class is drawn if its hash is ``limit`` at most. light: (source, class, hash, rate).
+
+    The hash of the right rank is found by counting: of parts of the hashes first, then within one part, so no
+    class is ever sorted as a whole.
+    """
+    group = [_SRC, "__mix_class"]
+    part = F.shiftrightunsigned("__mix_hash", 42)
+    counted = materialize(light.groupBy(*group, part.alias("part")).agg(F.count("*").alias("n"), F.first("__mix_rate").alias("rate")), "mix-parts")
+    classes = counted.groupBy(*group).agg(F.sum("n").alias("n"), F.first("rate").alias("rate"))
+    larger = Window.partitionBy(_SRC).orderBy(F.desc("__mix_class"))
+    offset = F.shiftrightunsigned(F.xxhash64(F.col(_SRC), F.lit(seed), F.lit("offset")), 12) / F.lit(float(1 << 52))
+    fraction = F.col("rate") - F.floor("rate")
+    upto = F.sum("n").over(larger)
+    taken = F.floor(upto * fraction + offset) - F.floor((upto - F.col("n")) * fraction + offset)
+    classes = classes.withColumn("m", taken).where("m > 0").select(F.col(_SRC).alias("c_src"), F.col("__mix_class").alias("c_class"), "m")
+    so_far = F.sum("n").over(Window.partitionBy(*group).orderBy("part"))
+    at = counted.withColumn("upto", so_far).join(classes, F.col(_SRC).eqNullSafe(F.col("c_src")) & (F.col("__mix_class") == F.col("c_class")))
+    at = at.where((F.col("upto") - F.col("n") < F.col("m")) & (F.col("m") <= F.col("upto")))
+    at = materialize(at.select("c_src", "c_class", F.col("part").alias("c_part"), (F.col("m") - F.col("upto") + F.col("n")).alias("m")), "mix-places")
+    within = light.withColumn("__mix_part", part).join(small(at), F.col(_SRC).eqNullSafe(F.col("c_src")) & (F.col("__mix_class") == F.col("c_class")) & (F.col("__mix_part") == F.col("c_part")))
+    hashes = within.groupBy("c_src", "c_class", "__mix_hash").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+    reached = hashes.withColumn("upto", F.sum("n").over(Window.partitionBy("c_src", "c_class").orderBy("__mix_hash"))).where("upto >= m")
+    return reached.groupBy("c_src", "c_class").agg(F.min("__mix_hash").alias("__mix_limit"))
+
+
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, seed: int = 17
 ) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies.
-
-    A document of a source with repetition rate r = target / size is taken floor(r) times, and
-    once more if a hash of its id and the seed, seen as a number in [0, 1), is under r - floor(r).
-    """
-    sized = docs.withColumn(_SIZE, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")).withColumn(
-        _SRC, F.col(source_col)
+    """``docs`` with mix_size, mix_source_size, mix_target and mix_copies."""
+    # 52 bits of the hash
+    draw = F.shiftrightunsigned(F.xxhash64(row_key(id_col, text_col), F.lit(seed)), 12)
+    sized = (
+        docs.drop(*RESULT)
+        .withColumn(_SIZE, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+        .withColumn(_SRC, F.col(source_col))
+        .withColumn("__mix_class", F.floor(F.log2(F.col(_SIZE) + F.lit(1.0)) * FINE).cast("int"))
+        .withColumn("__mix_hash", draw)
     )
-    targets = source_targets(sized.select(_SRC, _SIZE), cap)
-    t = targets.select(F.col(_SRC).alias("__mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    joined = sized.join(t, F.col(_SRC).eqNullSafe(F.col("__mix_key")))
+    light = materialize(sized.select(_SRC, _SIZE, "__mix_class", "__mix_hash"), "mix-sizes")
+    t = source_targets(light, cap).select(F.col(_SRC).alias("__mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.lit(cap), F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0.0))
-    # 52 bits of the hash make a double in [0, 1) without rounding
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit(seed)), 12) / F.lit(float(1 << 52))
-    copies = (F.floor(rate) + F.when(u < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return joined.withColumn("mix_copies", copies).withColumnRenamed(_SIZE, "mix_size").drop(_SRC, "__mix_key")
+    t = materialize(t.withColumn("__mix_rate", rate), "mix-targets")
+    # sources, and their classes, as few as counted there go to all tasks, so that no text moves
+    limits = draw_limits(light.join(small(t), F.col(_SRC).eqNullSafe(F.col("__mix_key"))), seed)
+    both = materialize(
+        light.select(_SRC, "__mix_class").distinct().join(small(t), F.col(_SRC).eqNullSafe(F.col("__mix_key")))
+        .join(limits, F.col(_SRC).eqNullSafe(F.col("c_src")) & (F.col("__mix_class") == F.col("c_class")), "left")
+        .select("__mix_key", F.col("__mix_class").alias("__mix_of"), "mix_source_size", "mix_target", "__mix_rate", "__mix_limit"),
+        "mix-limits",
+    )
+    joined = sized.join(small(both), F.col(_SRC).eqNullSafe(F.col("__mix_key")) & (F.col("__mix_class") == F.col("__mix_of")))
+    more = F.when(F.col("__mix_hash") <= F.col("__mix_limit"), 1).otherwise(0)
+    return joined.withColumn("mix_copies", (F.floor("__mix_rate") + more).cast("int")).select(*[c for c in docs.columns if c not in RESULT], F.col(_SIZE).alias("mix_size"), *RESULT[1:])
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
@@ -79,7 +130,7 @@ def emit_copies(mixed: DataFrame) -> DataFrame:
     return (
         mixed.where("mix_copies > 0")
         .withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
-        .drop("__mix_copy", "mix_size", "mix_source_size", "mix_target", "mix_copies")
+        .drop("__mix_copy", *RESULT)
     )
 
 
