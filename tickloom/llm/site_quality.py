@@ -13,7 +13,9 @@ In the documents table, which has no addresses, the host is the source and the p
 Defined cases: a null or empty text has no words and is judged by its looks; a null host or path is one of
 its own; labels that are null, or of unknown documents, don't count; if a document has several labels,
 each counts; without labels the evidence is nil and all documents are kept; rows that repeat each other
-count each; an empty table gives an empty result. Other columns pass through.
+count each; an empty table gives an empty result. Other columns pass through, but for those of the result's
+names, which are replaced (names that begin with two underscores are used inside). Labelled rows that repeat an
+id are used up to twice the sample's bound.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, materialize, slices, table, text_bytes
+from .common import list_array, materialize, slices, small, table, text_bytes
 from .quality_rules import measure
 
 #: Features of words, labelled rows that weights are fitted on, and documents that a feature is in at least.
@@ -200,8 +202,9 @@ def judge(scored: DataFrame, host_col: str, path_col: str, share: float, thresho
     overall = float(np.clip((whole.p + 1) / (whole.n + 2), 1e-3, 1 - 1e-3)) if whole.n else share
     of_host, of_path = _strength(hosts, overall), _strength(paths, overall)
     hosts = hosts.select(F.col("__host").alias("__h"), ((F.col("p") + of_host * overall) / (F.col("n") + of_host)).alias("host_good"))
-    sites = paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).select("__host", "__path", F.col("n").alias("__n"), F.col("p").alias("__p"), "host_good")
-    joined = scored.join(sites, F.col(host_col).eqNullSafe(F.col("__host")) & F.col(path_col).eqNullSafe(F.col("__path")))
+    sites = materialize(paths.join(hosts, F.col("__host").eqNullSafe(F.col("__h"))).select("__host", "__path", F.col("n").alias("__n"), F.col("p").alias("__p"), "host_good"), "sites")
+    # sites as few as counted there go to all tasks, so that no text moves and a hot site's rows stay where they are
+    joined = scored.join(small(sites), F.col(host_col).eqNullSafe(F.col("__host")) & F.col(path_col).eqNullSafe(F.col("__path")))
     others = (F.col("__p") - p + of_path * F.col("host_good")) / (F.col("__n") - 1 + of_path)
     others = F.least(F.greatest(others, F.lit(1e-3)), F.lit(1 - 1e-3))
     odds = F.col("evidence") + F.log(others / (1 - others))
@@ -217,6 +220,7 @@ def site_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", features: int = FEATURES, sample: int = SAMPLE, keep: list[str] | None = None
 ) -> DataFrame:
     """``docs`` (or its columns ``keep``) with evidence, host_good, path_good, p_good and kept; labels: (id, good)."""
+    docs = docs.drop("evidence", "host_good", "path_good", "p_good", "kept")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("good").cast("boolean").alias("good")).where("id is not null and good is not null")
     known = materialize(known.orderBy(F.xxhash64("id"), "id", "good").limit(sample), "labels")
     texts = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
