@@ -7,8 +7,9 @@ class, which leaves one share for words not seen. Both together are a distributi
 
 The number of classes and states is a parameter, so tables that go to every task are bounded;
 counts of words are not, and stay in Spark tables that grow with the corpus and are joined. Training
-counts every token of the training rows; for Baum-Welch (not for scores) sequences are cut in windows.
-Scores come from the forward recursion over whole texts, scaled at each step, which is exact.
+counts every token of the training rows; for Baum-Welch (not for scores) sequences are cut in windows of
+128, which loses one transition in 128 and counts the state after each cut as a start. Scores come from the forward recursion over whole texts, scaled at each step, which is exact; it takes a step
+a word, so the longest text of a batch says how long the batch takes.
 
 Defined cases: a null text is an empty one, whose only token is its end; a null id counts as the empty
 text when rows are split; rows that repeat each other count each and get equal scores; an empty table
@@ -247,9 +248,9 @@ def _windows(cells, end: int):
         seq = np.append(np.frombuffer(cell, np.uint16), np.uint16(end))
         for i in range(0, len(seq), WINDOW):
             held.append(seq[i : i + WINDOW])
-        if len(held) >= 2048:
-            yield close()
-            held = []
+            if len(held) == 2048:
+                yield close()
+                held = []
     if held:
         yield close()
 
