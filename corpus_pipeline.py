@@ -17,40 +17,68 @@ from tickloom.llm.common import materialize, table
 ORACLE_SQL = None
 
 
+#: Bytes of a string that stage 3 looks for. A passage of more than 50 words is as long in all four
+#: languages of the documents (their 50 words take 254 bytes at least, 400 in the mean).
+PASSAGE = 240
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """The columns under names that no operator gives to a column of its own."""
+    return docs.select(*(F.col(f"`{c}`").alias(f"own_{c}") for c in docs.columns))
+
+
+def _back(found: DataFrame, docs: DataFrame, **new) -> DataFrame:
+    return found.select(*(new.get(c, F.col(f"`own_{c}`")).alias(c) for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good."""
-    judged = site_quality.site_quality(docs, site_quality.document_labels(spark, sf_dir))
-    return judged.where("kept").select(*docs.columns)
+    """Documents that the classifier takes for good.
+
+    A null or empty text is judged by its looks, a null source or language is a site of its own, rows that
+    repeat an id are judged each, and without labels or documents all that there is stays.
+    """
+    labels = site_quality.document_labels(spark, sf_dir).withColumnRenamed("doc_id", "own_doc_id")
+    judged = site_quality.site_quality(_own(docs), labels, "own_doc_id", "own_text", "own_source", "own_lang")
+    return _back(judged.where("kept"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that fingerprints or a similarity of 0.8 (shingles of five words) link, that of the smallest id."""
-    return simhash.keep_one(docs, similarity=0.8).select(*docs.columns)
+    """One document of each group that fingerprints or a similarity of 0.8 (shingles of five words) link, that of the smallest id.
+
+    Null, empty and blank texts are one group; of a group without any id, one row stays; of rows that
+    repeat the smallest id, one stays.
+    """
+    return _back(simhash.keep_one(_own(docs), "own_doc_id", "own_text", similarity=0.8), docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 400-byte strings that start elsewhere too.
+    """Texts without the strings of ``PASSAGE`` bytes that start elsewhere too.
 
-    A cut may fall within a character; what is left of one is dropped. Texts of which nothing is left go.
+    A cut may fall within a character, which then goes as a whole. Texts of which nothing is left go; null,
+    empty and shorter texts stay as they are.
     """
-    cut = suffix_dedup.remove_repeats(docs)
-    text = F.when(F.size("removed_spans") == 0, F.col("text")).otherwise(_whole_characters(F.col("kept_bytes")))
-    cut = cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.where((F.size("removed_spans") == 0) | (F.length("text") > 0)).select(*docs.columns)
-
-
-def _whole_characters(data):
-    """Bytes as text; bytes that are no whole character (a replacement mark each) are left out."""
-    return F.replace(F.try_validate_utf8(F.make_valid_utf8(data.cast("string"))), F.lit("�"), F.lit(""))
+    cut = suffix_dedup.remove_repeats(_own(docs), "own_doc_id", "own_text", length=PASSAGE, whole_characters=True)
+    touched = F.size("removed_spans") > 0
+    text = F.when(touched, F.decode("kept_bytes", "UTF-8")).otherwise(F.col("own_text"))
+    cut = cut.where(~touched | (F.octet_length("kept_bytes") > 0)).withColumn("__text", text)
+    n_chars = F.when(touched, F.length("__text").cast("long")).otherwise(F.col("own_n_chars"))
+    return _back(cut, docs, text=F.col("__text"), n_chars=n_chars)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of its sources takes it."""
-    return mixing.emit_copies(mixing.mix_sources(docs)).select(*docs.columns)
+    """Each document as often as the mix of its sources takes it.
+
+    Null and empty texts have no words, so their source's rate holds for them too; a null source is one of
+    its own; a source without words goes; rows that repeat each other are taken alike.
+    """
+    return _back(mixing.emit_copies(mixing.mix_sources(_own(docs), "own_doc_id", "own_text", "own_source")), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of up to 2048 ids: a row for each piece of a document."""
+    """Sequences of up to 2048 ids: a row for each piece of a document.
+
+    A null or empty text has just its end id; null ids and rows that repeat each other are packed like others.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
 
 
