@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, materialize, text_bytes
+from .common import discard, list_array, materialize, text_bytes
 from .components import components
 
 BANDS, ROWS = 30, 5
@@ -95,16 +95,24 @@ def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, s
     alike = seen.join(stands.select("__set", "fp"), "__set").where("fp <> __print").select(F.col("fp").alias("a"), F.col("__print").alias("b"))
     links = materialize(links.unionByName(alike), "near-links")
 
-    def apart(members: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components: (band, set, size, fp, root)."""
-        rooted = materialize(members.join(components(links), members.fp == F.col("node"), "left").select("band", "set", "size", "fp", F.coalesce("root", "fp").alias("root")), "members")
-        several = rooted.groupBy("band").agg((F.min("root") < F.max("root")).alias("several"), F.min("set").alias("leader")).where("several").select("band", "leader")
-        return materialize(rooted.join(materialize(several, "buckets"), "band"), "apart")
+    def rooted(members: DataFrame) -> DataFrame:
+        """Members with the root of their fingerprint's component."""
+        return members.join(components(links), members.fp == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+    def apart(members: DataFrame, again: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components, with a leader each: (band, set, size, fp, root). ``again``: what to delete then."""
+        several = members.groupBy("band").agg((F.min("root") < F.max("root")).alias("several"), F.min("set").alias("leader")).where("several").select("band", "leader")
+        several = materialize(several, "buckets")
+        found = materialize(members.join(several, "band"), "apart")
+        discard(several, again)
+        return found
 
     def near_size(x, y):
         return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
 
-    here = apart(stands.select(F.explode("bands").alias("band"), F.col("__set").alias("set"), "size", "fp"))
+    # roots are found by set, before a set has a row for each of its bands
+    sets = materialize(rooted(stands.withColumnRenamed("__set", "set")), "rooted-sets")
+    here = apart(sets.select(F.explode("bands").alias("band"), "set", "size", "fp", "root"), sets)
     wanted = materialize(here.select("set").distinct(), "wanted")
     texts = printed.select("__set", F.col(text_col).alias("text")).join(wanted, F.col("__set") == F.col("set"), "left_semi").groupBy("__set").agg(F.first("text").alias("text"))
 
@@ -120,7 +128,10 @@ def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, s
     tried = materialize(pairs.select("a", F.col("set").alias("b"), "fa", F.col("fp").alias("fb")).distinct(), "pairs")
     links = materialize(links.unionByName(_similar(tried, sets, similarity)), "near-links")
 
-    here = apart(here.drop("root", "leader"))
+    before = here
+    members = materialize(rooted(here.drop("root", "leader")), "members")
+    here = apart(members, members)
+    discard(before)
     other = here.select("band", F.col("set").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"), F.col("root").alias("rb"))
     pairs = here.join(other, "band").where((F.col("set") < F.col("b")) & (F.col("root") != F.col("rb")) & near_size(F.col("size"), F.col("nb")))
     rest = pairs.select(F.col("set").alias("a"), "b", F.col("fp").alias("fa"), "fb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
