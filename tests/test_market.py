@@ -153,3 +153,37 @@ def test_formats(spark):
     one = spark.range(1)
     r = one.select(C.round_to_tick(F.lit(10.13), 0.25).alias("a"), C.group_price(F.lit(0.3), 0.1).alias("b"), C.short_number(F.lit(1234.0)).alias("c"), C.grouped_integer(F.lit(1234567)).alias("d"), C.clock(F.lit(0).cast("long"), "UTC", "Z").alias("e")).first()
     assert (r.a, round(r.b, 9), r.c, r.d, r.e) == (10.25, 0.3, "1.2k", "1.234.567", "01/01/1970 00:00:00 Z")
+
+
+def test_days_with_a_session_are_kept_whole(spark):
+    # 2024-01-05 was a Friday; times of day in the sessions' zone
+    at = lambda day, hour: 1_704_412_800 + day * 86_400 + hour * 3600 + 10_800
+    rows = [("a", at(0, 3)), ("a", at(0, 12)), ("a", at(0, 22)), ("a", at(1, 12)), ("a", at(2, 22)), ("a", at(3, 1))]
+    kept, gone = analytics.split_by_session(spark.createDataFrame(rows, "symbol string, time long"), 3600, analytics.WEEKDAYS, whole_days=True)
+    assert sorted(r.time for r in kept.collect()) == [at(0, 3), at(0, 12), at(0, 22), at(3, 1)] and gone.count() == 2
+
+
+def test_grids_with_values_that_are_no_numbers_give_none(spark):
+    cells = spark.createDataFrame([("g", 1, 10.0, 1.0, 2.0, 0.0, 0.0), ("h", 1, 10.0, float("nan"), 2.0, 0.0, 0.0)], "grid string, ts_ms long, price double, bid double, ask double, buy double, sell double")
+    assert {r.grid for r in orderflow.decode_columnar(orderflow.encode_columnar(cells)).collect()} == {"g"}
+
+
+def test_sides_that_are_no_numbers_do_not_count(spark):
+    from tickloom.operators.indicators import indicator
+
+    rows = [("a", 60 * i, 1.0, 1.0, 1.0, 1.0, 3.0, float("nan") if i == 1 else 2.0, 1.0) for i in range(4)]
+    bars = spark.createDataFrame(rows, "symbol string, time long, open double, high double, low double, close double, volume double, buy_volume double, sell_volume double")
+    assert [r[2] for r in indicator(bars, "cvd").orderBy("time").collect()][-1] == 3.0
+
+
+def test_indicators_by_steps_are_known_by_name(spark, data):
+    from tickloom.operators import state
+    from tickloom.operators.indicators import indicator
+    from tickloom.sources.tables import bars
+
+    b = bars(spark, data)
+    for name in ("supertrend", "psar", "kama"):
+        got = {(r.symbol, r.time): r[2] for r in indicator(b, name).collect()}
+        assert got == {(r.symbol, r.time): r.value for r in getattr(state, name)(b).collect()} and got
+    with pytest.raises(ValueError, match="unknown indicator"):
+        indicator(b, "nothing")

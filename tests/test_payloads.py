@@ -37,6 +37,24 @@ def test_terminal(spark):
     assert [r.time for r in good.orderBy("time").collect()] == [10_800, 10_860]
 
 
+def test_bad_rows_are_skipped_alone(spark):
+    c = {"open": 1, "high": 1, "low": 1, "close": 1}
+    good, bad = P.parse_terminal(bodies(spark, a=[c | {"timestamp": 0}, {"timestamp": 60, "open": 1}, c | {"timestamp": 120}, c], b=[c | {"timestamp": 0}, None]), 0, 20_000)
+    assert [(r.source, r.time) for r in good.orderBy("time").collect()] == [("a", 10_800), ("a", 10_920)]
+    assert [r.source for r in bad.collect()] == ["b"]
+    cols = ["bar_epoch", "open", "high", "low", "close"]
+    good, _ = P.parse_desk(bodies(spark, a={"cols": cols, "rows": [[0, 1, 1, 1, 1], [60, 1, None, 1, 1], [50, 1, 1, 1, 2]]}), 60)
+    assert [(r.time, r.close) for r in good.orderBy("time").collect()] == [(0, 1.0), (50, 2.0)]
+
+
+def test_daily_records_are_held_against_the_last_kept(spark):
+    cols = ["bar_epoch", "open", "high", "low", "close", "buy_vol", "sell_vol"]
+    hour = 3600
+    body = bodies(spark, a={"cols": cols, "rows": [[0, 1, 1, 1, 1, 2, 3], [8 * hour, 1, 1, 1, 2, None, None], [16 * hour, 1, 1, 1, 3, None, None]]})
+    assert [r.close for r in P.parse_desk(body, 86_400, True)[0].orderBy("time").collect()] == [1.0, 3.0]
+    assert [r.close for r in P.parse_desk(body, 86_400)[0].orderBy("time").collect()] == [3.0]
+
+
 def test_contract(spark):
     s = spark.createDataFrame([(1, "WIN$", "Mini sem ajuste"), (2, "WIN$N", "Índice por LIQUÍDEZ (WINQ26)"), (3, "WIN@", "Índice por liquidez (WINV26)"), (4, "DOL", "Dollar")], "seq int, name string, description string")
     assert P.active_contract(s, "WIN").first().contract == "WINQ26"

@@ -62,10 +62,14 @@ def coherence(history: DataFrame, live: DataFrame, period: int, price_tol: float
     h = history.groupBy(b.alias("b")).agg(F.max_by("close", "time").alias("hc"), F.max_by("volume", "time").alias("hv"))
     v = live.groupBy(b.alias("b")).agg(F.min_by("close", "time").alias("lc"), F.min_by("volume", "time").alias("lv"))
     both = h.join(v, "b").withColumn("r", F.when((F.col("hv") > 0) & (F.col("lv") > 0), F.col("lv") / F.nullif("hv", F.lit(0.0))))
-    # the value of rank floor(n / 2) + 1 of n: the share just over one half makes that rank of percentile_disc
+    # the value of rank floor(n / 2) + 1 of n
     m = F.count("r")
-    stats = both.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("lc") - F.col("hc"))).alias("gap"), F.avg(F.abs("hc")).alias("level"), m.alias("m"), F.array_sort(F.collect_list("r")).alias("rs"))
-    stats = stats.withColumn("median_ratio", F.when(F.col("m") > 0, F.element_at("rs", F.floor(F.col("m") / 2).cast("int") + 1)))
+    stats = both.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("lc") - F.col("hc"))).alias("gap"), F.avg(F.abs("hc")).alias("level"), m.alias("m"), F.sum(F.lit(0)).alias("z"))
+    # counts of equal ratios are few rows next to the bars, and no row holds them all
+    counts = both.where("r is not null").groupBy("r").count()
+    rank = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    upper = counts.withColumn("upto", F.sum("count").over(rank)).join(F.broadcast(stats.select("m"))).where(F.col("upto") > F.floor(F.col("m") / 2)).agg(F.min("r").alias("median_ratio"))
+    stats = stats.drop("z").join(F.broadcast(upper))
     rel = F.col("gap") / F.nullif("level", F.lit(0.0))
     fine = (F.col("n") == 0) | ((rel.isNull() | (rel <= price_tol)) & (F.col("median_ratio").isNull() | F.col("median_ratio").between(0.5, 2)))
     return stats.select("n", "gap", rel.alias("relative_gap"), "median_ratio", F.coalesce(fine, F.lit(False)).alias("coherent"))

@@ -114,8 +114,13 @@ def touches_session(time: Column, period: int, sessions: Sessions) -> Column:
     return F.exists(days, open_on)
 
 
-def split_by_session(bars: DataFrame, period: int, sessions: Sessions) -> tuple[DataFrame, DataFrame]:
-    """Bars that meet a session, and those that don't."""
+def split_by_session(bars: DataFrame, period: int, sessions: Sessions, whole_days: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Bars that meet a session, and those that don't.
+
+    With ``whole_days``, those that meet a day with a session: a bar before the opening isn't one of a day without trading.
+    """
+    if whole_days:
+        sessions = Sessions({d: (0, 24 * 60) for d in sessions.hours}, sessions.offset)
     ok = touches_session(F.col("time"), period, sessions)
     return bars.where(ok), bars.where(~ok)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite_bars, price_of
 from .series import Chain
+from .state import kama, psar, supertrend
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,8 @@ class Indicator:
     params: dict
     outputs: tuple[str, ...]
     build: Callable[..., dict[str, str]]
+    #: Made by a step per bar from whole bars instead of expressions over windows.
+    steps: bool = False
 
 
 REGISTRY: dict[str, Indicator] = {}
@@ -38,6 +41,11 @@ def register_indicator(*outputs: str, **params):
     return add
 
 
+def register_steps(f: Callable[..., DataFrame], *outputs: str, **params) -> None:
+    """Add an indicator that a function makes from whole bars, a step per bar."""
+    REGISTRY[f.__name__] = Indicator(f.__name__, params, outputs, f, True)
+
+
 def settings(name: str, given: dict) -> dict:
     """Parameters with defaults; periods are rounded and at least 1; unknown names are refused."""
     known = REGISTRY[name].params
@@ -52,14 +60,21 @@ def settings(name: str, given: dict) -> dict:
 
 def indicator(bars: DataFrame, name: str, **given) -> DataFrame:
     """(symbol, time, <name>_<output>, ...) of one indicator over bars of any number of symbols."""
+    if name not in REGISTRY:
+        raise ValueError(f"unknown indicator {name!r}; one of {', '.join(sorted(REGISTRY))}")
+    params = settings(name, given)
+    if REGISTRY[name].steps:
+        found = REGISTRY[name].build(finite_bars(bars), **params)
+        return found.select("symbol", "time", *(F.col(k).alias(f"{name}_{k}") for k in REGISTRY[name].outputs))
     chain = Chain(finite_bars(bars))
-    out = REGISTRY[name].build(chain, **settings(name, given))
+    out = REGISTRY[name].build(chain, **params)
     return chain.df.select("symbol", "time", *(F.expr(sql).cast("double").alias(f"{name}_{k}") for k, sql in out.items()))
 
 
 VOL = "coalesce(CASE WHEN volume > 0 THEN volume END, 0)"
 DAY = "floor(time / 86400)"
-USABLE = "(buy_volume IS NOT NULL AND sell_volume IS NOT NULL AND buy_volume >= 0 AND sell_volume >= 0)"
+#: NaN is larger than any number to Spark.
+USABLE = "(buy_volume IS NOT NULL AND sell_volume IS NOT NULL AND buy_volume >= 0 AND sell_volume >= 0 AND buy_volume < double('infinity') AND sell_volume < double('infinity'))"
 
 # ---- averages
 
@@ -383,3 +398,10 @@ def pivot_points(c):
     h, low, close = (c.put(f"max({x}) OVER {c.so_far(day)}") for x in (ph, pl, pc))
     p = c.put(f"({h} + {low} + {close}) / 3")
     return {k: v.format(h=h, l=low, p=p) for k, v in LEVELS.items()}
+
+
+# ---- a step per bar
+
+register_steps(supertrend, "value", "direction", n=10, mult=3.0)
+register_steps(psar, "value", step=0.02, most=0.2)
+register_steps(kama, "value", n=10, fast=2, slow=30)

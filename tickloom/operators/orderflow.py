@@ -210,7 +210,7 @@ def encode_columnar(cells: DataFrame) -> DataFrame:
 
 
 def decode_columnar(grids: DataFrame) -> DataFrame:
-    """Cells of encoded grids; a grid with anything wrong (axes not rising, lengths apart, places out of range) gives none."""
+    """Cells of encoded grids; a grid with anything wrong (axes not rising, lengths apart, places out of range, values that are no numbers) gives none."""
     def rising(a):
         return F.forall(F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), lambda x, y: x < y), lambda ok: F.coalesce(ok, F.lit(False)))
 
@@ -220,7 +220,11 @@ def decode_columnar(grids: DataFrame) -> DataFrame:
     for c in ("pi", "b", "a", "c", "v"):
         same = same & (F.size(f"columns.{c}") == n)
     inside = F.forall("columns.ti", lambda i: (i >= 0) & (i < F.size(t))) & F.forall("columns.pi", lambda i: (i >= 0) & (i < F.size(p)))
-    good = grids.where(rising(t) & rising(p) & same & inside)
+    numbers = F.lit(True)
+    for c in ("b", "a", "c", "v"):
+        numbers = numbers & F.forall(f"columns.{c}", finite)
+    numbers = numbers & F.forall(t, finite) & F.forall(p, finite)
+    good = grids.where(rising(t) & rising(p) & same & inside & numbers)
     z = F.arrays_zip(*(F.col(f"columns.{c}").alias(c) for c in ("ti", "pi", "b", "a", "c", "v")))
     return good.select("grid", "axes", F.explode(z).alias("z")).select(
         "grid", F.element_at("axes.t", F.col("z.ti") + 1).alias("ts_ms"), F.element_at("axes.p", F.col("z.pi") + 1).alias("price"), F.col("z.b").alias("bid"), F.col("z.a").alias("ask"), F.col("z.c").alias("buy"), F.col("z.v").alias("sell")

@@ -102,7 +102,7 @@ def _indicator(name: str) -> None:
     ORACLE[NAMES.get(name, name)] = chain.sql(f"symbol, time, {cols}")
 
 
-for _name in indicators.REGISTRY:
+for _name in [n for n, x in indicators.REGISTRY.items() if not x.steps]:
     _indicator(_name)
 
 
@@ -447,9 +447,13 @@ OPEN = "(((d + 4) % 7) BETWEEN 1 AND 5 AND time - 10800 < d * 86400 + 64800 AND
 INSIDE = f"s AS (SELECT *, {OPEN.replace('d ', 'd0 ').replace('(d0 ', '(d0 ')} OR {OPEN.replace('d ', 'd1 ')} AS inside FROM (SELECT *, CAST(floor((time - 10800) / 86400) AS BIGINT) AS d0, CAST(floor((time - 10800 + 3599) / 86400) AS BIGINT) AS d1 FROM ({Q.bars()})))"
 
 
-@query(f"WITH {INSIDE} SELECT symbol, time, {r('close', 'close')} FROM s WHERE inside")
+#: A bar is kept if it meets a whole day that has a session.
+TRADING_DAY = f"s AS (SELECT * FROM ({Q.bars()}) WHERE (CAST(floor((time - 10800) / 86400) AS BIGINT) + 4) % 7 BETWEEN 1 AND 5 OR (CAST(floor((time - 10800 + 3599) / 86400) AS BIGINT) + 4) % 7 BETWEEN 1 AND 5)"
+
+
+@query(f"WITH {TRADING_DAY} SELECT symbol, time, {r('close', 'close')} FROM s")
 def session_filter(spark, d):
-    kept, _ = analytics.split_by_session(S.bars(spark, d), 3600, analytics.WEEKDAYS)
+    kept, _ = analytics.split_by_session(S.bars(spark, d), 3600, analytics.WEEKDAYS, whole_days=True)
     return rounded(kept.select("symbol", "time", "close"))
 
 

@@ -73,6 +73,14 @@ def parse_bars(bodies: DataFrame) -> tuple[DataFrame, DataFrame]:
     return b.select("source", F.col("time").cast("long").alias("time"), "open", "high", "low", "close", _finite_or_null("volume", "volume"), _finite_or_null("buyVolume", "buy_volume"), _finite_or_null("sellVolume", "sell_volume")), bad
 
 
+def _good_bar_columns() -> Column:
+    """A time and four finite prices; of the desk's and the terminal's bodies, other rows are skipped alone."""
+    out = F.lit(True)
+    for c in ("time", "open", "high", "low", "close"):
+        out = out & finite(F.col(c))
+    return out
+
+
 def _guard_sides(bars: DataFrame) -> DataFrame:
     ok = side_usable()
     return bars.withColumn("__ok", ok).withColumn("buy_volume", F.when(F.col("__ok"), F.col("buy_volume"))).withColumn("sell_volume", F.when(F.col("__ok"), F.col("sell_volume"))).drop("__ok")
@@ -85,13 +93,23 @@ def _rising(bars: DataFrame) -> DataFrame:
 
 
 def collapse_daily_pairs(bars: DataFrame, prefer_sides: bool = False) -> DataFrame:
-    """One of daily records closer than half a day: the later, or the earlier if only that has both sides."""
-    w = Window.partitionBy("source").orderBy("time")
-    gap = F.col("time") - F.lag("time").over(w)
-    day = F.sum(F.when(gap.isNull() | (gap >= PAIR_GAP), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    both = (F.col("buy_volume").isNotNull() & F.col("sell_volume").isNotNull()) if prefer_sides else F.lit(False)
+    """One of daily records closer than half a day: the later, or the earlier if only that has both sides.
+
+    Each record is held against the last that was kept, so with ``prefer_sides`` an earlier one that stays
+    doesn't hand its place on. A source's daily records, some thousands, meet in one row.
+    """
     cols = [c for c in bars.columns if c != "source"]
-    return bars.withColumn("gap", gap).withColumn("day", day).groupBy("source", "day").agg(F.max_by(F.struct(*cols), F.struct(both.cast("int"), F.col("time"))).alias("b")).select("source", "b.*")
+    rows = bars.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("time", *(c for c in cols if c != "time")))).alias("rows"))
+    both = lambda x: x["buy_volume"].isNotNull() & x["sell_volume"].isNotNull()
+
+    def fold(kept, x):
+        last = F.try_element_at(kept, F.lit(-1))
+        near = F.coalesce(x["time"] - last["time"] < PAIR_GAP, F.lit(False))
+        stays = F.lit(prefer_sides) & both(last) & ~both(x)
+        return F.when(~near, F.concat(kept, F.array(x))).when(stays, kept).otherwise(F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(x)))
+
+    kept = F.aggregate("rows", F.filter("rows", lambda x: F.lit(False)), fold)
+    return rows.select("source", F.explode(kept).alias("b")).select("source", *(F.col(f"b.{c}").alias(c) for c in cols))
 
 
 def parse_desk(bodies: DataFrame, period: int, prefer_sides: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +123,8 @@ def parse_desk(bodies: DataFrame, period: int, prefer_sides: bool = False) -> tu
     cell = lambda c: F.when(F.array_position("cols", c) > 0, F.try_element_at("r", F.array_position("cols", c).cast("int")))
     rows = good.select("source", "cols", F.posexplode("rows").alias("pos", "r"))
     b = rows.select("source", "pos", cell("bar_epoch").cast("long").alias("time"), *(cell(c).alias(c) for c in need[1:]), cell("volume").alias("volume"), cell("buy_vol").alias("buy_volume"), cell("sell_vol").alias("sell_volume"))
-    b = _guard_sides(_rising(b.where(F.col("time").isNotNull()))).drop("pos")
+    # a row without a time or a price is left out, before the times are looked at
+    b = _guard_sides(_rising(b.where(_good_bar_columns()))).drop("pos")
     return (collapse_daily_pairs(b, prefer_sides) if period >= 86_400 else b), bad
 
 
@@ -113,9 +132,9 @@ def parse_terminal(bodies: DataFrame, start: int, end: int, volumes: bool = True
     """Bars of arrays of terminal candles in the half-open range [start, end), with times moved to UTC."""
     kind = "array<struct<timestamp:long,open:double,high:double,low:double,close:double,volume:double,buy_volume:double,sell_volume:double>>"
     parsed = bodies.select("source", F.from_json("body", kind).alias("a"))
-    good, bad = _split(parsed, F.col("a").isNotNull() & F.forall("a", lambda x: x["timestamp"].isNotNull() & finite(x["open"]) & finite(x["high"]) & finite(x["low"]) & finite(x["close"])))
+    good, bad = _split(parsed, F.col("a").isNotNull() & F.forall("a", lambda x: x.isNotNull()))
     b = good.select("source", F.posexplode("a").alias("pos", "b")).select("source", "pos", (F.col("b.timestamp") + TERMINAL_OFFSET).alias("time"), "b.open", "b.high", "b.low", "b.close", *(F.when(F.lit(volumes), F.col(f"b.{c}")).alias(c) for c in ("volume", "buy_volume", "sell_volume")))
-    return _guard_sides(_rising(b.where((F.col("time") >= start) & (F.col("time") < end)))).drop("pos"), bad
+    return _guard_sides(_rising(b.where(_good_bar_columns() & (F.col("time") >= start) & (F.col("time") < end)))).drop("pos"), bad
 
 
 def active_contract(symbols: DataFrame, root: str) -> DataFrame:
