@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tickloom.llm import chunk_dedup, simhash, suffix_dedup
+from tickloom.llm import chunk_dedup, near_sets, simhash, suffix_dedup
 from tickloom.llm.components import components
 
 L = suffix_dedup.LENGTH
@@ -199,6 +199,45 @@ def test_near_copies_of_similarity_08_are_linked(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [i for i in range(len(texts)) if find(i) == i]
 
 
+@pytest.mark.parametrize("block", [7, 2000])
+def test_a_crowd_of_texts_around_the_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(near_sets, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(150)]
+    texts = []
+    for _ in range(60):
+        near = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 5)):
+            near[at] = f"edit{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 or (brute_print(texts[i]) ^ brute_print(texts[j])).bit_count() <= 2:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    wanted = [i for i in range(len(texts)) if find(i) == i]
+    assert 1 < len(wanted) < len(texts)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == wanted
+
+
+def test_sketches_rule_out_no_similar_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 3000):
+        a = rng.integers(0, 1 << 63, n, np.uint64)
+        b = np.concatenate([a[n // 9 :], rng.integers(0, 1 << 63, n // 10, np.uint64)])
+        x, y = (np.frombuffer(near_sets.sketch(h), np.uint8) for h in (a, b))
+        assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
 GEAR = chunk_dedup.gear_table().tolist()
 
 

@@ -2,9 +2,11 @@
 
 The similarity of two texts is the share of shingles common to both sets among those of either. Each set
 has ``BANDS`` keys of ``ROWS`` least hashes; a pair of similarity 0.8 shares none with a chance of 7e-6.
-Pairs that share a key are checked on the sets themselves. Pairs that are connected already aren't: first
-each set is checked against one leader of its bucket, then all pairs of a bucket that are still apart, so
-a large group of near copies costs a row each and not one for each pair, unless most are apart from the leader.
+Sets that share a key meet in one task with sketches (parities of hash buckets). Two sketches never differ in
+more bits than the sets differ in shingles, so what they rule out can't be similar; only the other pairs
+become rows and are checked on the sets. Pairs that are connected already aren't: first those are checked
+that would join most with least, then what is still apart. A crowded key's sets are dealt to blocks, and each
+pair of blocks is a task's work, so no task holds more than two blocks of a key.
 """
 
 from __future__ import annotations
@@ -19,12 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, list_array, materialize, text_bytes
+from .common import discard, join_counted, list_array, materialize, text_bytes
 from .components import components
 
 BANDS, ROWS = 30, 5
 #: Shingles hashed at a time.
 PART = 1024
+#: Bits of a sketch.
+BITS = 2048
+#: Sets of one key in a block.
+BLOCK = 2000
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -68,6 +74,95 @@ def with_bands(docs: DataFrame, text_col: str, words: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType(fields))
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """The parity of the number of hashes in each of ``BITS`` buckets."""
+    return np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
+def _groups(batches, keys: int):
+    """Runs of rows that are equal in the first columns, over the ends of batches."""
+    held, last = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        k = np.column_stack([batch.column(c).to_numpy() for c in range(keys)])
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
+            if held and tuple(k[a]) != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(k[a])
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _meetings(band: int, within: bool, chunk, size, root, bands, bits, similarity: float):
+    """(i, j, share of differing bits) of the rows of a group that may be similar, are apart, and share no earlier key."""
+    found = []
+    at = int(np.argmax(bands[0] == band))
+    earlier = bands[:, :at]
+    for i in range(len(size) - 1):
+        rest = slice(i + 1, None)
+        ok = (root[rest] != root[i]) & (np.minimum(size[rest], size[i]) >= np.maximum(size[rest], size[i]) * similarity - 1e-9)
+        if not within:
+            ok &= chunk[rest] != chunk[i]
+        j = np.flatnonzero(ok) + i + 1
+        if not len(j):
+            continue
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) / (size[j] + size[i])
+        ok = differ <= (1 - similarity) / (1 + similarity) + 1e-9
+        j, differ = j[ok], differ[ok]
+        if at:
+            new = ~(earlier[j] == earlier[i]).any(axis=1)
+            j, differ = j[new], differ[new]
+        found.append((np.full(len(j), i), j, differ))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int),) * 3
+
+
+def _joining(i, j, differ, root):
+    """Of the pairs those that join components, the likest first: fewer than there are rows."""
+    above = {r: r for r in root.tolist()}
+
+    def top(r):
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
+    keep = []
+    for k in np.argsort(differ, kind="stable").tolist():
+        a, b = top(int(root[i[k]])), top(int(root[j[k]]))
+        if a != b:
+            above[a] = b
+            keep.append(k)
+    return i[keep], j[keep]
+
+
+def _candidates(here: DataFrame, facts: DataFrame, similarity: float, joining: bool) -> DataFrame:
+    """(a, b, fa, fb), a < b: pairs of one key that are apart and that sketches don't rule out. here: (band, set, n); facts: (set, size, fp, bands, sketch, root)."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = here.join(facts, "set").withColumn("chunk", F.pmod(F.xxhash64("set"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = dealt.select("band", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "set", "size", "fp", "root", "bands", "sketch")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fa", pa.int64()), ("fb", pa.int64())])
+
+    def run(batches):
+        for (band, lo, hi), t in _groups(batches, 3):
+            if len(t) < 2:
+                continue
+            chunk, sets, size, fp, root = (t.column(k).to_numpy() for k in range(3, 8))
+            bands = t.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            bits = text_bytes(t.column(9).combine_chunks())[0].view(np.uint64).reshape(-1, BITS // 64)
+            i, j, differ = _meetings(band, lo == hi, chunk, size, root, bands, bits, similarity)
+            if joining and len(i):
+                i, j = _joining(i, j, differ, root)
+            if len(i):
+                turn = sets[i] > sets[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[i], sets[j], fp[i], fp[j])], schema=schema)
+
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long, fa long, fb long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b, fa, fb) whose sets are similar, as (a, b) of fingerprints."""
     joined = pairs.join(sets.select(F.col("set").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("set").alias("b"), F.col("hashes").alias("hb")), "b")
@@ -99,40 +194,38 @@ def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, s
         """Members with the root of their fingerprint's component."""
         return members.join(components(links), members.fp == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
-    def apart(members: DataFrame, again: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several components, with a leader each: (band, set, size, fp, root). ``again``: what to delete then."""
-        several = members.groupBy("band").agg((F.min("root") < F.max("root")).alias("several"), F.min("set").alias("leader")).where("several").select("band", "leader")
-        several = materialize(several, "buckets")
-        found = materialize(members.join(several, "band"), "apart")
-        discard(several, again)
+    def apart(sets: DataFrame) -> DataFrame:
+        """(band, set, n): the sets of the n sets' buckets that hold several components."""
+        members = sets.select(F.explode("bands").alias("band"), "set", "root")
+        counted = members.groupBy("band").agg((F.min("root") < F.max("root")).alias("several"), F.count("*").alias("n"))
+        several = materialize(counted.where("several").select("band", "n"), "buckets")
+        total = sets.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+        found = materialize(join_counted(members.select("band", "set"), several, ["band"], "n", total), "apart")
+        discard(several)
         return found
 
-    def near_size(x, y):
-        return F.least(x, y) >= F.greatest(x, y) * similarity - 1e-9
-
     # roots are found by set, before a set has a row for each of its bands
-    sets = materialize(rooted(stands.withColumnRenamed("__set", "set")), "rooted-sets")
-    here = apart(sets.select(F.explode("bands").alias("band"), "set", "size", "fp", "root"), sets)
+    rooted_sets = materialize(rooted(stands.withColumnRenamed("__set", "set")), "rooted-sets")
+    here = apart(rooted_sets)
     wanted = materialize(here.select("set").distinct(), "wanted")
     texts = printed.select("__set", F.col(text_col).alias("text")).join(wanted, F.col("__set") == F.col("set"), "left_semi").groupBy("__set").agg(F.first("text").alias("text"))
 
     def hashes(batches):
         for batch in batches:
             buf, offsets = text_bytes(batch.column(1))
-            got = [shingles(buf[a:b].tobytes(), words).tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["set", "hashes"])
-
-    sets = materialize(texts.mapInArrow(hashes, "set long, hashes binary"), "hashes")
-    first = here.where("set = leader").select("band", F.col("set").alias("a"), F.col("fp").alias("fa"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    pairs = here.join(first, "band").where((F.col("root") != F.col("ra")) & near_size(F.col("size"), F.col("na")))
-    tried = materialize(pairs.select("a", F.col("set").alias("b"), "fa", F.col("fp").alias("fb")).distinct(), "pairs")
+            got = [shingles(buf[a:b].tobytes(), words) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            own = [pa.array([h.tobytes() for h in got], pa.binary()), pa.array([sketch(h) for h in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=["set", "hashes", "sketch"])
+
+    sets = materialize(texts.mapInArrow(hashes, "set long, hashes binary, sketch binary"), "hashes")
+    facts = materialize(rooted_sets.join(sets.select("set", "sketch"), "set"), "facts")
+    discard(wanted, rooted_sets)
+    tried = materialize(_candidates(here, facts, similarity, True), "pairs")
     links = materialize(links.unionByName(_similar(tried, sets, similarity)), "near-links")
 
-    before = here
-    members = materialize(rooted(here.drop("root", "leader")), "members")
-    here = apart(members, members)
-    discard(before)
-    other = here.select("band", F.col("set").alias("b"), F.col("fp").alias("fb"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    pairs = here.join(other, "band").where((F.col("set") < F.col("b")) & (F.col("root") != F.col("rb")) & near_size(F.col("size"), F.col("nb")))
-    rest = pairs.select(F.col("set").alias("a"), "b", F.col("fp").alias("fa"), "fb").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    return links.unionByName(_similar(materialize(rest, "pairs"), sets, similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    discard(here)
+    again = materialize(rooted(facts.drop("root")), "facts")
+    here = apart(again)
+    rest = materialize(_candidates(here, again, similarity, False).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    discard(here, facts, again, tried)
+    return links.unionByName(_similar(rest, sets, similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
