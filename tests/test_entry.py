@@ -7,7 +7,7 @@ import __spark_entry__ as entry_points
 from tickloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["bars_h1", "rollup_assoc_check", "macd_12_26_9", "aroon_25", "kama_10", "pivot_points", "footprint_levels", "value_area", "liquidity_walls", "asof_nearest", "performance_windows", "splice_series", "session_filter", "alert_touch"]
+SOME = ["bars_h1", "rollup_assoc_check", "macd_12_26_9", "aroon_25", "kama_10", "pivot_points", "footprint_levels", "value_area", "liquidity_walls", "asof_nearest", "performance_windows", "splice_series", "session_filter", "alert_touch", "footprint_totals", "time_to_index", "index_to_time", "market_days"]
 
 
 @pytest.fixture(scope="module")

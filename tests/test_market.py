@@ -187,3 +187,27 @@ def test_indicators_by_steps_are_known_by_name(spark, data):
         assert got == {(r.symbol, r.time): r.value for r in getattr(state, name)(b).collect()} and got
     with pytest.raises(ValueError, match="unknown indicator"):
         indicator(b, "nothing")
+
+
+def test_places_among_bars(spark):
+    bars = spark.createDataFrame([("A", 10), ("A", 20), ("A", 40), ("B", 7)], "symbol string, time long")
+    probes = spark.createDataFrame([("A", t) for t in (0, 10, 15, 30, 40, 60)] + [("B", 1), ("B", 9), ("C", 5)], "symbol string, time long")
+    got = {(x.symbol, x.time): x.place for x in align.time_to_index(probes, bars).collect()}
+    assert got == {("A", 0): -1, ("A", 10): 0, ("A", 15): 0.5, ("A", 30): 1.5, ("A", 40): 2, ("A", 60): 3, ("B", 1): 0, ("B", 9): 0, ("C", 5): None}
+    exact = {(x.symbol, x.time): x.place for x in align.time_to_index(probes, bars, between=False).collect()}
+    assert {k for k, v in exact.items() if v is not None} == {("A", 10), ("A", 40)}
+    places = spark.createDataFrame([("A", float(x)) for x in (-1, 0, 0.5, 1.5, 2, 3, "nan")] + [("B", 4.0), ("C", 0.0)], "symbol string, place double")
+    back = [(x.symbol, x.place_time) for x in align.index_to_time(places, bars).collect()]
+    assert sorted(back, key=str) == sorted([("A", 0.0), ("A", 10.0), ("A", 15.0), ("A", 30.0), ("A", 40.0), ("A", 60.0), ("A", None), ("B", 7.0), ("C", None)], key=str)
+
+
+def test_days_steps_and_totals(spark):
+    d = spark.createDataFrame([("2026-02-28",), ("2026-02-31",), ("2026-2-3",), ("x",), (None,)], "day string")
+    got = d.select(C.valid_day(F.col("day")), C.shift_day(F.col("day"), 1), C.day_label(F.col("day")), C.day_label(F.col("day"), "iso")).collect()
+    assert tuple(got[0]) == (True, "2026-03-01", "28/02/2026", "2026-02-28")
+    assert all(tuple(x) == (False, None, None, None) for x in got[1:])
+    assert [x[0] for x in spark.createDataFrame([(12345,), (-5,), (0,)], "n long").select(C.signed_integer(F.col("n"))).collect()] == ["+12.345", "-5", "0"]
+    assert orderflow.zoom_step(10, 110, 0.5) == 0 and orderflow.zoom_step(11, 110, 0.5) == 1.0 and orderflow.zoom_step(1e9, 110, 0.5) == 500 and orderflow.zoom_step(0, 110, 1) == 0
+    levels = spark.createDataFrame([(1, 5.0, 3.0), (1, 5.0, 3.0), (2, 1.0, 4.0)], "candle long, candle_buy double, candle_sell double")
+    assert tuple(orderflow.footprint_totals(levels).first()) == (2, 3, 6.0, 7.0, -1.0, "seller")
+    assert tuple(orderflow.footprint_totals(levels.limit(0)).first()) == (0, 0, 0.0, 0.0, 0.0, "even")

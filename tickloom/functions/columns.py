@@ -94,3 +94,24 @@ def market_day(seconds: Column, zone: str = "America/Sao_Paulo") -> Column:
 def offset_day(seconds: Column, offset: int = -10_800) -> Column:
     """The civil day at a fixed offset from UTC."""
     return F.date_add(F.lit("1970-01-01").cast("date"), F.floor((seconds + offset) / 86_400).cast("int"))
+
+
+def valid_day(day: Column) -> Column:
+    """Whether a text is a day of the calendar, as yyyy-MM-dd."""
+    whole = day.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    return F.coalesce(whole & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))
+
+
+def shift_day(day: Column, days: int) -> Column:
+    """The day so many calendar days later, as text; null for what is no day."""
+    return F.when(valid_day(day), F.date_format(F.date_add(F.try_to_date(day, "yyyy-MM-dd"), days), "yyyy-MM-dd"))
+
+
+def day_label(day: Column, form: str = "dmy") -> Column:
+    """A day as dd/MM/yyyy, or as it is (``iso``); null for what is no day."""
+    return F.when(valid_day(day), day if form == "iso" else F.date_format(F.try_to_date(day, "yyyy-MM-dd"), "dd/MM/yyyy"))
+
+
+def signed_integer(c: Column) -> Column:
+    """12345 as +12.345, -5 as -5, 0 as 0."""
+    return F.concat(F.when(c > 0, "+").otherwise(""), grouped_integer(c))

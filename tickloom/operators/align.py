@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
+
 
 def first_per_time(df: DataFrame, key: str = "symbol", order: str | None = None) -> DataFrame:
     """Of the rows of one time the first (by ``order``)."""
@@ -49,6 +51,45 @@ def asof_nearest(probes: DataFrame, marks: DataFrame, value: str, key: str = "sy
     return seen.select("probe.*", best.getField("mark").alias(f"near_{value}"), best.getField("mark_time").alias("near_time"))
 
 
+def _numbered(bars: DataFrame, key: str) -> DataFrame:
+    """(key, time, n, before, after): places from 0 and the times next to each."""
+    w = Window.partitionBy(key).orderBy("time")
+    return bars.select(key, "time").distinct().select(key, "time", (F.row_number().over(w) - 1).alias("n"), F.lag("time").over(w).alias("before"), F.lead("time").over(w).alias("after"))
+
+
+def time_to_index(probes: DataFrame, bars: DataFrame, between: bool = True, key: str = "symbol") -> DataFrame:
+    """``probes`` with the place of their time among the bars' times, counted from 0.
+
+    Between two bars it is interpolated, beyond the ends it goes on at the step of the last two bars there;
+    without ``between`` it is null unless a bar has just that time. A single bar is place 0 for all times,
+    and without bars there is no place.
+    """
+    numbered = _numbered(bars, key)
+    first = numbered.where("n = 0").select(key, F.col("time").alias("__t0"), F.col("after").alias("__t1"))
+    marks = numbered.select(key, "time", F.struct("n", F.col("time").alias("at"), "before", "after").alias("bar"))
+    placed = asof_backward(probes, marks, "bar", key).join(first, key, "left")
+    at, time = F.col("asof_bar"), F.col("time").cast("double")
+    step = F.coalesce(at.after - at["at"], at["at"] - at.before)
+    inside = at.n + F.coalesce((time - at["at"]) / step, F.lit(0.0))
+    ahead = F.when(F.col("__t0").isNotNull(), F.coalesce((time - F.col("__t0")) / (F.col("__t1") - F.col("__t0")), F.lit(0.0)))
+    exact = F.when(at["at"] == time, at.n.cast("double"))
+    place = F.when(at.isNull(), ahead).otherwise(inside) if between else exact
+    return placed.withColumn("place", place).select(*probes.columns, "place")
+
+
+def index_to_time(places: DataFrame, bars: DataFrame, place: str = "place", key: str = "symbol") -> DataFrame:
+    """``places`` with the time (place_time) of a place among the bars' times: the way back from ``time_to_index``."""
+    numbered = _numbered(bars, key)
+    last = numbered.groupBy(key).agg(F.max("n").alias("__last"))
+    base = F.greatest(F.least(F.floor(place), F.col("__last") - 1), F.lit(0)).cast("int")
+    wanted = places.where(finite(F.col(place))).join(last, key, "left").withColumn("__n", base)
+    bar = numbered.select(key, F.col("n").alias("__n"), F.col("time").alias("__at"), F.col("after").alias("__after"))
+    found = wanted.join(bar, [key, "__n"], "left")
+    time = F.col("__at") + F.coalesce((F.col(place) - F.col("__n")) * (F.col("__after") - F.col("__at")), F.lit(0.0))
+    none = places.where(~finite(F.col(place))).withColumn("place_time", F.lit(None).cast("double"))
+    return found.withColumn("place_time", time.cast("double")).select(*places.columns, "place_time").unionByName(none)
+
+
 def neighbours(bars: DataFrame, time: int, span: int, key: str = "symbol") -> DataFrame:
     """Bars up to ``span`` places before or after the last bar at or before a time."""
     n = bars.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("time")))

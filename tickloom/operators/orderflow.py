@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,6 +109,26 @@ def diagonal_imbalance(levels: DataFrame, factor: float = 3.0) -> DataFrame:
     return below.where("sell_below is not null").select("candle", "price", F.coalesce(buy, F.lit(False)).alias("buy_side"), F.coalesce(sell, F.lit(False)).alias("sell_side")).where("buy_side or sell_side")
 
 
+#: How many ticks a row of prices may hold.
+ROW_TICKS = [1, 2, 5, 10, 25, 50, 100, 250, 500, 1000]
+
+
+def zoom_step(ticks: float, height: float, tick: float, row: float = 11.0) -> float:
+    """Price step of rows at least ``row`` high where ``ticks`` share ``height``; 0 if each tick has room or a size isn't positive."""
+    if not all(math.isfinite(x) and x > 0 for x in (ticks, height, tick)):
+        return 0.0
+    rows = max(1, math.floor(height / row))
+    return 0.0 if ticks <= rows else next((p for p in ROW_TICKS if p * rows >= ticks), ROW_TICKS[-1]) * tick
+
+
+def footprint_totals(levels: DataFrame) -> DataFrame:
+    """One row on a footprint's listed levels: candles, levels, buy, sell, delta and the side that it leans to."""
+    by_candle = levels.groupBy("candle").agg(F.first("candle_buy").alias("buy"), F.first("candle_sell").alias("sell"), F.count("*").alias("levels"))
+    total = by_candle.agg(F.count("*").alias("candles"), F.coalesce(F.sum("levels"), F.lit(0)).alias("levels"), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("buy", "sell")))
+    delta = F.col("buy") - F.col("sell")
+    return total.withColumn("delta", delta).withColumn("side", F.when(delta > 0, "buyer").when(delta < 0, "seller").otherwise("even"))
+
+
 def volume_profile(cells: DataFrame, step: float = 0.0) -> DataFrame:
     """(price, buy, sell, total, delta) of all executed cells."""
     g = cells.groupBy(group_price(F.col("price"), step).alias("price")).agg(F.sum(clean("buy")).alias("buy"), F.sum(clean("sell")).alias("sell"))

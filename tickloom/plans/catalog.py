@@ -229,6 +229,15 @@ def footprint_candles(spark, d):
     return _footprint(spark, d).groupBy("candle").agg(F.first("candle_buy").alias("buy"), F.first("candle_sell").alias("sell"), (F.first("poc") + 0.0).alias("poc"), F.count("*").alias("levels"))
 
 
+@query(
+    f"""WITH {PRINT}, k AS (SELECT candle, any_value(candle_buy) AS buy, any_value(candle_sell) AS sell, count(*) AS levels FROM f GROUP BY 1),
+ t AS (SELECT count(*) AS candles, CAST(coalesce(sum(levels), 0) AS BIGINT) AS levels, coalesce(sum(buy), 0) AS buy, coalesce(sum(sell), 0) AS sell FROM k)
+ SELECT candles, levels, buy, sell, buy - sell AS delta, CASE WHEN buy > sell THEN 'buyer' WHEN buy < sell THEN 'seller' ELSE 'even' END AS side FROM t"""
+)
+def footprint_totals(spark, d):
+    return orderflow.footprint_totals(_footprint(spark, d))
+
+
 @query(
     f"""WITH {PRINT}, g AS (SELECT candle, price, buy, lag(sell) OVER (PARTITION BY candle ORDER BY price) AS s FROM f)
  SELECT candle, price + 0.0 AS price, buy > 0 AND buy >= 1.5 * s AS buy_side, s > 0 AND s >= 1.5 * buy AS sell_side FROM g WHERE s IS NOT NULL AND ((buy > 0 AND buy >= 1.5 * s) OR (s > 0 AND s >= 1.5 * buy))"""
@@ -343,6 +352,41 @@ def asof_backward(spark, d):
     return align.asof_backward(S.trades(spark, d).select("symbol", "seq", "time"), S.bars(spark, d), "open")
 
 
+PLACES = f"""b AS (SELECT symbol, time + 3600 AS time FROM ({Q.bars()})), n AS (SELECT symbol, time, row_number() OVER w - 1 AS n, lag(time) OVER w AS before, lead(time) OVER w AS after FROM b WINDOW w AS (PARTITION BY symbol ORDER BY time))"""
+
+
+def _bar_ends(spark, d):
+    return S.bars(spark, d).select("symbol", (F.col("time") + 3600).alias("time"))
+
+
+@query(
+    f"""WITH t AS ({Q.trades()}), {PLACES}, x AS (SELECT t.symbol, t.seq, t.time, n.n, n.time AS mark, n.before, n.after FROM t ASOF LEFT JOIN n ON t.symbol = n.symbol AND t.time >= n.time), z AS (SELECT symbol, time AS t0, after AS t1 FROM n WHERE n = 0)
+ SELECT x.symbol, seq, time, {r('CASE WHEN n IS NULL THEN coalesce((time - t0) / (t1 - t0), 0) ELSE n + coalesce((time - mark) / coalesce(after - mark, mark - before), 0) END', 'place')} FROM x JOIN z ON x.symbol = z.symbol"""
+)
+def time_to_index(spark, d):
+    return rounded(align.time_to_index(S.trades(spark, d).select("symbol", "seq", "time"), _bar_ends(spark, d)))
+
+
+@query(
+    f"""WITH {PLACES}, p AS (SELECT symbol, n, n * 1.25 - 2 AS place, max(n) OVER (PARTITION BY symbol) AS last FROM n), q AS (SELECT *, greatest(least(CAST(floor(place) AS BIGINT), last - 1), 0) AS base FROM p)
+ SELECT q.symbol, {r('place', 'place')}, {r('m.time + coalesce((place - base) * (m.after - m.time), 0)', 'place_time')} FROM q JOIN n m ON q.symbol = m.symbol AND q.base = m.n"""
+)
+def index_to_time(spark, d):
+    bars = _bar_ends(spark, d)
+    places = bars.select("symbol", ((F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1) * 1.25 - 2).cast("double").alias("place"))
+    return rounded(align.index_to_time(places, bars))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders)
+ SELECT day, true AS valid, strftime(CAST(day AS DATE) - INTERVAL 1 DAY, '%Y-%m-%d') AS before, strftime(CAST(day AS DATE), '%d/%m/%Y') AS label FROM t"""
+)
+def market_days(spark, d):
+    days = spark.read.parquet(f"{d}/orders.parquet").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).distinct()
+    day = F.col("day")
+    return days.select("day", C.valid_day(day).alias("valid"), C.shift_day(day, -1).alias("before"), C.day_label(day).alias("label"))
+
+
 @query(
     f"""WITH t AS ({Q.trades()}), b AS ({Q.bars()}), x AS (SELECT t.symbol, t.seq, t.time, p.open AS po, p.time AS pt FROM t ASOF LEFT JOIN b p ON t.symbol = p.symbol AND t.time >= p.time),
  y AS (SELECT x.*, n.open AS no, n.time AS nt FROM x ASOF LEFT JOIN b n ON x.symbol = n.symbol AND x.time < n.time)
