@@ -86,7 +86,9 @@ def footprint(cells: DataFrame, candles: DataFrame, step: float, least: float =
     marks = candles.select(F.lit("x").alias("symbol"), "time", F.col("time").alias("candle"))
     from .align import asof_backward
 
-    placed = asof_backward(done, marks, "candle").where("asof_candle is not null")
+    # only distinct times go through the window by one key, not all cells
+    times = asof_backward(done.select("symbol", "time").distinct(), marks, "candle").where("asof_candle is not null").select("time", "asof_candle")
+    placed = done.groupBy("time", "level").agg(F.sum("buy").alias("buy"), F.sum("sell").alias("sell")).join(times, "time")
     levels = placed.groupBy(F.col("asof_candle").alias("candle"), F.col("level").alias("price")).agg(F.sum("buy").alias("buy"), F.sum("sell").alias("sell"))
     levels = levels.withColumn("total", F.col("buy") + F.col("sell")).withColumn("delta", F.col("buy") - F.col("sell"))
     w = Window.partitionBy("candle")
