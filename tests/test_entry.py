@@ -7,7 +7,6 @@ import __spark_entry__ as entry_points
 from tickloom.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["bars_h1", "rollup_assoc_check", "macd_12_26_9", "aroon_25", "kama_10", "pivot_points", "footprint_levels", "value_area", "liquidity_walls", "asof_nearest", "performance_windows", "splice_series", "session_filter", "alert_touch", "footprint_totals", "time_to_index", "index_to_time", "market_days"]
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +32,7 @@ def test_sql_names():
     assert len(catalog.QUERIES) >= 90
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE))
 def test_equals_sql(spark, data, duck, name):
     got = entry_points.queries()[name](spark, data)
     want = duck.execute(entry_points.oracle_sql()[name])

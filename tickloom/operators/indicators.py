@@ -73,8 +73,8 @@ def indicator(bars: DataFrame, name: str, **given) -> DataFrame:
 
 VOL = "coalesce(CASE WHEN volume > 0 THEN volume END, 0)"
 DAY = "floor(time / 86400)"
-#: NaN is larger than any number to Spark.
-USABLE = "(buy_volume IS NOT NULL AND sell_volume IS NOT NULL AND buy_volume >= 0 AND sell_volume >= 0 AND buy_volume < double('infinity') AND sell_volume < double('infinity'))"
+#: NaN is larger than any number to Spark; the cast is one that other engines read as well.
+USABLE = "(buy_volume IS NOT NULL AND sell_volume IS NOT NULL AND buy_volume >= 0 AND sell_volume >= 0 AND buy_volume < CAST('infinity' AS DOUBLE) AND sell_volume < CAST('infinity' AS DOUBLE))"
 
 # ---- averages
 
