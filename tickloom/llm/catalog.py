@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, hmm_lm, mixing, packing, quality_rules, simhash, site_quality, suffix_dedup, token_files, vector_search
+from . import chunk_dedup, hmm_lm, merkle, mixing, packing, quality_rules, simhash, site_quality, suffix_dedup, token_files, vector_search
 
-MODULES = (suffix_dedup, token_files, hmm_lm, simhash, packing, mixing, site_quality, chunk_dedup, vector_search, quality_rules)
+MODULES = (suffix_dedup, token_files, hmm_lm, simhash, packing, mixing, site_quality, chunk_dedup, vector_search, quality_rules, merkle)
 
 
 def queries() -> dict:
