@@ -58,9 +58,8 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
     """Distinct words in order, and the place among them and the text of each word."""
     clean = np.frombuffer(buf.tobytes().translate(SPLIT), np.uint8)
     inside = clean != 32
-    fresh = np.ones(len(clean) + 1, bool)
-    fresh[1:] = False
-    fresh[1:-1] = ~inside[:-1] if len(clean) else fresh[1:-1]
+    fresh = np.zeros(len(clean) + 1, bool)
+    fresh[1:] = ~inside
     fresh[offsets] = True
     starts = np.flatnonzero(inside & fresh[:-1])
     # bytes of words stand together, so that word i ends where word i + 1 begins
@@ -69,49 +68,53 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray
     ends = np.append(before[starts], before[-1]).astype(np.int32)
     column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(clean[inside])]).dictionary_encode()
     order = pc.sort_indices(column.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-    return column.dictionary.take(pa.array(order)), rank[column.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64), text
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    text = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(np.searchsorted(starts, offsets)))
+    return column.dictionary.take(pa.array(order)), rank[column.indices.to_numpy()] if len(starts) else np.zeros(0, np.int32), text
 
 
 def grams(buf: np.ndarray, offsets: np.ndarray, n: int, groups: int):
-    """(strings, group and hash-dealt order of each, then per text: words, features, and (text, place, count) of its features)."""
+    """Strings that end in a line feed and the group of each, by group; words and features of each text; and (text, place, count) of its distinct features."""
     words, ids, text = words_of(buf, offsets)
     m = len(offsets) - 1
-    mix = np.fromiter((zlib.adler32(w) ^ (len(w) << 7) for w in words.to_pylist()), np.uint64, len(words))
+    mix = np.fromiter((zlib.adler32(w) ^ (len(w) << 7) for i in range(0, len(words), 1 << 16) for w in words.slice(i, 1 << 16).to_pylist()), np.uint64, len(words))
     strings, dealt, at, owner = [words], [mix], [ids], [text]
     now, base = ids, len(words)
-    for _ in range(n - 1):
-        if len(text) < 2:
-            break
-        # runs that go on: the run before, and the next word of the same text
-        k = len(at) + 1
-        same = text[k - 1 :] == text[: len(text) - k + 1]
-        first, last = now[: len(same)][same], ids[k - 1 :][same]
-        pair, inverse = np.unique(first * (len(words) + 1) + last, return_inverse=True)
-        a, b = pa.array(pair // (len(words) + 1)), pa.array(pair % (len(words) + 1))
-        strings.append(pc.binary_join_element_wise(strings[-1].take(a), words.take(b), b" "))
-        dealt.append(dealt[-1][a.to_numpy()] * np.uint64(0x9E3779B97F4A7C15) + mix[b.to_numpy()])
-        after = np.full(len(text), -1)
-        after[: len(same)][same] = inverse
-        now = after
-        at.append(inverse + base)
+    for k in range(1, n):
+        # runs that go on: the run before, and the word after it in the same text
+        same = text[k:] == text[: max(0, len(text) - k)]
+        pair, inverse = np.unique(now[: len(same)][same].astype(np.int64) * (len(words) + 1) + ids[k:][same], return_inverse=True)
+        a, b = pair // (len(words) + 1), pair % (len(words) + 1)
+        strings.append(pc.binary_join_element_wise(strings[-1].take(pa.array(a)), words.take(pa.array(b)), b" "))
+        dealt.append(dealt[-1][a] * np.uint64(0x9E3779B97F4A7C15) + mix[b])
+        now = np.full(len(text), -1, np.int32)
+        now[: len(same)][same] = inverse
+        at.append((inverse + base).astype(np.int32))
         owner.append(text[: len(same)][same])
         base += len(pair)
     h = np.concatenate(dealt)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    group = ((h >> np.uint64(32)) % np.uint64(groups)).astype(np.int64)
+    group = ((h >> np.uint64(32)) % np.uint64(groups)).astype(np.int32)
     order = np.argsort(group, kind="stable")
-    place = np.empty(base, np.int64)
-    place[order] = np.arange(base)
-    who, what = np.concatenate(owner), place[np.concatenate(at)]
-    key, count = np.unique(who * max(base, 1) + what, return_counts=True)
-    texts, places = key // max(base, 1), key % max(base, 1)
+    place = np.empty(base, np.int32)
+    place[order] = np.arange(base, dtype=np.int32)
+    n_words, n_features = np.bincount(text, minlength=m), np.zeros(m, np.int64)
+    # one 64-bit key a feature, sorted in place: of all arrays here the longest
+    key = np.empty(sum(map(len, at)), np.int64)
+    filled = 0
+    for who, what in zip(owner, at):
+        n_features += np.bincount(who, minlength=m)
+        np.add(who.astype(np.int64) * max(base, 1), place[what], out=key[filled : filled + len(who)])
+        filled += len(who)
+    at.clear(), owner.clear()
+    key.sort()
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(first, append=len(key)).astype(np.int32)
+    key = key[first]
     ended = pc.binary_join_element_wise(pa.concat_arrays(strings).take(pa.array(order)), b"", b"\n")
-    n_words, n_features = np.bincount(text, minlength=m), np.bincount(who, minlength=m)
-    return ended, group[order], n_words, n_features, texts, places, count
+    return ended, group[order], n_words, n_features, (key // max(base, 1)).astype(np.int32), (key % max(base, 1)).astype(np.int32), count
 
 
 SLICED = "kind string, target boolean, slice long, part int, strings binary, counts binary, doc_ids array<long>, n_words array<long>, n_features array<long>, entries array<int>, places binary"
@@ -122,7 +125,7 @@ def _sliced(batches, n: int, groups: int, target: bool):
     names = [x.split()[0] for x in SLICED.split(", ")]
     kinds = {"kind": pa.string(), "target": pa.bool_(), "slice": pa.int64(), "part": pa.int32(), "strings": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "entries": pa.list_(pa.int32())}
     held, size, number = [], 0, 0
-    squeeze = zstandard.ZstdCompressor(level=3)
+    squeeze = zstandard.ZstdCompressor(level=6)
 
     def close():
         nonlocal number
@@ -181,8 +184,10 @@ def _counted(key, blocks: pa.Table, buckets: int) -> pa.Table:
         counts.append(unpack(c))
     coded = pa.concat_arrays(strings).dictionary_encode()
     at, total = coded.indices.to_numpy(), np.concatenate(counts)
-    crc = zlib.crc32
-    bucket = np.fromiter((crc(s[:-1]) for s in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary)) % buckets
+    strings.clear()
+    # each distinct string once; its line feed isn't part of it
+    distinct = (s[:-1] for i in range(0, len(coded.dictionary), 1 << 16) for s in coded.dictionary.slice(i, 1 << 16).to_pylist())
+    bucket = (np.fromiter(map(zlib.crc32, distinct), np.int64, len(coded.dictionary)) % buckets).astype(np.int32)
     found, sizes = bucket[at], np.array([len(c) for c in counts])
     target = np.repeat(blocks.column("target").to_numpy(zero_copy_only=False).astype(bool), sizes)
     sums = [np.bincount(found[side], weights=total[side], minlength=buckets).astype(np.int64) for side in (~target, target)]
