@@ -3,7 +3,7 @@
 Features are the runs of one word, of two, and so on, as strings; a distinct-feature dictionary does the work.
 A task takes its texts in slices of at most 16 MB and makes each slice's own dictionary, in which a document
 is a list of (place in the dictionary, count). The dictionaries' strings are dealt by a mixing of their
-words' hashes to as many groups as there are 32 MB of text, packed, a row for each slice and group. A group
+words' hashes to as many groups as there are 16 MB of text, packed, a row for each slice and group. A group
 has every occurrence of its strings, once for each slice, so it counts them over the whole corpus and the whole target,
 hashes each distinct string once, adds the counts up by bucket, and answers each slice with the buckets of
 its strings in their order. Gains are of as many rows as there are buckets; they are joined back to
@@ -30,7 +30,7 @@ from .common import scratch, slices, table, text_bytes
 from .order import numbered
 
 #: Bytes of text in a slice, and of text whose strings meet in one group.
-SLICE, GROUP = 16 << 20, 32 << 20
+SLICE = GROUP = 16 << 20
 BUCKETS = 10_000
 
 #: Bytes of a word after lower-casing A-Z; all others separate words. Bytes from 0x80 on are those of letters outside ASCII.
@@ -48,7 +48,7 @@ def pack(x: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 # ---- a slice
@@ -160,6 +160,7 @@ def _sliced(batches, n: int, groups: int, target: bool):
             if held and size + more > SLICE:
                 yield from close()
                 held, size = [], 0
+                pa.default_memory_pool().release_unused()
             held.append(batch.slice(i, j - i))
             size += more
     if held:
@@ -182,13 +183,17 @@ def _counted(key, blocks: pa.Table, buckets: int) -> pa.Table:
         ends = np.flatnonzero(data == 10).astype(np.int64) + 1
         strings.append(pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data)]))
         counts.append(unpack(c))
-    coded = pa.concat_arrays(strings).dictionary_encode()
-    at, total = coded.indices.to_numpy(), np.concatenate(counts)
+    sizes = np.array([len(c) for c in counts])
+    total = np.concatenate(counts)
+    counts.clear()
+    coded = pa.chunked_array(strings).dictionary_encode().unify_dictionaries().combine_chunks()
     strings.clear()
+    at = coded.indices.to_numpy()
     # each distinct string once; its line feed isn't part of it
     distinct = (s[:-1] for i in range(0, len(coded.dictionary), 1 << 16) for s in coded.dictionary.slice(i, 1 << 16).to_pylist())
     bucket = (np.fromiter(map(zlib.crc32, distinct), np.int64, len(coded.dictionary)) % buckets).astype(np.int32)
-    found, sizes = bucket[at], np.array([len(c) for c in counts])
+    found = bucket[at]
+    del coded, at
     target = np.repeat(blocks.column("target").to_numpy(zero_copy_only=False).astype(bool), sizes)
     sums = [np.bincount(found[side], weights=total[side], minlength=buckets).astype(np.int64) for side in (~target, target)]
     used = np.flatnonzero(sums[0] + sums[1])
@@ -196,6 +201,7 @@ def _counted(key, blocks: pa.Table, buckets: int) -> pa.Table:
     kept = [i for i, t in enumerate(blocks.column("target").to_pylist()) if not t]
     rows = [{"kind": "buckets", "slice": blocks.column("slice")[i].as_py(), "part": part, "buckets": pack(found[ends[i] - sizes[i] : ends[i]])} for i in kept]
     rows.append({"kind": "sums", "part": part, "bucket": used.astype(np.int32), "corpus": sums[0][used], "aims": sums[1][used]})
+    pa.default_memory_pool().release_unused()
     kinds = {"kind": pa.string(), "slice": pa.int64(), "part": pa.int32(), "buckets": pa.binary(), "bucket": pa.list_(pa.int32()), "corpus": pa.list_(pa.int64()), "aims": pa.list_(pa.int64())}
     return pa.table({c: pa.array([r.get(c) for r in rows], kind) for c, kind in kinds.items()})
 
@@ -210,7 +216,7 @@ def _weighed(answers: pa.Table, docs: pa.Table, gains: np.ndarray) -> pa.Table:
         entries, step, count = np.array(row["entries"], np.int64), unpack(row["places"]), unpack(row["counts"])
         text = np.repeat(np.arange(len(entries)), entries)
         # places are steps from the one before within a document
-        upto = np.cumsum(step)
+        upto = np.cumsum(step, dtype=np.int64)
         ends = np.cumsum(entries)
         upto -= np.repeat(np.concatenate([[0], upto])[ends - entries], entries)
         total = np.bincount(text, weights=gain[upto] * count, minlength=len(entries)).astype(np.int64)
