@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chunk_dedup, hmm_lm, merkle, mixing, packing, quality_rules, resampling, simhash, site_quality, suffix_dedup, token_files, vector_search
+from . import chunk_dedup, hmm_lm, merkle, mixing, packing, quality_rules, resampling, simhash, site_quality, suffix_dedup, token_files, vector_search, warc
 
-MODULES = (suffix_dedup, token_files, hmm_lm, simhash, packing, mixing, site_quality, chunk_dedup, vector_search, quality_rules, merkle, resampling)
+MODULES = (suffix_dedup, token_files, hmm_lm, simhash, packing, mixing, site_quality, chunk_dedup, vector_search, quality_rules, warc, merkle, resampling)
 
 
 def queries() -> dict:
