@@ -136,7 +136,7 @@ def proof_digest(path: list[tuple[str, str]]) -> str:
 def _blocks(placed: DataFrame, carry: list[str]) -> DataFrame:
     """A row for each block of (tree, pos, n, digest): its rows in order, at most 256, with what else they carry."""
     width = ARITY**HEIGHT
-    rows = placed.groupBy("tree", F.floor(F.col("pos") / width).alias("block")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "digest", *carry))).alias("rows"))
+    rows = placed.groupBy("tree", F.floor(F.col("pos") / width).alias("block")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "digest", *(c for c in carry if c != "pos")))).alias("rows"))
     return rows.select("tree", "block", "n", *(F.col(f"rows.{c}").alias(c) for c in ("digest", *carry)))
 
 
