@@ -9,7 +9,9 @@ from ..functions import columns as C
 from ..operators import alerts as A
 from ..operators import align, analytics, indicators, orderflow, resample, state
 from ..operators.series import DuckChain
+from ..sources import shared
 from ..sources import tables as S
+from ..streaming.upsert import BarTable
 from . import base_sql as Q
 
 QUERIES: dict = {}
@@ -570,6 +572,29 @@ def replay_prefix(spark, d):
     return rounded(analytics.replay(S.bars(spark, d), 100).select("symbol", "time", "close"))
 
 
+# ---- streams over the tables, run to their end
+
+
+def _stream(spark, d, table: str) -> DataFrame:
+    """A table as a stream of its files; a pattern, as the source takes no single file by its plain name."""
+    return spark.readStream.schema(S.table(spark, d, table).schema).parquet(f"{d}/{table}.parque[t]")
+
+
+@query(
+    f"""WITH t AS (SELECT symbol, seq, CAST(floor(time / 3600) * 3600 AS BIGINT) AS time, price, size FROM ({Q.trades()})), m AS (SELECT *, max(time) OVER (PARTITION BY symbol ORDER BY seq ROWS UNBOUNDED PRECEDING) AS top FROM t)
+ SELECT symbol, time, {r('arg_max(price, seq)', 'close')}, {r('arg_max(size, seq)', 'volume')} FROM m WHERE time = top GROUP BY 1, 2"""
+)
+def live_upsert(spark, d):
+    """Each trade as an update of its hour's bar: of the bars, what a versioned table holds after the stream."""
+    t = S.trades(spark, d, events=_stream(spark, d, "events"))
+    price = F.col("price")
+    updates = t.select("symbol", resample.bucket(F.col("time"), 3600).alias("time"), *(price.alias(c) for c in ("open", "high", "low", "close")), F.col("size").alias("volume"), "seq")
+    table = BarTable(spark, shared.folder(spark, "bars"))
+    q = updates.writeStream.foreachBatch(table.sink()).option("checkpointLocation", shared.folder(spark, "bars-offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(table.read().select("symbol", "time", "close", "volume"))
+
+
 # ---- levels and formats
 
 

@@ -17,8 +17,9 @@ def seconds(column: str):
     return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
 
 
-def trades(spark: SparkSession, sf_dir: str, by_symbol: bool = True) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+def trades(spark: SparkSession, sf_dir: str, by_symbol: bool = True, events: DataFrame | None = None) -> DataFrame:
+    """Trades of the table ``events``, or of ``events`` as given: a stream of it, or a part."""
+    e = table(spark, sf_dir, "events") if events is None else events
     side = F.when(F.col("event_type").isin("purchase", "click"), "buy").when(F.col("event_type").isin("error", "view"), "sell")
     return e.select(
         (F.concat(F.lit("S"), F.col("user_id") % 5) if by_symbol else F.lit("ALL")).alias("symbol"),
