@@ -7,6 +7,7 @@ their input has.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -46,15 +47,28 @@ def register_steps(f: Callable[..., DataFrame], *outputs: str, **params) -> None
     REGISTRY[f.__name__] = Indicator(f.__name__, params, outputs, f, True)
 
 
+#: Least and greatest of parameters that aren't periods, by indicator where they differ; periods are from 1 to 5000.
+RANGES = {"mult": (0.1, 10.0), "step": (0.001, 1.0), "most": (0.001, 1.0)}
+OWN_RANGES = {("supertrend", "mult"): (0.1, 20.0)}
+PERIOD = (1, 5000)
+
+
 def settings(name: str, given: dict) -> dict:
-    """Parameters with defaults; periods are rounded and at least 1; unknown names are refused."""
+    """Parameters with defaults, held to their ranges; periods are rounded, what isn't a finite number counts as not given, and unknown names are refused."""
     known = REGISTRY[name].params
     if unknown := set(given) - set(known):
         raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
     out = {}
-    for k, v in (known | given).items():
-        whole = isinstance(known[k], int)
-        out[k] = max(1, int(v + 0.5)) if whole else v
+    for k, default in known.items():
+        v = given.get(k, default)
+        if isinstance(default, str):
+            out[k] = v
+            continue
+        if not isinstance(v, (int, float)) or not math.isfinite(v):
+            v = default
+        low, high = PERIOD if isinstance(default, int) else OWN_RANGES.get((name, k), RANGES[k])
+        v = min(max(v, low), high)
+        out[k] = int(v + 0.5) if isinstance(default, int) else v
     return out
 
 
