@@ -119,16 +119,23 @@ def coherence(history: DataFrame, live: DataFrame, period: int, price_tol: float
 DAY = 86_400
 
 
-def _on_grid(history: DataFrame, live: DataFrame, period: int, by_bucket: bool) -> DataFrame:
+def usual_phase(history: DataFrame, period: int) -> DataFrame:
+    """One row (phase): what most bars' times leave over a period; of equally usual ones the first seen. Null without bars."""
+    phases = history.groupBy(F.pmod("time", F.lit(period)).alias("phase")).agg(F.count("*").alias("n"), F.min("time").alias("first"))
+    return phases.agg(F.min_by("phase", F.struct(-F.col("n"), "first")).alias("phase"))
+
+
+def _on_grid(history: DataFrame, live: DataFrame, period: int, by_bucket: bool, phase: int | None = None) -> DataFrame:
     """Live bars on the archive's usual phase; all of them where only the bucket counts or there is no archive."""
     if by_bucket:
         return live
-    phases = history.groupBy(F.pmod("time", F.lit(period)).alias("phase")).agg(F.count("*").alias("n"), F.min("time").alias("first"))
-    phase = phases.agg(F.min_by("phase", F.struct(-F.col("n"), "first")).alias("phase"))
+    if phase is not None:
+        return live.where(F.pmod("time", F.lit(period)) == phase)
+    phase = usual_phase(history, period)
     return live.join(F.broadcast(phase)).where(F.col("phase").isNull() | (F.pmod("time", F.lit(period)) == F.col("phase"))).drop("phase")
 
 
-def _buckets(history: DataFrame, live: DataFrame, period: int, precedence: str, diverging: str, by_bucket: bool | None, price_tol: float) -> DataFrame:
+def _buckets(history: DataFrame, live: DataFrame, period: int, precedence: str, diverging: str, by_bucket: bool | None, price_tol: float, phase: int | None = None) -> DataFrame:
     """A row for each bucket: b, h, v (bars of both sides), last (bucket of the archive), one (the only side taken, or null), coherent (null without common buckets)."""
     if precedence not in ("cut", "live", "archive"):
         raise ValueError(f"unknown precedence {precedence!r}")
@@ -136,7 +143,7 @@ def _buckets(history: DataFrame, live: DataFrame, period: int, precedence: str,
         raise ValueError(f"unknown side {diverging!r}")
     cols = ["open", "high", "low", "close", "volume"]
     bucket = F.floor(F.col("time") / period).alias("b")
-    on_grid = _on_grid(history, live, period, period >= DAY if by_bucket is None else by_bucket)
+    on_grid = _on_grid(history, live, period, period >= DAY if by_bucket is None else by_bucket, phase)
     row = F.struct("time", *cols)
     h = history.groupBy(bucket).agg(F.max_by(row, "time").alias("h"))
     v = on_grid.groupBy(bucket).agg(F.min_by(row, "time").alias("v"))
@@ -146,16 +153,16 @@ def _buckets(history: DataFrame, live: DataFrame, period: int, precedence: str,
     return h.join(v, "b", "full_outer").join(F.broadcast(last), F.lit(True), "left").join(F.broadcast(verdict.select("coherent", one)))
 
 
-def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001) -> DataFrame:
+def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001, phase: int | None = None) -> DataFrame:
     """Bars of an archive continued by a live series, one per bucket, with where each came from.
 
     Live bars off the archive's usual phase are dropped. ``cut``: live bars older than the archive's last
     bucket are dropped, and the live bar wins in that bucket; ``live``: live bars win; ``archive``: archive bars win.
     ``diverging``: what is taken where ``coherence`` finds the sources incompatible: ``archive`` or ``live`` alone
     (half a splice has a step at the seam), or ``merge`` them anyway. ``by_bucket`` (from a day on, if not given):
-    the phase doesn't count, and a live bar that wins keeps the archive's time.
+    the phase doesn't count, and a live bar that wins keeps the archive's time. ``phase``, if given, stands for the archive's usual one.
     """
-    joined = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol)
+    joined = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol, phase)
     h, v, one = F.col("h"), F.col("v"), F.col("one")
     late = F.col("last").isNull() | (F.col("b") >= F.col("last"))
     taken = v.isNotNull() & (late if precedence == "cut" else F.lit(True))
@@ -168,9 +175,9 @@ def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "
     return joined.select(F.when(live_won, bar).otherwise(h).alias("w"), F.when(live_won, "live").otherwise("archive").alias("origin"), overlap.alias("overlap")).select("w.*", "origin", "overlap")
 
 
-def splice_report(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001, gap_tol: int = 0) -> DataFrame:
+def splice_report(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001, gap_tol: int = 0, phase: int | None = None) -> DataFrame:
     """One row on a splice: seam (time of the first live bar used), bars by origin, live bars that overlap, fall to the cut or are off the grid, gap before the seam, the bar still forming, coherent."""
-    j = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol)
+    j = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol, phase)
     keeps = period >= DAY if by_bucket is None else by_bucket
     h, v = F.col("h").isNotNull(), F.col("v").isNotNull()
     used = v & (F.col("last").isNull() | (F.col("b") >= F.col("last")))
