@@ -64,9 +64,9 @@ def test_columnar_roundtrip_and_refusal(spark):
 def test_splice_prefers(spark):
     h = spark.createDataFrame([(60 * i, 1.0, 1.0, 1.0, float(i), 1.0) for i in range(5)], "time long, open double, high double, low double, close double, volume double")
     v = spark.createDataFrame([(60 * i, 1.0, 1.0, 1.0, 100.0 + i, 1.0) for i in range(3, 8)] + [(301, 1.0, 1.0, 1.0, 9.0, 1.0)], h.schema)
-    got = {r.time: (r.close, r.origin) for r in align.splice(h, v, 60).collect()}
+    got = {r.time: (r.close, r.origin) for r in align.splice(h, v, 60, diverging="merge").collect()}
     assert got[180] == (3.0, "archive") and got[240] == (104.0, "live") and got[420] == (107.0, "live") and 301 not in got
-    assert {r.close for r in align.splice(h, v, 60, "archive").where("time = 240").collect()} == {4.0}
+    assert {r.close for r in align.splice(h, v, 60, "archive", diverging="merge").where("time = 240").collect()} == {4.0}
     with pytest.raises(ValueError):
         align.splice(h, v, 60, "none")
 
@@ -140,11 +140,11 @@ def test_alerts(spark):
     def times(*alerts):
         return sorted(r.time for r in A.evaluate(s, list(alerts)).collect())
 
-    assert times(A.Alert("x", "CROSS_ABOVE", level=10.0)) == [2, 5]
-    assert times(A.Alert("x", "CROSS_ABOVE", level=10.0, once=True)) == [2]
-    assert times(A.Alert("x", "TOUCH", level=11.2)) == [2]
-    assert times(A.Alert("x", "SERIES_CROSS")) == [2, 4, 5]
-    assert times(A.Alert("x", "PERCENT_CHANGE", percent=30.0)) == [2, 5]
+    assert times(A.Alert("x", "CROSS_ABOVE", level=10.0, once=False)) == [2, 5]
+    assert times(A.Alert("x", "CROSS_ABOVE", level=10.0)) == [2]  # once is the default
+    assert times(A.Alert("x", "TOUCH", level=11.2, once=False)) == [2]
+    assert times(A.Alert("x", "SERIES_CROSS", once=False)) == [2, 4, 5]
+    assert times(A.Alert("x", "PERCENT_CHANGE", percent=30.0, once=False)) == [2, 5]
     with pytest.raises(ValueError):
         times(A.Alert("x", "NONE"))
 

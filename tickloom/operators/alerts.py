@@ -24,7 +24,7 @@ class Alert:
     low: float | None = None
     high: float | None = None
     percent: float | None = None
-    once: bool = False
+    once: bool = True
 
 
 def _holds(alert: Alert) -> tuple[Column, bool]:
@@ -71,3 +71,9 @@ def evaluate(samples: DataFrame, alerts: list[Alert]) -> DataFrame:
 
 def alert_levels(alert: Alert) -> list[float]:
     return sorted(x for x in (alert.level, alert.low, alert.high) if x is not None)
+
+
+def with_references(samples: DataFrame, references: DataFrame) -> DataFrame:
+    """``samples`` with the reference (symbol, time, reference) of their own time; null where there is none."""
+    one = references.groupBy("symbol", "time").agg(F.first("reference").alias("reference"))
+    return samples.drop("reference").join(one, ["symbol", "time"], "left")

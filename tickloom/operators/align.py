@@ -153,7 +153,7 @@ def _buckets(history: DataFrame, live: DataFrame, period: int, precedence: str,
     return h.join(v, "b", "full_outer").join(F.broadcast(last), F.lit(True), "left").join(F.broadcast(verdict.select("coherent", one)))
 
 
-def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001, phase: int | None = None) -> DataFrame:
+def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "archive", by_bucket: bool | None = None, price_tol: float = 0.001, phase: int | None = None) -> DataFrame:
     """Bars of an archive continued by a live series, one per bucket, with where each came from.
 
     Live bars off the archive's usual phase are dropped. ``cut``: live bars older than the archive's last
@@ -175,7 +175,7 @@ def splice(history: DataFrame, live: DataFrame, period: int, precedence: str = "
     return joined.select(F.when(live_won, bar).otherwise(h).alias("w"), F.when(live_won, "live").otherwise("archive").alias("origin"), overlap.alias("overlap")).select("w.*", "origin", "overlap")
 
 
-def splice_report(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "merge", by_bucket: bool | None = None, price_tol: float = 0.001, gap_tol: int = 0, phase: int | None = None) -> DataFrame:
+def splice_report(history: DataFrame, live: DataFrame, period: int, precedence: str = "cut", diverging: str = "archive", by_bucket: bool | None = None, price_tol: float = 0.001, gap_tol: int = 0, phase: int | None = None) -> DataFrame:
     """One row on a splice: seam (time of the first live bar used), bars by origin, live bars that overlap, fall to the cut or are off the grid, gap before the seam, the bar still forming, coherent."""
     j = _buckets(history, live, period, precedence, diverging, by_bucket, price_tol, phase)
     keeps = period >= DAY if by_bucket is None else by_bucket

@@ -544,13 +544,13 @@ def _samples(spark, d):
 SAMPLES = f"""s AS (SELECT symbol, time, close AS value, high, low, avg(close) OVER (PARTITION BY symbol ORDER BY time ROWS 19 PRECEDING) AS reference FROM ({Q.bars()})),
  l AS (SELECT *, lag(value) OVER w AS p, lag(reference) OVER w AS rp, first_value(value) OVER w AS bl FROM s WINDOW w AS (PARTITION BY symbol ORDER BY time))"""
 KINDS = {
-    "cross_above": (A.Alert("a", "CROSS_ABOVE", level=LEVEL), f"p <= {LEVEL} AND value > {LEVEL}", False),
-    "cross_below": (A.Alert("a", "CROSS_BELOW", level=LEVEL), f"p >= {LEVEL} AND value < {LEVEL}", False),
-    "touch": (A.Alert("a", "TOUCH", level=LEVEL), f"low <= {LEVEL} AND high >= {LEVEL}", True),
-    "enter_zone": (A.Alert("a", "ENTER_ZONE", low=200.0, high=300.0), "NOT (p BETWEEN 200 AND 300) AND value BETWEEN 200 AND 300", False),
-    "exit_zone": (A.Alert("a", "EXIT_ZONE", low=200.0, high=300.0), "p BETWEEN 200 AND 300 AND NOT (value BETWEEN 200 AND 300)", False),
-    "percent_change": (A.Alert("a", "PERCENT_CHANGE", percent=5.0), "100 * (value - bl) / nullif(bl, 0) >= 5", True),
-    "series_cross": (A.Alert("a", "SERIES_CROSS"), "(p - rp <= 0 AND value - reference > 0) OR (p - rp >= 0 AND value - reference < 0)", False),
+    "cross_above": (A.Alert("a", "CROSS_ABOVE", level=LEVEL, once=False), f"p <= {LEVEL} AND value > {LEVEL}", False),
+    "cross_below": (A.Alert("a", "CROSS_BELOW", level=LEVEL, once=False), f"p >= {LEVEL} AND value < {LEVEL}", False),
+    "touch": (A.Alert("a", "TOUCH", level=LEVEL, once=False), f"low <= {LEVEL} AND high >= {LEVEL}", True),
+    "enter_zone": (A.Alert("a", "ENTER_ZONE", low=200.0, high=300.0, once=False), "NOT (p BETWEEN 200 AND 300) AND value BETWEEN 200 AND 300", False),
+    "exit_zone": (A.Alert("a", "EXIT_ZONE", low=200.0, high=300.0, once=False), "p BETWEEN 200 AND 300 AND NOT (value BETWEEN 200 AND 300)", False),
+    "percent_change": (A.Alert("a", "PERCENT_CHANGE", percent=5.0, once=False), "100 * (value - bl) / nullif(bl, 0) >= 5", True),
+    "series_cross": (A.Alert("a", "SERIES_CROSS", once=False), "(p - rp <= 0 AND value - reference > 0) OR (p - rp >= 0 AND value - reference < 0)", False),
 }
 
 
