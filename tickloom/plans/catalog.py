@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import alerts as A
 from ..operators import align, analytics, indicators, orderflow, resample, state
 from ..operators.series import DuckChain
-from ..sources import shared
+from ..sources import landed, shared
 from ..sources import tables as S
 from ..streaming.upsert import BarTable
 from . import base_sql as Q
@@ -595,6 +595,18 @@ def live_upsert(spark, d):
     return rounded(table.read().select("symbol", "time", "close", "volume"))
 
 
+@query(f"SELECT symbol, time, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')} FROM ({Q.bars()}) WHERE symbol = 'S3' AND time >= 1705000000")
+def landed_bars(spark, d):
+    """Bars landed as answers of a day each, and one symbol's late ones read back as a data source."""
+    path, n = shared.folder(spark, "landed"), "format_string('%d', time - time % 86400"
+    fields = F.struct("time", "open", "high", "low", "close", "volume", F.col("buy_volume").alias("buyVolume"), F.col("sell_volume").alias("sellVolume"))
+    days = S.bars(spark, d).groupBy("symbol", F.lit(3600).alias("period"), F.expr(f"{n})").alias("start"), F.expr(f"{n} + 86400)").alias("end"))
+    days.agg(F.to_json(F.collect_list(fields)).alias("value")).write.partitionBy("symbol", "period", "start", "end").text(path)
+    landed.register(spark)
+    bars = spark.read.format("landed_bars").load(path).where("symbol = 'S3' and time >= 1705000000")
+    return rounded(bars.select("symbol", "time", "open", "high", "low", "close", "volume"))
+
+
 # ---- levels and formats
 
 
