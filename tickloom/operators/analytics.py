@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, offset_day, side_usable
+from ..functions.columns import finite, offset_day
 from .align import align
 
 DAY = 86_400
@@ -125,17 +125,6 @@ def split_by_session(bars: DataFrame, period: int, sessions: Sessions, whole_day
     return bars.where(ok), bars.where(~ok)
 
 
-def quality_report(bars: DataFrame, period: int, sessions: Sessions, degraded_from: int | None = None, least_side: float = 0.5) -> DataFrame:
-    """One row per symbol: counts of doubtful bars, reasons, and the verdict OK, CAUTION or FAILED."""
-    inside = touches_session(F.col("time"), period, sessions)
-    degraded = (F.lit(period < DAY) & (F.col("time") >= degraded_from)) if degraded_from is not None else F.lit(False)
-    n = F.count("*")
-    s = bars.groupBy("symbol").agg(n.alias("n"), F.count_if(degraded).alias("degraded"), (F.count_if(side_usable()) / n).alias("side_share"), (F.count_if(~inside) / n).alias("outside_share"))
-    reasons = F.array(F.when(F.col("degraded") > 0, "degraded intraday"), F.when(F.col("side_share") < least_side, "aggressor missing"), F.when(F.col("outside_share") >= 0.05, "outside sessions"), F.when((F.col("outside_share") > 0) & (F.col("outside_share") < 0.05), "few outside sessions"))
-    verdict = F.when(F.col("outside_share") >= 0.05, "FAILED").when((F.col("degraded") > 0) | (F.col("side_share") < least_side) | (F.col("outside_share") > 0), "CAUTION").otherwise("OK")
-    return s.withColumn("reasons", F.filter(reasons, lambda x: x.isNotNull())).withColumn("verdict", verdict)
-
-
 def volume_coverage(bars: DataFrame, official: DataFrame, offset: int = -10_800) -> DataFrame:
     """One row: days, median and worst share of the official volume, and days under 0.9. official: (day, volume)."""
     own = bars.groupBy(offset_day(F.col("time"), offset).alias("day")).agg(F.sum("volume").alias("own"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import alerts as A
-from ..operators import align, analytics, indicators, orderflow, resample, state
+from ..operators import align, analytics, indicators, orderflow, prices, quality, resample, search, state
 from ..operators.series import DuckChain
 from ..sources import landed, shared
 from ..sources import tables as S
@@ -503,14 +503,43 @@ def session_filter(spark, d):
     return rounded(kept.select("symbol", "time", "close"))
 
 
-@query(
-    f"""WITH {INSIDE}, u AS (SELECT *, coalesce(buy_volume >= 0 AND sell_volume >= 0 AND (volume IS NULL OR volume <= 0 OR (buy_volume + sell_volume) / nullif(volume, 0) >= 0.9), false) AS us FROM s),
- q AS (SELECT symbol, count(*) AS n, count(*) FILTER (us) / count(*) AS ss, count(*) FILTER (NOT inside) / count(*) AS os FROM u GROUP BY 1)
- SELECT symbol, n, {r('ss', 'side_share')}, {r('os', 'outside_share')}, CASE WHEN os >= 0.05 THEN 'FAILED' WHEN ss < 0.5 OR os > 0 THEN 'CAUTION' ELSE 'OK' END AS verdict FROM q"""
-)
+#: From when on hourly bars are known to be incomplete, and where the source was vetted, for the queries.
+DEGRADED, VETTED = 1_706_000_000, (1_704_200_000, 1_706_500_000)
+LEVEL_OF = "CASE WHEN {fail} THEN 'FAILED' WHEN {care} THEN 'CAUTION' ELSE 'OK' END"
+
+
+def _quality_sql(fail: str, care: str, where: str = "true") -> str:
+    share = "count(*) FILTER (buy_volume IS NOT NULL AND sell_volume IS NOT NULL) / count(*)"
+    return f"""WITH {INSIDE}, q AS (SELECT symbol, count(*) AS n, count(*) FILTER (time < {VETTED[0]} OR time > {VETTED[1]}) AS unvetted, {share} AS ss, count(*) FILTER (NOT inside) AS outside, max(time) AS last FROM s WHERE {where} GROUP BY 1)
+ SELECT symbol, n, unvetted, outside, {r('ss', 'side_share')}, {LEVEL_OF.format(fail=fail, care=care)} AS verdict FROM q"""
+
+
+def _quality(spark, d, profile: quality.Profile, bars: DataFrame | None = None) -> DataFrame:
+    q = quality.report(S.bars(spark, d) if bars is None else bars, 3600, profile)
+    return rounded(q.select("symbol", "n", "unvetted", "outside", "side_share", "verdict"))
+
+
+@query(_quality_sql("outside / n >= 0.05", "unvetted > 0 OR ss < 0.9 OR outside / n > 0.02"))
 def quality_report(spark, d):
-    q = analytics.quality_report(S.bars(spark, d), 3600, analytics.WEEKDAYS)
-    return rounded(q.select("symbol", "n", "side_share", "outside_share", "verdict"))
+    """Vetted window, least share of sides, tolerance of bars outside sessions."""
+    return _quality(spark, d, quality.Profile(sessions=analytics.WEEKDAYS, least_sides=0.9, tolerated_outside=0.02, vetted=VETTED))
+
+
+@query(_quality_sql(f"last >= {DEGRADED}", "unvetted > 0", "symbol <> 'S1' OR time < 1705900000"))
+def quality_degraded(spark, d):
+    """Hourly bars that go on past the time from which they are incomplete fail, whatever else; one symbol ends before. No sessions are declared."""
+    b = S.bars(spark, d).where((F.col("symbol") != "S1") | (F.col("time") < 1_705_900_000))
+    q = quality.report(b, 3600, quality.Profile(incomplete_from=DEGRADED, vetted=VETTED))
+    inside = analytics.touches_session(F.col("time"), 3600, analytics.WEEKDAYS)
+    outside = b.groupBy("symbol").agg(F.count_if(~inside).alias("outside"))
+    return rounded(q.drop("outside").join(outside, "symbol").select("symbol", "n", "unvetted", "outside", "side_share", "verdict"))
+
+
+@query(_quality_sql("false", "true"))
+def quality_by_period(spark, d):
+    """A rule for the period: caution, and a vetted window that comes before the profile's."""
+    rule = quality.PeriodRule(3600, "CAUTION", "hours are checked by hand", VETTED)
+    return _quality(spark, d, quality.Profile(sessions=analytics.WEEKDAYS, tolerated_outside=1.0, vetted=(0, 1), rules=(rule, quality.PeriodRule(60, "FAILED"))))
 
 
 @query(
@@ -643,6 +672,60 @@ def price_format(spark, d):
     return S.bars(spark, d).select("symbol", "time", F.round(C.round_to_tick(F.col("close"), 0.25), 6).alias("price"))
 
 
+def _ticks(bounds: str, log: bool) -> str:
+    nice = "CASE WHEN s / g >= 5 THEN 5 WHEN s / g >= 2.5 THEN 2.5 WHEN s / g >= 2 THEN 2 ELSE 1 END * g"
+    linear = f"""b AS ({bounds}), s AS (SELECT *, (top - bottom) / 6 AS s, pow(10, floor(log10((top - bottom) / 6))) AS g FROM b WHERE top > bottom), p AS (SELECT symbol, top, bottom, {nice} AS step FROM s),
+ lin AS (SELECT symbol, unnest(list_transform(range(CAST(floor(top / step + 0.001) - ceil(bottom / step) + 1 AS BIGINT)), lambda k: (ceil(bottom / step) + k) * step)) AS tick FROM p)"""
+    if not log:
+        return f"WITH {linear} SELECT symbol, round(tick, 6) + 0.0 AS tick FROM lin"
+    return f"""WITH {linear}, d AS (SELECT *, CAST(floor(log10(bottom)) AS BIGINT) AS k0, CAST(ceil(log10(top)) AS BIGINT) AS k1 FROM b WHERE bottom > 0 AND top > bottom),
+ e AS (SELECT *, unnest(range(k0, k1 + 1, CASE WHEN k1 - k0 <= 4 THEN 1 ELSE greatest(1, CAST(ceil((k1 - k0) / 6) AS BIGINT)) END)) AS k FROM d), f AS (SELECT *, unnest(CASE WHEN k1 - k0 <= 2 THEN [1, 2, 5] WHEN k1 - k0 <= 4 THEN [1, 5] ELSE [1] END) * pow(10, k) AS tick FROM e),
+ lg AS (SELECT symbol, tick, count(*) OVER (PARTITION BY symbol) AS n FROM f WHERE tick >= bottom * (1 - 1e-9) AND tick <= top * (1 + 1e-9))
+ SELECT symbol, round(tick, 6) + 0.0 AS tick FROM lg WHERE n >= 3 UNION ALL SELECT symbol, round(tick, 6) + 0.0 FROM lin WHERE symbol NOT IN (SELECT symbol FROM lg WHERE n >= 3)"""
+
+
+BOUNDS = f"SELECT symbol, max(high) + 0.05 * (max(high) - min(low)) AS top, min(low) - 0.05 * (max(high) - min(low)) AS bottom FROM ({Q.bars()}) GROUP BY 1"
+#: Under each price so many times its own hundredth: some symbols span few decades, some many.
+DECADES = f"SELECT symbol, max(high) * 1.0 AS top, max(high) / pow(10, 1 + CAST(substr(symbol, 2) AS INTEGER) * 2) AS bottom FROM ({Q.bars()}) GROUP BY 1"
+
+
+@query(_ticks(BOUNDS, False))
+def price_ticks(spark, d):
+    bounds = S.bars(spark, d).groupBy("symbol").agg(F.max("high").alias("hi"), F.min("low").alias("lo"))
+    return rounded(prices.price_ticks(prices.auto_scale(bounds)))
+
+
+@query(_ticks(DECADES, True))
+def price_ticks_log(spark, d):
+    top = F.max("high")
+    bounds = S.bars(spark, d).groupBy("symbol").agg(top.alias("top"), (top / F.pow(F.lit(10.0), 1 + F.expr("int(substring(symbol, 2))") * 2)).alias("bottom"))
+    return rounded(prices.price_ticks(bounds, logarithmic=True))
+
+
+@query(f"SELECT symbol, time, printf('%.2f', floor(close / 0.25 + 0.5) * 0.25) AS quarter, printf('%.0f', floor(close / 5 + 0.5) * 5) AS fives FROM ({Q.bars()})")
+def price_text(spark, d):
+    c = F.col("close")
+    return S.bars(spark, d).select("symbol", "time", prices.format_price(c, tick=0.25).alias("quarter"), prices.format_price(c, tick=5.0).alias("fives"))
+
+
+def _fuzzy(needle: str) -> str:
+    """Every alignment of the needle, one join a letter, and the best of each name."""
+    at = lambda j, d=0: f"substr(p_name, CAST({j} + 1 + {d} AS BIGINT), 1)"
+    bonus = lambda j: f"CASE WHEN {j} = 0 THEN 24 WHEN NOT regexp_matches({at(j, -1)}, '[\\p{{L}}\\p{{N}}]') THEN 20 WHEN {at(j, -1)} = lower({at(j, -1)}) AND {at(j)} <> lower({at(j)}) THEN 14 WHEN NOT regexp_matches({at(j, -1)}, '\\p{{Nd}}') AND regexp_matches({at(j)}, '\\p{{Nd}}') THEN 10 ELSE 0 END"
+    c = "c AS (SELECT p_partkey, p_name, len(p_name) AS n, unnest(range(len(p_name))) AS j FROM part)"
+    steps = [f"a0 AS (SELECT p_partkey, p_name, n, j, greatest(-2 * j, -30) + 16 + {bonus('j')} AS score FROM c WHERE lower({at('j')}) = '{needle[0]}')"]
+    for i, letter in enumerate(needle[1:], 1):
+        more = f"CASE WHEN c.j = a.j + 1 THEN greatest(34, 16 + {bonus('c.j').replace('p_name', 'c.p_name')}) ELSE -3 * (c.j - a.j - 1) + 16 + {bonus('c.j').replace('p_name', 'c.p_name')} END"
+        steps.append(f"a{i} AS (SELECT a.p_partkey, a.p_name, a.n, c.j, a.score + {more} AS score FROM a{i - 1} a JOIN c ON a.p_partkey = c.p_partkey AND c.j > a.j WHERE lower({at('c.j').replace('p_name', 'c.p_name')}) = '{letter}')")
+    return f"WITH {c}, {', '.join(steps)}, b AS (SELECT p_partkey, p_name, max(score - (n - 1 - j)) AS score FROM a{len(needle) - 1} WHERE n > {len(needle)} GROUP BY 1, 2) SELECT p_partkey, p_name, CAST(score AS DOUBLE) AS score FROM b ORDER BY score DESC, p_partkey LIMIT 200"
+
+
+@query(_fuzzy("lwi"))
+def fuzzy_rank(spark, d):
+    """The 200 part names that fit best."""
+    return search.fuzzy_rank(S.table(spark, d, "part").select("p_partkey", "p_name"), "lwi", "p_name", "p_partkey", 200).drop("ranges")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
