@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import alerts as A
-from ..operators import align, analytics, indicators, orderflow, prices, quality, resample, search, state
+from ..operators import align, analytics, audit, geometry, indicators, orderflow, prices, quality, resample, search, state
 from ..operators.series import DuckChain
 from ..sources import landed, shared
 from ..sources import tables as S
@@ -559,6 +559,68 @@ def ohlc_audit(spark, d):
     return analytics.ohlc_audit(S.bars(spark, d), 3600)
 
 
+OFFICIAL = f"""b AS ({Q.daily(True)}), c AS (SELECT symbol, time, close, strftime(make_timestamp(time * 1000000), '%Y-%m-%d') AS day FROM b),
+ o AS (SELECT symbol, day, close * CASE WHEN symbol = '1-URGENT' THEN 1 WHEN symbol = '2-HIGH' AND time % 864000 = 0 THEN 1.0005 WHEN time % 864000 = 0 THEN 1.01 ELSE 1 END AS official FROM c WHERE time < 880000000 AND symbol <> '5-LOW')"""
+
+
+@query(
+    f"""WITH {OFFICIAL}, e AS (SELECT c.symbol, c.time, abs(c.close - official) / nullif(official, 0) AS error FROM c LEFT JOIN o ON c.symbol = o.symbol AND c.day = o.day)
+ SELECT symbol, 'settlement' AS "check", CASE WHEN count(error) = 0 THEN 'WARN' WHEN count(*) FILTER (error < 1e-9) = count(error) THEN 'OK' WHEN max(error) <= 0.001 THEN 'WARN' ELSE 'FAIL' END AS status, count(error) AS n, {r('max(error)', 'value')},
+ coalesce(array_to_string(list_sort(list(time) FILTER (error > 0.001))[1:3], ','), '') AS examples FROM e GROUP BY 1"""
+)
+def settlement_audit(spark, d):
+    """Daily closes against official ones that are equal, a little off, far off or absent, by symbol."""
+    b = S.daily(spark, d, True)
+    symbol, tenth = F.col("symbol"), F.col("time") % 864_000 == 0
+    factor = F.when(symbol == "1-URGENT", 1.0).when((symbol == "2-HIGH") & tenth, 1.0005).when(tenth, 1.01).otherwise(1.0)
+    day = F.date_format(F.timestamp_seconds("time"), "yyyy-MM-dd").alias("day")
+    best = b.where((F.col("time") < 880_000_000) & (symbol != "5-LOW")).select("symbol", day, (F.col("close") * factor).alias("last_price"), F.lit(2.0).alias("traded_qty"))
+    less = best.withColumn("last_price", F.col("last_price") * 3).withColumn("traded_qty", F.lit(1.0))
+    return rounded(audit.settlement(b, less.unionByName(best)).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",")))
+
+
+@query(
+    f"""WITH b AS ({Q.bars()}), a AS (SELECT * FROM b), v AS (SELECT symbol, time, close * CASE WHEN symbol = 'S1' THEN 1.002 ELSE 1.0005 END AS close, volume * CASE WHEN symbol = 'S2' THEN 34 ELSE 1 END AS volume FROM b WHERE symbol <> 'S3' OR time % 7200 = 0),
+ p AS (SELECT a.symbol, a.time, abs(v.close - a.close) AS gap, a.close, CASE WHEN a.volume > 0 AND v.volume > 0 THEN v.volume / a.volume END AS ratio FROM a JOIN v ON a.symbol = v.symbol AND a.time = v.time),
+ s AS (SELECT symbol, count(*) AS n, 100 * avg(gap) / arg_min(close, time) AS apart, arg_min(close, time) AS level, count(ratio) AS nr, list_sort(list(ratio) FILTER (ratio IS NOT NULL))[count(ratio) // 2 + 1] AS ratio FROM p GROUP BY 1),
+ z AS (SELECT s.*, n / least((SELECT count(*) FROM a WHERE a.symbol = s.symbol), (SELECT count(*) FROM v WHERE v.symbol = s.symbol)) AS covered FROM s),
+ f AS (SELECT p.symbol, coalesce(array_to_string(list_sort(list(time) FILTER (100 * gap / level >= 0.15))[1:3], ','), '') AS ec, coalesce(array_to_string(list_sort(list(time) FILTER (NOT (p.ratio > 0.5 AND p.ratio < 2)))[1:3], ','), '') AS ev FROM p JOIN s ON p.symbol = s.symbol GROUP BY 1)
+ SELECT z.symbol, unnest(['coverage', 'close', 'volume']) AS "check", unnest([CASE WHEN covered < 0.8 THEN 'FAIL' ELSE 'OK' END, CASE WHEN apart < 0.15 THEN 'OK' ELSE 'FAIL' END, CASE WHEN ratio > 0.5 AND ratio < 2 THEN 'OK' ELSE 'FAIL' END]) AS status,
+ unnest([n, n, nr]) AS n, unnest([round(covered, 6) + 0.0, round(apart, 6) + 0.0, round(ratio, 6) + 0.0]) AS value, unnest(['', ec, ev]) AS examples FROM z JOIN f ON z.symbol = f.symbol"""
+)
+def agreement_audit(spark, d):
+    """Two sources whose closes, volumes or times differ, by symbol."""
+    b = S.bars(spark, d).select("symbol", "time", "close", "volume")
+    symbol = F.col("symbol")
+    live = b.where((symbol != "S3") | (F.col("time") % 7200 == 0)).withColumn("close", F.col("close") * F.when(symbol == "S1", 1.002).otherwise(1.0005)).withColumn("volume", F.col("volume") * F.when(symbol == "S2", 34).otherwise(1))
+    return rounded(audit.agreement(b, live, 3600).withColumn("examples", F.array_join(F.transform("examples", lambda x: x.cast("string")), ",")))
+
+
+#: Some lines and boxes for each symbol, from its own range.
+DRAWINGS = f"""g AS (SELECT symbol, min(time) AS a, max(time) AS z, min(low) AS lo, max(high) AS hi FROM ({Q.bars()}) GROUP BY 1),
+ dr AS (SELECT symbol, unnest(['segment', 'ray', 'line', 'horizontal', 'vertical', 'box']) AS shape, unnest([a + (z - a) // 5, a + (z - a) // 2, a + (z - a) // 3, a, a + ((z - a) // 7200) * 3600, a + (z - a) // 4]) AS t0, unnest([lo, hi, lo + (hi - lo) / 3, lo + (hi - lo) / 2, lo, lo + (hi - lo) / 4]) AS p0,
+ unnest([z, a + (z - a) // 3, a + (z - a) // 2, a, a + ((z - a) // 7200) * 3600, a + (z - a) // 2]) AS t1, unnest([hi, lo + (hi - lo) / 2, lo + (hi - lo) / 2, lo, hi, hi]) AS p1 FROM g)"""
+
+
+@query(
+    f"""WITH b AS ({Q.bars()}), {DRAWINGS}, m AS (SELECT b.symbol, shape, time, low, high, t0, p0, t1, p1, p0 + (p1 - p0) * (time - t0) / nullif(CAST(t1 - t0 AS DOUBLE), 0) AS y FROM b JOIN dr ON b.symbol = dr.symbol)
+ SELECT symbol, shape AS drawing, shape, time FROM m WHERE CASE shape WHEN 'segment' THEN time BETWEEN t0 AND t1 AND y BETWEEN low AND high WHEN 'ray' THEN time <= t0 AND y BETWEEN low AND high WHEN 'line' THEN y BETWEEN low AND high
+ WHEN 'horizontal' THEN p0 BETWEEN low AND high WHEN 'vertical' THEN time = t0 ELSE time BETWEEN t0 AND t1 AND low <= p1 AND high >= p0 END"""
+)
+def touched_bars(spark, d):
+    """Bars that some lines and boxes of their symbol pass through, met in cells of a day and 25 of price."""
+    b = S.bars(spark, d)
+    drawings = b.groupBy("symbol").agg(F.min("time").alias("a"), F.max("time").alias("z"), F.min("low").alias("lo"), F.max("high").alias("hi"))
+    at = lambda k: f"a + (z - a) div {k}"
+    mid = "a + ((z - a) div 7200) * 3600"
+    rows = [
+        ("segment", at(5), "lo", "z", "hi"), ("ray", at(2), "hi", at(3), "lo + (hi - lo) / 2"), ("line", at(3), "lo + (hi - lo) / 3", at(2), "lo + (hi - lo) / 2"),
+        ("horizontal", "a", "lo + (hi - lo) / 2", "a", "lo"), ("vertical", mid, "lo", mid, "hi"), ("box", at(4), "lo + (hi - lo) / 4", at(2), "hi"),
+    ]
+    each = ", ".join(f"named_struct('drawing', '{s}', 'shape', '{s}', 't0', {t0}, 'p0', {p0}, 't1', {t1}, 'p1', {p1})" for s, t0, p0, t1, p1 in rows)
+    return geometry.touched(b, drawings.select("symbol", F.explode(F.expr(f"array({each})")).alias("x")).select("symbol", "x.*"), 86_400, 25.0)
+
+
 # ---- alerts and replay
 
 LEVEL = 245.0
