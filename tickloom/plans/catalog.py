@@ -108,12 +108,41 @@ for _name in [n for n, x in indicators.REGISTRY.items() if not x.steps]:
     _indicator(_name)
 
 
-@query()
+def _supertrend_sql() -> str:
+    """A row after another, as a recursive query over places."""
+    c = DuckChain(Q.bars())
+    a = c.rma(c.true_range(), 10)
+    base = c.sql(f"symbol, time, high, low, close, {a} AS atr")
+    return f"""WITH RECURSIVE f AS MATERIALIZED ({base}), k AS MATERIALIZED (SELECT symbol, time, close, (high + low) / 2 + 3 * atr AS up, (high + low) / 2 - 3 * atr AS down, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k FROM f WHERE atr IS NOT NULL),
+ s AS (SELECT symbol, time, k, close, up, down, 1 AS side FROM k WHERE k = 1 UNION ALL
+  SELECT k.symbol, k.time, k.k, k.close, CASE WHEN s.close <= s.up THEN least(k.up, s.up) ELSE k.up END, CASE WHEN s.close >= s.down THEN greatest(k.down, s.down) ELSE k.down END, CASE WHEN s.side > 0 AND k.close < s.down THEN -1 WHEN s.side < 0 AND k.close > s.up THEN 1 ELSE s.side END
+  FROM s JOIN k ON s.symbol = k.symbol AND k.k = s.k + 1)
+ SELECT f.symbol, f.time, {r('CASE WHEN side > 0 THEN down ELSE up END', 'value')}, CAST(side AS DOUBLE) AS direction FROM f LEFT JOIN s ON f.symbol = s.symbol AND f.time = s.time"""
+
+
+PSAR_SQL = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, time, high, low, close, row_number() OVER w AS k, lag(high) OVER w AS h1, lag(low) OVER w AS l1, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(close) OVER w AS c1 FROM ({Q.bars()}) WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+ s AS (SELECT symbol, k, close >= c1 AS up, CASE WHEN close >= c1 THEN l1 ELSE h1 END AS sar, CASE WHEN close >= c1 THEN greatest(h1, high) ELSE least(l1, low) END AS extreme, 0.02::DOUBLE AS pace FROM b WHERE k = 2 UNION ALL
+  SELECT symbol, k, CASE WHEN turn THEN NOT up ELSE up END, CASE WHEN turn THEN extreme ELSE near END, CASE WHEN turn THEN CASE WHEN up THEN low ELSE high END WHEN up THEN greatest(extreme, high) ELSE least(extreme, low) END,
+   CASE WHEN turn THEN 0.02 WHEN (up AND high > extreme) OR (NOT up AND low < extreme) THEN least(pace + 0.02, 0.2) ELSE pace END
+  FROM (SELECT *, CASE WHEN up THEN low < near ELSE high > near END AS turn FROM (SELECT b.symbol, b.k, b.high, b.low, s.up, s.extreme, s.pace, CASE WHEN s.up THEN least(s.sar + s.pace * (s.extreme - s.sar), b.l1, b.l2) ELSE greatest(s.sar + s.pace * (s.extreme - s.sar), b.h1, b.h2) END AS near
+   FROM s JOIN b ON s.symbol = b.symbol AND b.k = s.k + 1)))
+ SELECT b.symbol, b.time, {r('sar', 'value')} FROM b LEFT JOIN s ON b.symbol = s.symbol AND b.k = s.k"""
+
+#: A step is a brick, or a bar further where none fits.
+RENKO_SQL = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol ORDER BY time) AS k, close - lag(close) OVER (PARTITION BY symbol ORDER BY time) AS d FROM ({Q.bars()})), z AS MATERIALIZED (SELECT symbol, 0.5 * avg(abs(d)) AS size FROM b GROUP BY 1 HAVING avg(abs(d)) > 0),
+ s AS (SELECT b.symbol, 2::BIGINT AS k, size, close AS level, 0 AS way, NULL::BIGINT AS clock, false AS brick, NULL::DOUBLE AS start FROM b JOIN z ON b.symbol = z.symbol WHERE k = 1 UNION ALL
+  SELECT symbol, CASE WHEN fits THEN k ELSE k + 1 END, size, CASE WHEN fits THEN begins + to_ * size ELSE level END, CASE WHEN fits THEN to_ ELSE way END, CASE WHEN fits THEN coalesce(greatest(time, clock + 1), time) ELSE clock END, fits, begins
+  FROM (SELECT *, abs(close - level) >= CASE WHEN way NOT IN (0, to_) THEN 2 * size ELSE size END AS fits, CASE WHEN way NOT IN (0, to_) THEN level + to_ * size ELSE level END AS begins
+   FROM (SELECT s.symbol, s.k, s.size, s.level, s.way, s.clock, b.time, b.close, CASE WHEN b.close > s.level THEN 1 ELSE -1 END AS to_ FROM s JOIN b ON s.symbol = b.symbol AND s.k = b.k)))
+ SELECT symbol, clock AS time, {r('start', 'open')}, {r('greatest(start, level)', 'high')}, {r('least(start, level)', 'low')}, {r('level', 'close')} FROM s WHERE brick"""
+
+
+@query(_supertrend_sql())
 def supertrend_10_3(spark, d):
     return rounded(state.supertrend(S.bars(spark, d)))
 
 
-@query()
+@query(PSAR_SQL)
 def psar(spark, d):
     return rounded(state.psar(S.bars(spark, d)))
 
@@ -145,7 +174,7 @@ def heikin_ashi(spark, d):
     return rounded(state.heikin_ashi(S.bars(spark, d)))
 
 
-@query()
+@query(RENKO_SQL)
 def renko(spark, d):
     return rounded(state.renko(S.bars(spark, d), 0.5))
 
