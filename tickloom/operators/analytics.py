@@ -11,6 +11,8 @@ from ..functions.columns import finite, offset_day
 from .align import align
 
 DAY = 86_400
+#: Days that a year must cover for its curve to be drawn.
+LEAST_DAYS = 60
 WINDOWS = {"7d": 7, "30d": 30, "91d": 91, "182d": 182, "365d": 365}
 
 
@@ -65,6 +67,16 @@ def seasonality(bars: DataFrame, years: int = 3) -> DataFrame:
     return b.join(kept, ["symbol", "year"]).select("symbol", "year", "day", "time", (100 * (F.col("close") / F.nullif("first", F.lit(0.0)) - 1)).alias("change"), "covered")
 
 
+def seasonality_usable(curves: DataFrame, least: int = LEAST_DAYS) -> DataFrame:
+    """(symbol, usable): whether any year of ``seasonality`` covers enough days to be drawn."""
+    return curves.groupBy("symbol").agg(F.max(F.col("covered") >= least).alias("usable"))
+
+
+def change_within(open_: Column, close: Column) -> tuple[Column, Column]:
+    """A bar's change, and in percent of its open; null where the open is zero."""
+    return close - open_, 100 * (close - open_) / F.nullif(open_, F.lit(0.0))
+
+
 def vote_oscillator(v: Column) -> Column:
     return F.when(v <= 30, 1).when(v >= 70, -1).when(v.isNotNull(), 0)
 
@@ -178,10 +190,15 @@ FIB_EXTENSION = (1, 1.272, 1.618, 2, 2.618)
 FIB_TIMES = (1, 2, 3, 5, 8, 13, 21)
 
 
-def levels_between(anchors: DataFrame, levels: tuple) -> DataFrame:
-    """(symbol, level, price): prices between (and beyond) two anchors p0 and p1."""
+def levels_between(anchors: DataFrame, levels: tuple, *keep: str) -> DataFrame:
+    """(symbol, level, price, and what is kept of the anchors): prices between (and beyond) two anchors p0 and p1."""
     lv = F.explode(F.array(*(F.lit(float(x)) for x in levels)))
-    return anchors.withColumn("level", lv).select("symbol", "level", (F.col("p0") + (F.col("p1") - F.col("p0")) * F.col("level")).alias("price"))
+    return anchors.withColumn("level", lv).select("symbol", "level", *keep, (F.col("p0") + (F.col("p1") - F.col("p0")) * F.col("level")).alias("price"))
+
+
+def fib_fan(anchors: DataFrame, levels: tuple = FIB_RETRACEMENT) -> DataFrame:
+    """(symbol, level, price, slope): rays from the first anchor through each level at the second one's time; slope is null if both are at one time."""
+    return levels_between(anchors, levels, "t0", "t1", "p0").select("symbol", "level", "price", ((F.col("price") - F.col("p0")) / F.nullif((F.col("t1") - F.col("t0")).cast("double"), F.lit(0.0))).alias("slope"))
 
 
 def fib_time_zones(anchors: DataFrame) -> DataFrame:

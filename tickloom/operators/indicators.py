@@ -85,6 +85,17 @@ def indicator(bars: DataFrame, name: str, **given) -> DataFrame:
     return chain.df.select("symbol", "time", *(F.expr(sql).cast("double").alias(f"{name}_{k}") for k, sql in out.items()))
 
 
+def indicators(bars: DataFrame, wanted: dict[str, dict], *keep: str) -> DataFrame:
+    """(symbol, time, <keep>, <name>_<output>, ...) of some indicators in one chain, so bars are made and sorted once. Not of those that take a step per bar."""
+    chain = Chain(finite_bars(bars))
+    out = {}
+    for name, given in wanted.items():
+        if REGISTRY[name].steps:
+            raise ValueError(f"{name} takes a step per bar: use indicator()")
+        out |= {f"{name}_{k}": sql for k, sql in REGISTRY[name].build(chain, **settings(name, given)).items()}
+    return chain.df.select("symbol", "time", *keep, *(F.expr(sql).cast("double").alias(c) for c, sql in out.items()))
+
+
 VOL = "coalesce(CASE WHEN volume > 0 THEN volume END, 0)"
 DAY = "floor(time / 86400)"
 #: NaN is larger than any number to Spark; the cast is one that other engines read as well.

@@ -60,10 +60,29 @@ def zoom_within(cells: DataFrame, window: tuple[int, int, float, float], px: tup
     return zoom(seen.select(*cells.columns).limit(0), *tries[-1]), *tries[-1]
 
 
-def color_scale(cells: DataFrame, *columns: str, low: float = 0.18, high: float = 0.92, gamma: float = 0.5) -> DataFrame:
-    """One row: p50 and p99 (values that occur, of rank ceil(q n)) of the positive values of columns, and how to shade."""
-    values = cells.select(F.explode(F.array(*(F.col(c).cast("double") for c in columns))).alias("v")).where(finite(F.col("v")) & (F.col("v") > 0))
-    return values.agg(
+def _positive(cells: DataFrame, columns) -> DataFrame:
+    each = (c if isinstance(c, Column) else F.col(c) for c in columns)
+    return cells.select(F.explode(F.array(*(c.cast("double") for c in each))).alias("v")).where(finite(F.col("v")) & (F.col("v") > 0))
+
+
+def positive_quantile(cells: DataFrame, q: float, *columns: str | Column) -> DataFrame:
+    """One row (value): of the positive values of columns the one of rank ceil(q n); 0 if there are none. ``q`` is held to 0 and 1."""
+    q = min(max(q, 0.0), 1.0) if math.isfinite(q) else 0.5
+    return _positive(cells, columns).agg(F.coalesce(F.expr(f"percentile_disc({q!r}D) WITHIN GROUP (ORDER BY v)"), F.lit(0.0)).alias("value"))
+
+
+def above_scale(v: Column, p50: Column, p99: Column) -> Column:
+    """Whether a value lies past the end of a scale that has two ends."""
+    return F.coalesce(finite(v) & (p99 > p50) & (v > p99), F.lit(False))
+
+
+def has_variation(p50: Column, p99: Column) -> Column:
+    return F.coalesce(p99 > p50, F.lit(False))
+
+
+def color_scale(cells: DataFrame, *columns: str | Column, low: float = 0.18, high: float = 0.92, gamma: float = 0.5) -> DataFrame:
+    """One row: p50 and p99 (values that occur, of rank ceil(q n)) of the positive values of columns (or of sums and differences of them), and how to shade."""
+    return _positive(cells, columns).agg(
         F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v)").alias("p50"),
         F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY v)").alias("p99"),
         F.count("*").alias("n"),
@@ -131,12 +150,19 @@ def footprint_totals(levels: DataFrame) -> DataFrame:
     return total.withColumn("delta", delta).withColumn("side", F.when(delta > 0, "buyer").when(delta < 0, "seller").otherwise("even"))
 
 
-def volume_profile(cells: DataFrame, step: float = 0.0) -> DataFrame:
-    """(price, buy, sell, total, delta) of all executed cells."""
-    g = cells.groupBy(group_price(F.col("price"), step).alias("price")).agg(F.sum(clean("buy")).alias("buy"), F.sum(clean("sell")).alias("sell"))
+def volume_profile(cells: DataFrame, step: float = 0.0, window: tuple[int, int] | None = None) -> DataFrame:
+    """(price, buy, sell, total, delta) of all executed cells, or of those from the first to the last time of a window."""
+    g = (cells if window is None else cells.where(F.col("ts_ms").between(*window))).groupBy(group_price(F.col("price"), step).alias("price")).agg(F.sum(clean("buy")).alias("buy"), F.sum(clean("sell")).alias("sell"))
     return g.withColumn("total", F.col("buy") + F.col("sell")).withColumn("delta", F.col("buy") - F.col("sell")).where("total > 0")
 
 
+def profile_summary(profile: DataFrame) -> DataFrame:
+    """One row (levels, total, largest, poc, reason): of levels as large the lowest price; a reason where there is no level."""
+    top = F.max_by("price", F.struct(F.col("total"), -F.col("price")))
+    s = profile.agg(F.count("*").alias("levels"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"), F.coalesce(F.max("total"), F.lit(0.0)).alias("largest"), top.alias("poc"))
+    return s.withColumn("reason", F.when(F.col("levels") == 0, "nothing was executed in the window"))
+
+
 def binned(profile: DataFrame, bins: int = 50) -> DataFrame:
     """A profile in 10 to 150 rows of equal width, at their centres; as it is if it has no more rows than that."""
     bins = min(max(bins, 10), 150)

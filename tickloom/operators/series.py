@@ -82,7 +82,7 @@ class Chain:
         return self.put(f"CASE WHEN {before} IS NULL THEN high - low ELSE greatest(high - low, abs(high - {before}), abs(low - {before})) END")
 
     def wma(self, sql: str, n: int) -> str:
-        """Weights n for the newest down to 1; by two window sums over places counted in blocks, so that no digits go."""
+        """Weights n for the newest down to 1, from an array of the window's values; streams keep two running sums instead."""
         c = self.put(sql)
         part = f"({c} IS NULL)"
         w = self.last(n, part)

@@ -11,6 +11,7 @@ from ..operators import align, analytics, audit, geometry, indicators, orderflow
 from ..operators.series import DuckChain
 from ..sources import landed, shared
 from ..sources import tables as S
+from ..streaming.indicators import stream_indicators, typed_state
 from ..streaming.upsert import BarTable
 from . import base_sql as Q
 
@@ -236,6 +237,16 @@ def alpha_of(spark, d):
     return rounded(cells.join(F.broadcast(scale), F.lit(True)).select("ts_ms", "price", orderflow.alpha_of(F.col("bid"), F.col("p50"), F.col("p99")).alias("alpha")))
 
 
+@query(_scale(f"SELECT bid + ask AS v FROM ({Q.CELLS})"))
+def color_scale_sum(spark, d):
+    return orderflow.color_scale(S.depth_cells(spark, d), F.col("bid") + F.col("ask"))
+
+
+@query(f"SELECT coalesce(quantile_disc(v, 0.9), 0) AS value FROM (SELECT unnest([bid, ask]) AS v FROM ({Q.CELLS})) WHERE v > 0")
+def positive_quantile(spark, d):
+    return orderflow.positive_quantile(S.depth_cells(spark, d), 0.9, "bid", "ask")
+
+
 PRINT = f"""c AS ({Q.CELLS}), m AS (SELECT DISTINCT CAST(floor(ts_ms / 1000 / 2592000) * 2592000 AS BIGINT) AS candle FROM c),
  d AS (SELECT CAST(floor(ts_ms / 1000) AS BIGINT) AS time, floor(price / 5) * 5 AS price, buy, sell FROM c WHERE buy > 0 OR sell > 0),
  j AS (SELECT candle, price, buy, sell FROM d ASOF JOIN m ON d.time >= m.candle),
@@ -285,6 +296,19 @@ def volume_profile(spark, d):
     return orderflow.volume_profile(S.depth_cells(spark, d))
 
 
+SPAN_MS = (760_000_000_000, 860_000_000_000)
+
+
+@query(f"SELECT price, sum(buy) AS buy, sum(sell) AS sell, sum(buy) + sum(sell) AS total, sum(buy) - sum(sell) AS delta FROM ({Q.CELLS}) WHERE ts_ms BETWEEN {SPAN_MS[0]} AND {SPAN_MS[1]} GROUP BY 1 HAVING sum(buy) + sum(sell) > 0")
+def volume_profile_window(spark, d):
+    return orderflow.volume_profile(S.depth_cells(spark, d), window=SPAN_MS)
+
+
+@query(f"WITH {PROFILE} SELECT count(*) AS levels, sum(total) AS total, max(total) AS largest, first(price ORDER BY total DESC, price) AS poc, CAST(NULL AS VARCHAR) AS reason FROM p")
+def profile_summary(spark, d):
+    return orderflow.profile_summary(orderflow.volume_profile(S.depth_cells(spark, d)))
+
+
 @query(
     f"""WITH {PROFILE}, e AS (SELECT min(price) AS lo, max(price) AS hi FROM p)
  SELECT round(lo + (least(floor((price - lo) / ((hi - lo) / 20)), 19) + 0.5) * ((hi - lo) / 20), 6) + 0.0 AS price, sum(buy) AS buy, sum(sell) AS sell, sum(total) AS total, sum(delta) AS delta FROM p, e GROUP BY 1"""
@@ -469,9 +493,7 @@ def seasonality(spark, d):
  SELECT symbol, time, round(score, 6) + 0.0 AS score, CASE WHEN score IS NULL THEN 'none' WHEN score >= 0.5 THEN 'strong buy' WHEN score >= 0.15 THEN 'buy' WHEN score <= -0.5 THEN 'strong sell' WHEN score <= -0.15 THEN 'sell' ELSE 'neutral' END AS label FROM z"""
 )
 def technical_consensus(spark, d):
-    b = S.bars(spark, d)
-    k = indicators.indicator(b, "stochastic").select("symbol", "time", "stochastic_k")
-    m = indicators.indicator(b, "sma").join(k, ["symbol", "time"]).join(b.select("symbol", "time", "close"), ["symbol", "time"])
+    m = indicators.indicators(S.bars(spark, d), {"stochastic": {}, "sma": {}}, "close")
     v = m.select("symbol", "time", analytics.vote_oscillator(F.col("stochastic_k")).alias("vo"), analytics.vote_average(F.col("close"), F.col("sma_value")).alias("va"))
     return rounded(analytics.consensus(v, ["vo", "va"]).select("symbol", "time", "score", "label"))
 
@@ -715,6 +737,27 @@ def live_upsert(spark, d):
     return rounded(table.read().select("symbol", "time", "close", "volume"))
 
 
+STREAMED = ("macd", "hma", "lsma", "aroon", "ichimoku", "vwap_bands")
+
+
+def _streamed_sql() -> str:
+    chain = DuckChain(Q.bars())
+    out = {f"{name}_{k}": sql for name in STREAMED for k, sql in indicators.REGISTRY[name].build(chain, **indicators.settings(name, {})).items()}
+    return chain.sql("symbol, time, " + ", ".join(r(sql, c) for c, sql in out.items()))
+
+
+@query(_streamed_sql())
+def stream_of_indicators(spark, d):
+    """Bars, landed in files, as a stream through the steps of some indicators."""
+    bars = S.bars(spark, d).withColumn("closed", F.lit(True)).withColumn("seq", F.lit(0))
+    path, out = shared.folder(spark, "bars"), shared.folder(spark, "indicators")
+    bars.write.parquet(path)
+    with typed_state(spark):
+        q = stream_indicators(spark.readStream.schema(bars.schema).parquet(path), {name: {} for name in STREAMED}).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rounded(spark.read.parquet(out).drop("is_partial"))
+
+
 @query(f"SELECT symbol, time, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, {r('volume', 'volume')} FROM ({Q.bars()}) WHERE symbol = 'S3' AND time >= 1705000000")
 def landed_bars(spark, d):
     """Bars landed as answers of a day each, and one symbol's late ones read back as a data source."""
@@ -748,6 +791,53 @@ def fib_extension(spark, d):
     return rounded(analytics.levels_between(_anchors(spark, d), analytics.FIB_EXTENSION))
 
 
+@query(
+    f"""WITH g AS (SELECT symbol, min(low) AS p0, max(high) AS p1, min(time) AS t0, max(time) AS t1, unnest({[float(x) for x in analytics.FIB_RETRACEMENT]}::DOUBLE[]) AS level FROM ({Q.bars()}) GROUP BY 1)
+ SELECT symbol, level, {r('p0 + (p1 - p0) * level', 'price')}, {r('(p1 - p0) * level / nullif(CAST(t1 - t0 AS DOUBLE), 0)', 'slope')} FROM g"""
+)
+def fib_fan(spark, d):
+    return rounded(analytics.fib_fan(_anchors(spark, d)))
+
+
+@query(f"SELECT symbol, time, {r('close - open', 'change')}, {r('100 * (close - open) / nullif(open, 0)', 'percent')} FROM ({Q.bars()})")
+def crosshair_change(spark, d):
+    change, percent = analytics.change_within(F.col("open"), F.col("close"))
+    return rounded(S.bars(spark, d).select("symbol", "time", change.alias("change"), percent.alias("percent")))
+
+
+ENDS = f"e AS (SELECT symbol, min(low) AS p0, max(high) AS p1, min(time) AS t0, max(time) AS t1 FROM ({Q.bars()}) GROUP BY 1)"
+
+
+@query(f"WITH b AS ({Q.bars()}), {ENDS} SELECT b.symbol, time, {r('p0 + (p1 - p0) * (time - t0) / nullif(t1 - t0, 0)', 'value')} FROM b JOIN e ON b.symbol = e.symbol")
+def trend_line(spark, d):
+    b = S.bars(spark, d).join(_anchors(spark, d), "symbol")
+    return rounded(b.select("symbol", "time", analytics.trend_line(*(F.col(c) for c in ("time", "t0", "p0", "t1", "p1"))).alias("value")))
+
+
+@query(f"WITH {ENDS} SELECT symbol, {r('p0 - 0.5 * (p1 - p0)', 'a')}, {r('p1 - 0.5 * (p1 - p0)', 'z')} FROM e")
+def channel_line(spark, d):
+    a, z = analytics.channel_line(F.col("p0"), F.col("p1"), -0.5)
+    return rounded(_anchors(spark, d).select("symbol", a.alias("a"), z.alias("z")))
+
+
+@query(
+    f"""WITH n AS (SELECT symbol, time, close, row_number() OVER (PARTITION BY symbol ORDER BY time) AS rn FROM ({Q.bars()})), a AS (SELECT symbol, max(rn) AS k FROM n WHERE time <= 1705000000 GROUP BY 1)
+ SELECT n.symbol, time, {r('close', 'close')} FROM n JOIN a ON n.symbol = a.symbol WHERE abs(rn - k) <= 5"""
+)
+def bars_near(spark, d):
+    return rounded(align.neighbours(S.bars(spark, d), 1_705_000_000, 5).select("symbol", "time", "close"))
+
+
+@query(f"SELECT symbol, time, {r('close', 'close')} FROM ({Q.bars()}) WHERE time <= 1705000000")
+def replay_until(spark, d):
+    return rounded(analytics.replay_until(S.bars(spark, d), 1_705_000_000).select("symbol", "time", "close"))
+
+
+@query(f"SELECT symbol, max(covered) >= 60 AS usable FROM (SELECT symbol, year(make_timestamp(time * 1000000)) AS y, count(DISTINCT dayofyear(make_timestamp(time * 1000000))) AS covered, count(*) AS n, arg_min(close, time) AS f FROM ({Q.daily(True)}) GROUP BY 1, 2 HAVING count(*) >= 2) WHERE f <> 0 GROUP BY 1")
+def seasonality_usable(spark, d):
+    return analytics.seasonality_usable(analytics.seasonality(S.daily(spark, d, True), 100))
+
+
 @query(f"SELECT symbol, k, min(time) + (max(time) - min(time)) * k AS time FROM ({Q.bars()}), (SELECT unnest({list(analytics.FIB_TIMES)}) AS k) GROUP BY 1, 2")
 def fib_time_zones(spark, d):
     return analytics.fib_time_zones(_anchors(spark, d))
