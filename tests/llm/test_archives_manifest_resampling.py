@@ -269,3 +269,18 @@ def test_damage_is_seen():
 def test_no_pages(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     assert warc.write_archives(spark.createDataFrame([], PAGES), path).count() == 0 == warc.read_archives(spark, path).count()
+
+
+# ---- a fingerprint that many rows share
+
+
+def test_a_hot_fingerprint_meets_its_class_in_every_task(spark):
+    from tickloom.llm import simhash
+
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(9999)}" for _ in range(30))) for i in range(600)] + [(1000 + i, "" if i % 2 else None) for i in range(500)]
+    got = simhash.simhash_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = got.collect()
+    assert sorted(r.doc_id for r in found) == sorted(i for i, _ in rows)
+    assert {r.component_id for r in found if r.doc_id >= 1000} == {1000} and all(r.component_id <= r.doc_id for r in found)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, row_key, slices, table, text_bytes
+from .common import join_counted, materialize, row_key, slices, table, text_bytes
 from .components import components
 from .near_sets import set_links, with_bands
 
@@ -174,9 +174,11 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", crowd: int = CROW
 
 def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id, links) per row of ``docs``."""
-    prints = materialize(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "fingerprint"), "fingerprints")
-    classes = near_duplicates(prints)
-    return prints.join(classes, prints.fingerprint == classes.fp).select("doc_id", "fp", "component_id", "links")
+    prints = materialize(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", F.col("fingerprint").alias("fp")), "fingerprints")
+    rows = prints.groupBy("fp").agg(F.count("*").alias("rows"))
+    classes = materialize(near_duplicates(prints.withColumnRenamed("fp", "fingerprint")).join(rows, "fp"), "classes-of-prints")
+    # a fingerprint that many rows share, as of blank texts or a licence, meets its class in every task
+    return join_counted(prints, classes, ["fp"], "rows", prints.count()).select("doc_id", "fp", "component_id", "links")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, words: int = 5) -> DataFrame:
