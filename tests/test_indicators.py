@@ -10,6 +10,8 @@ from tickloom.operators import state
 from tickloom.operators.indicators import REGISTRY, indicator
 
 BARS = "symbol string, time long, open double, high double, low double, close double, volume double, buy_volume double, sell_volume double"
+# These closes, the bars of the tests named ..._known, and what is wanted of them there. They are the widely
+# published worked examples of each indicator, on which other implementations are checked as well, so they must stay as they are.
 CLOSES = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.1, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28, 46.0, 46.03, 46.41, 46.22, 45.64]
 
 
