@@ -47,10 +47,36 @@ def test_search_with_repeated_ids_and_rows(spark, dim):
 
 def test_mix_is_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = mixing.mix_sources(docs).groupBy("source").agg(F.first("mix_target").alias("t"), F.sum(F.col("mix_copies") * F.col("mix_size")).alias("n"), F.max("mix_size").alias("most")).collect()
+    taken = F.sum(F.col("mix_copies") * F.col("mix_size")).alias("n")
+    got = mixing.mix_sources(docs).groupBy("source").agg(F.first("mix_target").alias("t"), taken, F.median("mix_size").alias("middle")).collect()
     assert len(got) > 10
     for r in got:
-        assert abs(r.n - r.t) <= max(0.1 * r.t, r.most), r
+        assert abs(r.n - r.t) <= max(0.05 * r.t, r.middle), r
+
+
+def test_mix_makes_up_for_a_large_text_and_keeps_its_probability(spark):
+    """A text of two thirds of the target: with it or without it, the small ones fill up, and it comes at its rate."""
+    sizes = [600] + [20] * 60 + [3] * 40
+    rows = [(i, "w " * n, "s") for i, n in enumerate(sizes)] + [(1000 + i, "v " * 30, "t") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).cache()
+    large, probability = 0, None
+    for seed in range(12):
+        got = [r for r in mixing.mix_sources(d, seed=seed).collect() if r.source == "s"]
+        target = got[0].mix_target
+        assert abs(sum(r.mix_copies * r.mix_size for r in got) - target) <= 20
+        probability = target / sum(sizes)
+        large += next(r.mix_copies for r in got if r.doc_id == 0)
+    assert abs(large / 12 - probability) < 0.3
+
+
+def test_mix_draws_some_of_equal_rows(spark):
+    """Fifty equal rows: as many as the target has room for, whatever the partitions, with maps among the columns."""
+    rows = [(1, "w " * 100, "a")] * 50 + [(i, "w " * 100, "b") for i in range(2, 52)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("more", F.create_map(F.lit("k"), F.rand()))
+    for parts in (1, 7):
+        got = mixing.mix_sources(d.repartition(parts)).where("source = 'a'").collect()
+        assert len(got) == 50
+        assert abs(sum(r.mix_copies * r.mix_size for r in got) - got[0].mix_target) <= 100
 
 
 def test_each_document_is_drawn_at_its_rate(spark):

@@ -8,14 +8,16 @@ are a prefix of that order, and the rest get ``weight * level`` with one common
 A document of a source with rate r = target / size is taken floor(r) times and once more with
 probability r - floor(r), by a hash of its id, text and the seed. The draws of a source aren't
 independent of each other, which would miss its target by the size of its largest texts: its documents fall
-in classes of about the same size, a class of n gives n * (r - floor(r)) of them, rounded so that
-the sum over the classes from the largest down is never off by one, at a place that a hash of the source sets,
-and those of the least hashes are taken. So each has that probability and the sum stays near the target.
+in classes of about the same size, and a class of n whose probability is p gives n * p of them, rounded up or
+down by a hash, those of the least hashes. The words that this rounding takes too many or too few are
+spread over all smaller texts of the source, whose probability falls or rises accordingly; its mean over the hashes
+stays the same, as both ways are shortened alike where one would leave [0, 1]. So each document has the
+probability r - floor(r), and small texts make up for large ones.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source of its
 own, last in order; a source of size 0 has target 0 and is not taken; an empty table gives an empty result;
-repeated rows (id and text) draw the same copies. Other columns pass through untouched, but for those of the
-result's names, which are replaced (names that begin with ``__mix`` are used inside).
+repeated rows (id and text) have one hash, and where only some of them are to be drawn, the first ones by their other columns are. Other
+columns pass through untouched, but for those of the result's names, which are replaced (names that begin with ``__mix`` are used inside).
 """
 
 from __future__ import annotations
@@ -65,34 +67,66 @@ def source_targets(sizes: DataFrame, cap: float = 3.0) -> DataFrame:
 
 
 #: Size classes for each doubling of the size, and parts of a class's hashes that are counted apart.
-FINE, BINS = 4, 1024
+FINE, BINS = 8, 1024
 RESULT = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
-def draw_limits(light: DataFrame, seed: int) -> DataFrame:
-    """(source, class, limit): a document of the class is drawn if its hash is ``limit`` at most. light: (source, class, hash, rate).
+def _part():
+    """The part of the class's hashes (52 bits) that a hash lies in."""
+    return F.shiftrightunsigned("__mix_hash", 53 - BINS.bit_length())
+
+
+def _same(source: str, of_class: str):
+    """The same class; null-safe, or a filter for nulls would count all words once more."""
+    return F.col(_SRC).eqNullSafe(F.col(source)) & F.col("__mix_class").eqNullSafe(F.col(of_class))
+
+
+def _next(state, c):
+    """One class more, from the largest down: how many of it are drawn, and the probability that is left to smaller texts."""
+    rest, mean = state.rest - c.words, c.words / c.n
+    low = F.floor(c.n * state.p)
+    over = c.n * state.p - low
+    up = c.u < over
+    # words taken beyond the expected ones, as far as the smaller texts can make up for either outcome
+    share = F.least(F.lit(1.0), F.try_divide(state.p * rest, (1 - over) * mean), F.try_divide((1 - state.p) * rest, over * mean))
+    error = share * mean * F.when(up, 1 - over).otherwise(-over)
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), state.p - F.coalesce(F.try_divide(error, rest), F.lit(0.0))))
+    drawn = F.struct(c["class"].alias("class"), (low + up.cast("long")).alias("m"))
+    return F.struct(p.alias("p"), rest.alias("rest"), F.concat(state.drawn, F.array(drawn)).alias("drawn"))
+
+
+def class_draws(parts: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """(c_src, c_class, m): documents drawn of each class. parts: (source, class, n, words), rates: (__mix_key, __mix_rate).
+
+    A source's classes are one array, FINE for each doubling of a text's size: some hundreds.
+    """
+    classes = parts.groupBy(_SRC, "__mix_class").agg(F.sum("n").alias("n"), F.sum("words").cast("double").alias("words"))
+    u = F.shiftrightunsigned(F.xxhash64(F.col(_SRC), F.col("__mix_class"), F.lit(seed), F.lit("class")), 12) / F.lit(float(1 << 52))
+    of = F.struct(F.col("__mix_class").alias("class"), "n", "words", u.alias("u"))
+    listed = classes.groupBy(_SRC).agg(F.sort_array(F.collect_list(of), asc=False).alias("of"), F.sum("words").alias("rest"))
+    listed = listed.join(rates.select("__mix_key", "__mix_rate"), F.col(_SRC).eqNullSafe(F.col("__mix_key")))
+    start = F.struct(
+        (F.col("__mix_rate") - F.floor("__mix_rate")).alias("p"), F.col("rest"), F.array().cast("array<struct<class:int,m:bigint>>").alias("drawn")
+    )
+    drawn = F.aggregate("of", start, _next, lambda state: state.drawn)
+    return listed.select(F.col(_SRC).alias("c_src"), F.inline(drawn).alias("c_class", "m")).where("m > 0")
+
+
+def draw_limits(light: DataFrame, parts: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """(c_src, c_class, limit): all below ``limit.hash`` are drawn, and ``limit.some`` of the ``limit.n`` that have it.
 
     The hash of the right rank is found by counting: of parts of the hashes first, then within one part, so no
-    class is ever sorted as a whole.
+    class is ever sorted as a whole. light: (source, class, hash).
     """
-    group = [_SRC, "__mix_class"]
-    part = F.shiftrightunsigned("__mix_hash", 42)
-    counted = materialize(light.groupBy(*group, part.alias("part")).agg(F.count("*").alias("n"), F.first("__mix_rate").alias("rate")), "mix-parts")
-    classes = counted.groupBy(*group).agg(F.sum("n").alias("n"), F.first("rate").alias("rate"))
-    larger = Window.partitionBy(_SRC).orderBy(F.desc("__mix_class"))
-    offset = F.shiftrightunsigned(F.xxhash64(F.col(_SRC), F.lit(seed), F.lit("offset")), 12) / F.lit(float(1 << 52))
-    fraction = F.col("rate") - F.floor("rate")
-    upto = F.sum("n").over(larger)
-    taken = F.floor(upto * fraction + offset) - F.floor((upto - F.col("n")) * fraction + offset)
-    classes = classes.withColumn("m", taken).where("m > 0").select(F.col(_SRC).alias("c_src"), F.col("__mix_class").alias("c_class"), "m")
-    so_far = F.sum("n").over(Window.partitionBy(*group).orderBy("part"))
-    at = counted.withColumn("upto", so_far).join(classes, F.col(_SRC).eqNullSafe(F.col("c_src")) & (F.col("__mix_class") == F.col("c_class")))
+    so_far = F.sum("n").over(Window.partitionBy(_SRC, "__mix_class").orderBy("part"))
+    at = parts.withColumn("upto", so_far).join(class_draws(parts, rates, seed), _same("c_src", "c_class"))
     at = at.where((F.col("upto") - F.col("n") < F.col("m")) & (F.col("m") <= F.col("upto")))
     at = materialize(at.select("c_src", "c_class", F.col("part").alias("c_part"), (F.col("m") - F.col("upto") + F.col("n")).alias("m")), "mix-places")
-    within = light.withColumn("__mix_part", part).join(small(at), F.col(_SRC).eqNullSafe(F.col("c_src")) & (F.col("__mix_class") == F.col("c_class")) & (F.col("__mix_part") == F.col("c_part")))
+    within = light.withColumn("__mix_part", _part()).join(small(at), _same("c_src", "c_class") & (F.col("__mix_part") == F.col("c_part")))
     hashes = within.groupBy("c_src", "c_class", "__mix_hash").agg(F.count("*").alias("n"), F.first("m").alias("m"))
     reached = hashes.withColumn("upto", F.sum("n").over(Window.partitionBy("c_src", "c_class").orderBy("__mix_hash"))).where("upto >= m")
-    return reached.groupBy("c_src", "c_class").agg(F.min("__mix_hash").alias("__mix_limit"))
+    limit = F.struct(F.col("__mix_hash").alias("hash"), (F.col("m") - F.col("upto") + F.col("n")).alias("some"), "n")
+    return reached.groupBy("c_src", "c_class").agg(F.min(limit).alias("__mix_limit"))
 
 
 def mix_sources(
@@ -101,28 +135,39 @@ def mix_sources(
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies."""
     # 52 bits of the hash
     draw = F.shiftrightunsigned(F.xxhash64(row_key(id_col, text_col), F.lit(seed)), 12)
+    own = docs.drop(*RESULT)
     sized = (
-        docs.drop(*RESULT)
-        .withColumn(_SIZE, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
+        own.withColumn(_SIZE, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn(_SRC, F.col(source_col))
         .withColumn("__mix_class", F.floor(F.log2(F.col(_SIZE) + F.lit(1.0)) * FINE).cast("int"))
         .withColumn("__mix_hash", draw)
     )
     light = materialize(sized.select(_SRC, _SIZE, "__mix_class", "__mix_hash"), "mix-sizes")
-    t = source_targets(light, cap).select(F.col(_SRC).alias("__mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    parts = materialize(light.groupBy(_SRC, "__mix_class", _part().alias("part")).agg(F.count("*").alias("n"), F.sum(_SIZE).alias("words")), "mix-parts")
+    t = source_targets(parts.select(_SRC, F.col("words").alias(_SIZE)), cap)
+    t = t.select(F.col(_SRC).alias("__mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     rate = F.when(F.col("mix_source_size") > 0, F.least(F.lit(cap), F.col("mix_target") / F.col("mix_source_size"))).otherwise(F.lit(0.0))
-    t = materialize(t.withColumn("__mix_rate", rate), "mix-targets")
+    t = t.withColumn("__mix_rate", rate)
     # sources, and their classes, as few as counted there go to all tasks, so that no text moves
-    limits = draw_limits(light.join(small(t), F.col(_SRC).eqNullSafe(F.col("__mix_key"))), seed)
     both = materialize(
-        light.select(_SRC, "__mix_class").distinct().join(small(t), F.col(_SRC).eqNullSafe(F.col("__mix_key")))
-        .join(limits, F.col(_SRC).eqNullSafe(F.col("c_src")) & (F.col("__mix_class") == F.col("c_class")), "left")
+        parts.select(_SRC, "__mix_class").distinct().join(t, F.col(_SRC).eqNullSafe(F.col("__mix_key")))
+        .join(draw_limits(light, parts, t, seed), _same("c_src", "c_class"), "left")
         .select("__mix_key", F.col("__mix_class").alias("__mix_of"), "mix_source_size", "mix_target", "__mix_rate", "__mix_limit"),
         "mix-limits",
     )
-    joined = sized.join(small(both), F.col(_SRC).eqNullSafe(F.col("__mix_key")) & (F.col("__mix_class") == F.col("__mix_of")))
-    more = F.when(F.col("__mix_hash") <= F.col("__mix_limit"), 1).otherwise(0)
-    return joined.withColumn("mix_copies", (F.floor("__mix_rate") + more).cast("int")).select(*[c for c in docs.columns if c not in RESULT], F.col(_SIZE).alias("mix_size"), *RESULT[1:])
+    joined = sized.join(small(both), _same("__mix_key", "__mix_of"))
+    limit = F.col("__mix_limit")
+    split = F.coalesce((F.col("__mix_hash") == limit["hash"]) & (limit["some"] < limit["n"]), F.lit(False))
+    more = F.when(F.col("__mix_hash") <= limit["hash"], 1).otherwise(0)
+    if both.where("__mix_limit.some < __mix_limit.n").limit(1).count():
+        # equal rows of which some are drawn: only these are numbered
+        plain = [c for c, kind in own.dtypes if "map<" not in kind and "variant" not in kind]
+        place = F.row_number().over(Window.partitionBy(_SRC, "__mix_class", "__mix_hash").orderBy(F.xxhash64(*plain)))
+        numbered = joined.where(split).withColumn("__mix_more", F.when(place <= limit["some"], 1).otherwise(0))
+        joined = joined.where(~split).withColumn("__mix_more", more).unionByName(numbered)
+    else:
+        joined = joined.withColumn("__mix_more", more)
+    return joined.withColumn("mix_copies", (F.floor("__mix_rate") + F.col("__mix_more")).cast("int")).select(*own.columns, F.col(_SIZE).alias("mix_size"), *RESULT[1:])
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
