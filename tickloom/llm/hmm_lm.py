@@ -305,7 +305,10 @@ def score_documents(
     own = spark.createDataFrame([(bytearray(w), True) for w in top], "word binary, own boolean")
     known = counts.where("n > 0").join(F.broadcast(own), "word", "left")
     known = known.select("word", F.log10(F.col("n") + 1).alias("log"), F.when(F.col("own"), 0).otherwise(1).alias("within"))
-    pair = rows.where("word is not null").select("word", "slice", "pairs").join(known, "word").select("slice", "log", "within", F.explode("pairs").alias("p"))
+    # a frequent word has a row in each slice of text, which one task would get: the frequent ones, no more than a parameter, are sent to all tasks
+    words, frequents = rows.where("word is not null").select("word", "slice", "pairs"), F.broadcast(own.select("word"))
+    met = words.join(F.broadcast(known.where("within = 0")), "word").unionByName(words.join(frequents, "word", "left_anti").join(known.where("within = 1"), "word"))
+    pair = met.select("slice", "log", "within", F.explode("pairs").alias("p"))
     times = F.col("p").bitwiseAND(65535)
     sums = pair.groupBy("slice", F.shiftrightunsigned("p", 16).alias("text")).agg(
         F.sum(times).alias("known"), F.sum(times * F.col("log")).alias("logs"), F.sum(times * F.col("log") * F.col("within")).alias("within")
