@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 import corpus_pipeline
-from tickloom.llm import chunk_dedup, hmm_lm, mixing, quality_rules, site_quality, suffix_dedup, vector_search
+from tickloom.llm import chunk_dedup, hmm_lm, mixing, near_sets, quality_rules, site_quality, suffix_dedup, vector_search
 
 from test_dedup import brute_print, brute_spans
 
@@ -268,3 +268,21 @@ def test_whole_score_by_loops(spark, monkeypatch):
         total = math.log10(sum(states))
         total += sum(math.log10((c[w] + 1) / (tokens[kind(w)] + types[kind(w)] + 1)) for w in t if w not in top)
         assert abs(got[i].score - total) < 1e-9
+
+
+def test_sets_of_odd_texts():
+    """No words, fewer words than a shingle, repeats and a long text: all of their shingles, each once."""
+    assert len(near_sets.shingles(b"", 5)) == len(near_sets.shingles(b" \n\t ", 5)) == 0
+    assert len(near_sets.shingles(b"one Two", 5)) == 1 and (near_sets.shingles(b"one Two", 5) == near_sets.shingles(b"ONE two", 5)).all()
+    assert len(near_sets.shingles(b"a " * 1000, 5)) == 1
+    assert len(near_sets.shingles(b" ".join(b"%d" % i for i in range(30_000)), 5)) == 29_996
+
+
+def test_odd_texts_in_bands(spark):
+    texts = [None, "", " \n ", "one two", "ONE  two", " ".join(map(str, range(6000))), " ".join(map(str, range(6000))) + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in near_sets.with_bands(docs, "text", 5).collect()}
+    assert [len(got[i]["__bands"]) for i in range(7)] == [0, 0, 0, 30, 30, 30, 30]
+    assert len({got[i]["__set"] for i in range(3)}) == 1 and got[3]["__set"] == got[4]["__set"]
+    assert got[5]["__size"] == 5996 and set(got[5]["__bands"]) & set(got[6]["__bands"])
+    assert near_sets.with_bands(docs.limit(0), "text", 5).count() == 0

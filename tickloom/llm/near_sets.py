@@ -7,6 +7,11 @@ more bits than the sets differ in shingles, so what they rule out can't be simil
 become rows and are checked on the sets. Pairs that are connected already aren't: first those are checked
 that would join most with least, then what is still apart. A crowded key's sets are dealt to blocks, and each
 pair of blocks is a task's work, so no task holds more than two blocks of a key.
+
+Defined cases: null, empty and blank texts have the empty set and no keys, so they are linked to each other
+alone (equal sets are one); a text of fewer words than a shingle is one shingle; a long text's shingles are all
+hashed, never a part of them; equal rows are one set; an empty table gives no links. Sketches have one width, so sets of more than some
+4,500 shingles that share a key are all checked: the result is the same, the pairs of such a key are more.
 """
 
 from __future__ import annotations
