@@ -55,7 +55,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of ``PASSAGE`` bytes that start elsewhere too.
 
     A cut may fall within a character, which then goes as a whole. Texts of which nothing is left go; null,
-    empty and shorter texts stay as they are.
+    empty and shorter texts stay as they are. ``docs`` has the columns of documents; n_chars is counted anew where a text is cut.
     """
     cut = suffix_dedup.remove_repeats(_own(docs), "own_doc_id", "own_text", length=PASSAGE, whole_characters=True)
     touched = F.size("removed_spans") > 0
