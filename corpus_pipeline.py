@@ -78,8 +78,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of up to 2048 ids: a row for each piece of a document.
 
     A null or empty text has just its end id; null ids and rows that repeat each other are packed like others.
+    Spark keeps Python workers for later stages, so they give up the tokenizer's pieces here.
     """
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, keep=False)
 
 
 STAGES = [

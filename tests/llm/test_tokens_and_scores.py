@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tickloom.llm import hmm_lm, mixing, packing, quality_rules, site_quality, token_files, vector_search
 from tickloom.llm.common import scratch
-from tickloom.llm.tokens import Encoder
+from tickloom.llm.tokens import Encoder, encoder
 
 WORD_FILE, BYTE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  a  b", "a\n\nb \n c", "\n x", "don't  stop'LL", "x<|endoftext|>y z", "İstanbul ΣΑΣ ς Σ", "é é x́ ﬁ", "!\x1c! a", "123 4567 a1b2", " lead", "trail ", "tab\tx \ty", "A'S it's ' s", "日本語 テスト", "a\x00b \x7f", "🙂 ok🙂🙂", "x.\ny", "a\xa0 b", "end\n"]
@@ -28,6 +29,15 @@ def test_encoder_equals_library(path, rows):
         assert got == [e.whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_workers_forget_pieces_after_a_task():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["some words again", None])], names=["doc_id", "text"])
+    first = list(token_files.token_batches([batch], path, 1))
+    assert len(encoder(path).known)
+    again = list(token_files.token_batches([batch], path, 1, keep=False))
+    assert again == first and not encoder(path).known and not encoder(path).known.old
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 5, token_files.LANES, 3 * token_files.ROUNDS * token_files.LANES + 77):

@@ -83,6 +83,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[at[0] : at[-1]], at - at[0]
 
 
+def released(run):
+    """``run``, a function of Arrow batches, that hands what Arrow's pool keeps back to the system after a task, as Spark keeps its workers."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def slices(offsets: np.ndarray, limit: int):
     """Consecutive runs (i, j) of rows whose texts hold about ``limit`` bytes together."""
     n, i = len(offsets) - 1, 0

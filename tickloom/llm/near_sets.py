@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, join_counted, list_array, materialize, text_bytes
+from .common import discard, join_counted, list_array, materialize, released, text_bytes
 from .components import components
 
 BANDS, ROWS = 30, 5
@@ -76,7 +76,7 @@ def with_bands(docs: DataFrame, text_col: str, words: int) -> DataFrame:
             own = [pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), list_array(keys, np.array([len(x) for x in bands], np.int64), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[f.name for f in fields])
 
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(released(run), T.StructType(fields))
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -165,7 +165,7 @@ def _candidates(here: DataFrame, facts: DataFrame, similarity: float, joining: b
                 i, j = np.where(turn, j, i), np.where(turn, i, j)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sets[i], sets[j], fp[i], fp[j])], schema=schema)
 
-    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(run, "a long, b long, fa long, fb long")
+    return rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(released(run), "a long, b long, fa long, fb long")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -183,7 +183,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    return joined.select("fa", "fb", "ha", "hb").mapInArrow(run, "a long, b long")
+    return joined.select("fa", "fb", "ha", "hb").mapInArrow(released(run), "a long, b long")
 
 
 def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -222,7 +222,7 @@ def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, s
             own = [pa.array([h.tobytes() for h in got], pa.binary()), pa.array([sketch(h) for h in got], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=["set", "hashes", "sketch"])
 
-    sets = materialize(texts.mapInArrow(hashes, "set long, hashes binary, sketch binary"), "hashes")
+    sets = materialize(texts.mapInArrow(released(hashes), "set long, hashes binary, sketch binary"), "hashes")
     facts = materialize(rooted_sets.join(sets.select("set", "sketch"), "set"), "facts")
     discard(wanted, rooted_sets)
     tried = materialize(_candidates(here, facts, similarity, True), "pairs")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_array, materialize, table
+from .common import binary_array, materialize, released, table
 from .token_files import id_and_text, token_batches
 
 LENGTH = 2048
@@ -96,7 +96,7 @@ def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN, read
         for rows in held.values():
             yield batch_of(rows)
 
-    pieces = materialize(tokens.mapInArrow(run, PIECES), "pieces")
+    pieces = materialize(tokens.mapInArrow(released(run), PIECES), "pieces")
 
     merged_schema = pa.schema([("old", pa.int64()), ("sequence_id", pa.int64()), ("base", pa.int64())])
 
@@ -122,9 +122,9 @@ def pack(tokens: DataFrame, length: int = LENGTH, open_windows: int = OPEN, read
     return closed.unionByName(moved.withColumn("offset", F.col("offset") + F.col("base")).select("sequence_id", *columns))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize and pack: the pieces of all texts, with their ids."""
-    return pack(id_and_text(docs, id_col, text_col), length, read=lambda b: token_batches(b, tokenizer_path, end_id))
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+    """Tokenize and pack: the pieces of all texts, with their ids; without ``keep``, workers forget the tokenizer's pieces after each task."""
+    return pack(id_and_text(docs, id_col, text_col), length, read=lambda b: token_batches(b, tokenizer_path, end_id, keep=keep))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import join_counted, materialize, row_key, slices, table, text_bytes
+from .common import join_counted, materialize, released, row_key, slices, table, text_bytes
 from .components import components
 from .near_sets import set_links, with_bands
 
@@ -66,7 +66,7 @@ def with_fingerprint(docs: DataFrame, text_col: str = "text", name: str = "finge
             got = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def trie_pairs(values: np.ndarray, groups: np.ndarray, fixed: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
             x, y = fp[own[i]], fp[own[j]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
 
-    return calm.repartition("block", "head", "sub", "subhead").mapInArrow(run, "a long, b long").distinct()
+    return calm.repartition("block", "head", "sub", "subhead").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", crowd: int = CROWD, more=None) -> DataFrame:

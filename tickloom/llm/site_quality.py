@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import list_array, materialize, slices, small, table, text_bytes
+from .common import list_array, materialize, released, slices, small, table, text_bytes
 from .quality_rules import measure
 
 #: Features of words, labelled rows that weights are fitted on, and documents that a feature is in at least.
@@ -92,7 +92,7 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
         if counts:
             yield close()
 
-    return labelled.select("text", "good").mapInArrow(run, "feature binary, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    return labelled.select("text", "good").mapInArrow(released(run), "feature binary, good long, bad long").groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
 
 
 def choose(labelled: DataFrame, features: int) -> list[bytes]:
@@ -120,7 +120,7 @@ def vectors(labelled: DataFrame, chosen: list[bytes]) -> DataFrame:
                     names=["id", "good", "features", "looks"],
                 )
 
-    return labelled.select("id", "text", "good").mapInArrow(run, "id long, good boolean, features array<int>, looks array<double>")
+    return labelled.select("id", "text", "good").mapInArrow(released(run), "id long, good boolean, features array<int>, looks array<double>")
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 300) -> np.ndarray:
@@ -175,7 +175,7 @@ def with_evidence(docs: DataFrame, text_col: str, chosen: list[bytes], weights:
                 parts.append(words + seen @ w[len(chosen) : -1] + w[-1] - prior)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts))], names=[*batch.schema.names, "evidence"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("evidence", T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField("evidence", T.DoubleType())]))
 
 
 def _strength(groups: DataFrame, share: float) -> float:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, join_counted, list_array, materialize, ragged, row_key, slices, table, text_bytes
+from .common import discard, join_counted, list_array, materialize, ragged, released, row_key, slices, table, text_bytes
 
 LENGTH = 400
 #: Bits of a place within a slice of text; the rest of a packed key is the hash.
@@ -135,7 +135,7 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
                     schema=schema,
                 )
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in schema.names))
+    return docs.mapInArrow(released(run), ", ".join(f"{c} long" for c in schema.names))
 
 
 # ---- the suffix array
@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     )
     # rows that repeat each other have one key and are cut twice; their strings are repeated anyway
     texts = per_text.join(docs, F.col("w_id").eqNullSafe(F.col("doc_id")) & (F.col("w_row") == F.col("row"))).select("text", "wanted")
-    cut = texts.mapInArrow(lambda b: _cut(b, length, crowd), "key long, d1 long, d2 long, copies long, pkey long, p1 long, p2 long, off long, bytes binary")
+    cut = texts.mapInArrow(released(lambda b: _cut(b, length, crowd)), "key long, d1 long, d2 long, copies long, pkey long, p1 long, p2 long, off long, bytes binary")
     cut = materialize(cut, "cut-segments")
     plain = cut.where("off = 0 and key = pkey and d1 = p1 and d2 = p2").select("key", "d1", "d2", "copies", "bytes")
     again = cut.where("not (off = 0 and key = pkey and d1 = p1 and d2 = p2)").groupBy("key", "d1", "d2").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     full = cut.where("not (off = 0 and key = pkey and d1 = p1 and d2 = p2)").select("key", "d1", "d2").distinct().groupBy("key").count().where(F.col("count") > crowd)
     full = materialize(full.select("key"), "full-keys")
     met = plain.unionByName(again.join(full, "key", "left_anti")).repartition("key").sortWithinPartitions("key", "d1", "d2")
-    sorted_ = met.mapInArrow(lambda b: _sort(b, length), "key long, d1 long, d2 long, spans array<int>")
+    sorted_ = met.mapInArrow(released(lambda b: _sort(b, length)), "key long, d1 long, d2 long, spans array<int>")
     sorted_ = sorted_.unionByName(_counted(again.join(full, "key", "left_semi"), length))
     marks = (
         cut.drop("bytes", "copies").join(sorted_, ["key", "d1", "d2"])
@@ -408,7 +408,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = [c for k, c in enumerate(batch.columns) if k != starts_at]
             yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[f.name for f in fields])
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    return joined.mapInArrow(released(run), T.StructType(fields))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,8 +115,8 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- the jobs
 
 
-def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = False):
-    """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text); ``narrow``: two bytes an id if all ids fit."""
+def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = False, keep: bool = True):
+    """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text); ``narrow``: two bytes an id if all ids fit; without ``keep``, the worker forgets its pieces after the task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
     code = encoder(tokenizer_path)
     # the end id may be beyond the vocabulary
@@ -128,6 +128,8 @@ def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = Fals
             ids, n = code.encode([t or "" for t in column.slice(i, j - i).to_pylist()])
             flat = np.insert(ids.astype(kind), np.cumsum(n), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n + 1), binary_array(flat, n + 1)], schema=schema)
+    if not keep:
+        code.forget()
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -82,6 +82,10 @@ class Encoder:
         self.model, self.blank = self.whole.model, self.letters[32]
         self.known = _Known({}, self._learn)
 
+    def forget(self) -> None:
+        """Give up the ids of all pieces, which take up to some 200 MB."""
+        self.known = _Known({}, self._learn)
+
     def turn(self) -> None:
         """Begin a new generation of pieces; those that are met again come over from the last."""
         self.known.old = {}
