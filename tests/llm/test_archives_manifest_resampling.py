@@ -6,9 +6,11 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -170,6 +172,18 @@ def test_resampling_equals_a_plain_loop(spark, rows, n, monkeypatch):
     assert sum(r[-1] is not None for r in got) > 5
 
 
+def test_a_slice_takes_few_times_its_text():
+    r = random.Random(7)
+    text = " ".join(f"w{r.randrange(20000)}" for _ in range(200_000)).encode()
+    given = np.frombuffer(text, np.uint8), np.array([0, len(text)], np.int64)
+    resampling.grams(*given, 2, 8)  # imports
+    tracemalloc.start()
+    resampling.grams(*given, 2, 8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(text)  # 21 while arrays stayed to the end
+
+
 def test_resampling_of_nothing(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b c " * 20)], "doc_id long, text string")
