@@ -38,6 +38,14 @@ def test_workers_forget_pieces_after_a_task():
     assert again == first and not encoder(path).known and not encoder(path).known.old
 
 
+def test_more_pieces_change_no_ids():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["Some words, some again", None])], names=["doc_id", "text"])
+    few = list(token_files.token_batches([batch], path, 2, True, most=1))
+    assert list(token_files.token_batches([batch], path, 2, True, most=token_files.PIECES)) == few
+    assert encoder(path, token_files.PIECES).most == token_files.PIECES > encoder(path).most
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 5, token_files.LANES, 3 * token_files.ROUNDS * token_files.LANES + 77):

@@ -37,6 +37,8 @@ LOW = np.uint64(1 << 31)
 BLOCK = 1 << 20
 #: Rounds of all lanes between two checkpoints.
 ROUNDS = 128
+#: Pieces that a worker remembers here: tokenizing is most of the job, and its tasks hold little else.
+PIECES = 600_000
 
 BLOCK_SCHEMA = (
     "shard int, block int, n_tokens long, doc_ids array<bigint>, doc_tokens array<int>, "
@@ -115,10 +117,10 @@ def tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 # ---- the jobs
 
 
-def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = False, keep: bool = True):
+def token_batches(batches, tokenizer_path: str, end_id: int, narrow: bool = False, keep: bool = True, most: int = 300_000):
     """Arrow batches of (doc_id, n_tokens, ids) from those of (doc_id, text); ``narrow``: two bytes an id if all ids fit; without ``keep``, the worker forgets its pieces after the task."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    code = encoder(tokenizer_path)
+    code = encoder(tokenizer_path, most)
     # the end id may be beyond the vocabulary
     kind = code.kind if narrow and end_id <= np.iinfo(code.kind).max else np.dtype("<u4")
     for batch in batches:
@@ -169,7 +171,7 @@ def count_ids(tokens: DataFrame) -> dict[int, int]:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
     """Encode all texts in ascending id order into a folder of the format above."""
     spark = docs.sparkSession
-    narrow = id_and_text(docs, id_col, text_col).mapInArrow(lambda b: token_batches(b, tokenizer_path, end_id, True), "doc_id long, n_tokens long, ids binary")
+    narrow = id_and_text(docs, id_col, text_col).mapInArrow(lambda b: token_batches(b, tokenizer_path, end_id, True, most=PIECES), "doc_id long, n_tokens long, ids binary")
     tokens = materialize(narrow, "token-ids")
     counts = count_ids(tokens)
     n = np.zeros(max(counts, default=0) + 1, np.int64)

@@ -153,8 +153,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file; Spark reuses workers, so what one task met helps the next."""
+def encoder(path: str, most: int = 300_000) -> Encoder:
+    """One encoder per worker process and file; Spark reuses workers, so what one task met helps the next. ``most``: pieces of a generation."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].most = most
     return _ENCODERS[path]
