@@ -155,6 +155,18 @@ def test_components_of_paths(spark):
     assert all(got[i] == 0 for i in range(51)) and {got[100], got[200], got[300]} == {100}
 
 
+@pytest.mark.parametrize("links, most", [([(i, 0) for i in range(1, 50)], 12), ([(i + 1, i) for i in range(40)], 60)])
+def test_components_run_few_jobs(spark, links, most):
+    # the driver keeps a record of every task; a star took 24 jobs, the path 74
+    spark.sparkContext.setJobGroup(f"few-jobs-{most}", "components")
+    try:
+        got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-jobs-{most}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {x: 0 for x in range(len(links) + 1)} and 0 < len(jobs) <= most
+
+
 def test_keep_one(docs, spark):
     kept = simhash.keep_one(docs)
     comp = simhash.simhash_documents(docs).where("doc_id <=> component_id").select("doc_id").distinct()

@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import discard, join_counted, list_array, materialize, released, text_bytes
-from .components import components
+from .components import members as members_of
+from .components import stars
 
 BANDS, ROWS = 30, 5
 #: Shingles hashed at a time.
@@ -187,17 +188,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """``links`` (a, b) between fingerprints and those by similar sets. printed: __print and the columns of with_bands."""
+    """(a, b) between fingerprints, with the components that ``links`` and those by similar sets make together. printed: __print and the columns of with_bands."""
     seen = printed.select("__print", "__set").distinct()
     # one fingerprint stands for each set
     stands = printed.groupBy("__set").agg(F.min("__print").alias("fp"), F.first("__size").alias("size"), F.first("__bands").alias("bands"))
     stands = materialize(stands, "sets")
     alike = seen.join(stands.select("__set", "fp"), "__set").where("fp <> __print").select(F.col("fp").alias("a"), F.col("__print").alias("b"))
-    links = materialize(links.unionByName(alike), "near-links")
+    linked = stars(links.unionByName(alike))
 
     def rooted(members: DataFrame) -> DataFrame:
         """Members with the root of their fingerprint's component."""
-        return members.join(components(links), members.fp == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+        return members.join(members_of(linked), members.fp == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
     def apart(sets: DataFrame) -> DataFrame:
         """(band, set, n): the sets of the n sets' buckets that hold several components."""
@@ -226,11 +227,11 @@ def set_links(printed: DataFrame, links: DataFrame, text_col: str, words: int, s
     facts = materialize(rooted_sets.join(sets.select("set", "sketch"), "set"), "facts")
     discard(wanted, rooted_sets)
     tried = materialize(_candidates(here, facts, similarity, True), "pairs")
-    links = materialize(links.unionByName(_similar(tried, sets, similarity)), "near-links")
+    linked = stars(linked.unionByName(_similar(tried, sets, similarity)))
 
     discard(here)
     again = materialize(rooted(facts.drop("root")), "facts")
     here = apart(again)
     rest = materialize(_candidates(here, again, similarity, False).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     discard(here, facts, again, tried)
-    return links.unionByName(_similar(rest, sets, similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return linked.unionByName(_similar(rest, sets, similarity))

@@ -160,16 +160,20 @@ def near_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(prints: DataFrame, id_col: str = "doc_id", crowd: int = CROWD, more=None) -> DataFrame:
-    """(fp, root, component_id, links), with ``more`` (a function of the links) over all links: the classes of (id, fingerprint) rows, each with the smallest id that it reaches; root tells components apart."""
+    """(fp, root, component_id, links): the classes of (id, fingerprint) rows, each with the smallest id that it reaches; root tells components apart.
+
+    ``more``, a function of the links, gives others that make the components instead; links are then not counted.
+    """
     classes = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("first_id")), "classes")
     links = materialize(near_links(classes.select("fp"), crowd), "near-links")
-    if more is not None:
-        links = materialize(more(links), "all-links")
-    roots = components(links)
+    roots = components(links if more is None else more(links))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    found = rooted.join(least, "root")
+    if more is not None:
+        return found.select("fp", "root", "component_id")
     degree = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("links"))
-    return rooted.join(least, "root").join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return found.join(degree, "fp", "left").select("fp", "root", "component_id", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def simhash_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
