@@ -46,6 +46,22 @@ def test_more_pieces_change_no_ids():
     assert encoder(path, token_files.PIECES).most == token_files.PIECES > encoder(path).most
 
 
+@pytest.mark.parametrize("path", [WORD_FILE, BYTE_FILE])
+def test_accented_words_are_learnt_without_the_pattern(path, monkeypatch):
+    e, words = Encoder(path), ["château", "ñandú", "ªº", "straße", "ƻǆ", "İx", "ÀÉ", "plain"]
+    wanted = [e.whole.encode(w if e.lowered else " " + w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(e.known[w], e.kind).tolist() for w in words] == wanted
+
+    class Unused:
+        def findall(self, text):
+            raise AssertionError(text)
+
+    monkeypatch.setattr("tickloom.llm.tokens._WORDS", Unused())
+    monkeypatch.setattr("tickloom.llm.tokens._BYTES", Unused())
+    e.forget()
+    assert [np.frombuffer(e.known[w], e.kind).tolist() for w in words[:4]] == wanted[:4]
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(1)
     for n in (1, 5, token_files.LANES, 3 * token_files.ROUNDS * token_files.LANES + 77):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import binary_array, materialize, scratch, slices, table
+from .common import binary_array, materialize, scratch, slices, table, text_bytes
 from .tokens import encoder
 
 BITS = 20
@@ -154,10 +154,11 @@ def count_ids(tokens: DataFrame) -> dict[int, int]:
     def run(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
-            n = batch.column(0).to_pylist()
-            if not n:
+            data, _ = text_bytes(batch.column(1))
+            if not len(data):
                 continue
-            got = np.bincount(np.concatenate([_ids_of(k, ids) for k, ids in zip(n, batch.column(1))]))
+            # all rows have the same bytes an id
+            got = np.bincount(data.view(np.uint16 if len(data) == 2 * pc.sum(batch.column(0)).as_py() else np.uint32))
             if len(got) > len(total):
                 total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
             total[: len(got)] += got

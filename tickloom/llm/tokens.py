@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import unicodedata
 from array import array
 
@@ -21,7 +20,9 @@ import regex
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space other than ASCII's, and control characters that Python alone counts as such.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The first letter that may have other forms; those before it are single characters in NFC.
+_FORMS = "\u0250"
 #: A space after other white space: a run that cutting at spaces would break.
 _RUNS = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
 #: White space next to which the end of a line may be no part of its own.
@@ -80,6 +81,9 @@ class Encoder:
         #: Two bytes an id if all ids fit.
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
         self.model, self.blank = self.whole.model, self.letters[32]
+        #: Letters without other forms, spelled in the byte-level alphabet.
+        self.spelled = {c: "".join(self.letters[b] for b in chr(c).encode()) for c in range(ord(_FORMS))}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known = _Known({}, self._learn)
 
     def forget(self) -> None:
@@ -92,7 +96,7 @@ class Encoder:
         self.known = _Known(self.known, self._learn)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _merged(self, spelled: str) -> bytes:
         return self._pack([t.id for t in self.model.tokenize(spelled)])
@@ -104,12 +108,16 @@ class Encoder:
     def _learn(self, piece: str) -> bytes:
         # most pieces are a word, or a word and one mark; the pattern cuts these the same way
         if piece.isalpha():
-            if piece.isascii() and (not self.lowered or piece.islower()):
-                return self._merged(piece if self.lowered else self.blank + piece)
+            if piece.isascii():
+                if not self.lowered or piece.islower():
+                    return array(self.code, [t.id for t in self.model.tokenize(piece if self.lowered else self.blank + piece)]).tobytes()
+            elif max(piece) < _FORMS and (not self.lowered or piece.lower() == piece):
+                spelled = piece.translate(self.spelled)
+                return array(self.code, [t.id for t in self.model.tokenize(spelled if self.lowered else self.blank + spelled)]).tobytes()
         elif piece[-1:] in ".,;:!?" and piece[:-1].isalpha():
             return self.known[piece[:-1]] + self._part(piece[-1])
         if self.lowered:
-            if not piece.isascii() and max(piece) >= "\u0250":
+            if not piece.isascii() and max(piece) >= _FORMS:
                 return self._pack(self.whole.encode(piece, add_special_tokens=False).ids)
             text = unicodedata.normalize("NFC", piece).lower()
         else:
@@ -120,7 +128,7 @@ class Encoder:
         return b"".join(map(self._part, parts))
 
     def _strange(self, text: str) -> bool:
-        return any(x in text for x in self.special) or "\0" in text or _ODD_SPACE.search(text) is not None
+        return any(x in text for x in self.special) or "\0" in text or any(map(text.__contains__, _ODD_SPACE))
 
     def _split(self, text: str) -> list[str] | None:
         """Pieces whose ids can be put one after another; None if the library must see the whole."""
