@@ -40,6 +40,51 @@ def test_suffix_removal(docs, rows, crowd):
         assert bytes(r.kept_bytes) == b"".join(t[a:b] for a, b in zip(e[::2], e[1::2]))
 
 
+@pytest.mark.parametrize("crowd", [4096, 1])
+def test_shorter_strings_are_told_apart_in_the_same_pass(spark, docs, rows, crowd):
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefghé ") for _ in range(n))
+
+    passage, end, tail = noise(330), noise(300), noise(700)
+    # in the middle, at both ends of texts, as whole texts, one text's end in another's middle, copies
+    odd = [noise(90) + passage + noise(500), passage + noise(410), noise(411) + end, noise(200) + end, end, passage, noise(50) + end + noise(600), tail, tail, noise(30) + tail, tail[:450], noise(245), noise(239)]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    texts = [(t or "").encode() for _, t, *_ in rows] + [t.encode() for t in odd]
+    ids = [r[0] for r in rows] + [1000 + i for i in range(len(odd))]
+    want = Counter((i, t, tuple(a), tuple(b)) for i, t, a, b in zip(ids, texts, brute_spans(texts, L), brute_spans(texts, 240)))
+    got = suffix_dedup.remove_repeats(d, crowd=crowd, shorter=240).collect()
+    assert Counter((r.doc_id, (r.text or "").encode(), tuple(r.removed_spans), tuple(r.shorter_spans)) for r in got) == want
+    assert any(b and not a for _, _, a, b in want)
+
+
+def test_shorter_strings_of_segments_that_end_with_their_text():
+    rng = random.Random(9)
+    for _ in range(30):
+        texts = [bytes(rng.choice(b"ab" if rng.random() < 0.7 else b"abcz") for _ in range(rng.randrange(7, 60))) for _ in range(8)]
+        texts.append(texts[0])
+        hits = suffix_dedup.repeated_strings([t + b"\xff" * 5 for t in texts], 12, 7)
+        for length, some in ((12, hits[:9]), (7, hits[9:])):
+            seen = Counter(t[s : s + length] for t in texts for s in range(len(t) - length + 1))
+            for t, h in zip(texts, some):
+                k = max(len(t) - length + 1, 0)
+                assert h.tolist() == [seen[t[s : s + length]] > 1 for s in range(k)] + [False] * (len(t) - 6 - k)
+
+
+def test_query_reports_passages_of_just_over_fifty_words(spark, tmp_path):
+    rng = random.Random(10)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(4, 7))) for _ in range(n))
+    passage = words(52)
+    assert 240 < len(passage) < L
+    texts = [words(60) + " " + passage + " " + words(40), passage + " " + words(80), words(150), words(90)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i].n_bytes == len(t) and got[i].n_removed == 0 for i, t in enumerate(texts))
+    assert all(len(passage) <= got[i].n_passage_bytes <= len(passage) + 2 and got[i].n_passages == 1 for i in (0, 1))
+    assert all(got[i].n_passage_bytes == got[i].n_passages == 0 for i in (2, 3))
+
+
 def test_no_group_outgrows_the_crowd(spark, monkeypatch):
     rng = random.Random(6)
 

@@ -15,6 +15,10 @@ by what the strings that start within 16 bytes of each other have in common. Whe
 parts have that in common too, each of their strings is counted by its own digest, so no group that
 meets in one task has more than ``crowd`` segments.
 
+Strings of a second, shorter length can be sought in the same pass: then anchors are those of the shorter
+strings (equal longer ones have them in common too), segments go on for as many bytes as the longer ones
+need, filled up with 255 past a text's end, and the same common prefixes tell both.
+
 Defined cases: a null text is an empty one; a text shorter than ``length`` loses nothing; rows that
 repeat others count as occurrences of their own; a null id is an id like any other; an empty table
 gives an empty result. Only the id and text columns are read; others pass through, but for those of the
@@ -34,6 +38,8 @@ from pyspark.sql import types as T
 from .common import discard, join_counted, list_array, materialize, ragged, released, row_key, slices, table, text_bytes
 
 LENGTH = 400
+#: Bytes of the shorter strings whose repeats the query reports without removing them: passages of some 50 words.
+PASSAGE = 240
 #: Bits of a place within a slice of text; the rest of a packed key is the hash.
 PLACE = 21
 #: Bytes that one pass of array operations looks at (small enough for a cache).
@@ -46,6 +52,8 @@ STEP = 16
 ROWS = 256
 #: Bytes of segments sorted at a time.
 CHUNK = 1 << 18
+#: A byte that is in no UTF-8 text.
+FILL = b"\xff"
 
 
 def byte_hashes() -> np.ndarray:
@@ -113,8 +121,8 @@ def _pieces(offsets: np.ndarray, length: int):
             yield i, j, at, min(b, at + step + length - 1)
 
 
-def segments(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each run: (doc_id, row, first, n, lead, key, d1, d2); d1, d2: a digest of the run's bytes."""
+def segments(docs: DataFrame, length: int, more: int = 0) -> DataFrame:
+    """A row for each run: (doc_id, row, first, n, lead, key, d1, d2); d1, d2: a digest of the run's bytes and of ``more`` that follow."""
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "row", "first", "n", "lead", "key", "d1", "d2")])
 
     def run(batches):
@@ -126,8 +134,10 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
                 text, first, n, anchor, h = runs(buf[a:b], local, length)
                 if not len(first):
                     continue
-                raw = buf[a:b].tobytes()
-                digest = b"".join([hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(first.tolist(), (first + n + length - 1).tolist())])
+                raw = buf[a : min(b + more, offsets[j])].tobytes()
+                last = first + n + length - 1 + more
+                over = np.maximum(last - (offsets[i + 1 : j + 1] - a)[text], 0)
+                digest = b"".join([hashlib.blake2b(raw[x : y - z] + FILL * z if z else raw[x:y], digest_size=16).digest() for x, y, z in zip(first.tolist(), last.tolist(), over.tolist())])
                 d = np.frombuffer(digest, np.int64).reshape(-1, 2)
                 at = pa.array(text + i)
                 yield pa.RecordBatch.from_arrays(
@@ -204,11 +214,14 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     return out
 
 
-def repeated_strings(parts: list[bytes], length: int) -> list[np.ndarray]:
-    """For each segment, which of its strings of ``length`` bytes also start elsewhere in the segments."""
+def repeated_strings(parts: list[bytes], length: int, shorter: int | None = None) -> list[np.ndarray]:
+    """For each segment, which of its strings of ``length`` bytes also start elsewhere in the segments.
+
+    With ``shorter``, those of its strings of so many bytes follow, segment by segment, and strings that run into ``FILL`` count for those alone.
+    """
     n = np.array([len(p) - length + 1 for p in parts])
     # 255 is in no UTF-8 text and larger than all of it: the last byte of each segment is of the smaller type
-    buf = np.frombuffer(b"\xff".join(parts) + b"\xff" * (length + 1), np.uint8)
+    buf = np.frombuffer(FILL.join(parts) + FILL * (length + 1), np.uint8)
     at = np.cumsum(n + length) - (n + length)
     own = np.zeros(len(buf), bool)
     own[ragged(at, n)] = True
@@ -220,11 +233,17 @@ def repeated_strings(parts: list[bytes], length: int) -> list[np.ndarray]:
     sort[ragged(last, stop - last + 1)] = True
     order = two_stage(buf, sort, length)
     order = order[own[order]]
-    same = common_prefixes(buf, order, length) >= length
-    hit = np.zeros(len(buf), bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    return [hit[a : a + k] for a, k in zip(at.tolist(), n.tolist())]
+    common = common_prefixes(buf, order, length)
+    out = []
+    for wanted in [length, shorter] if shorter else [length]:
+        same = common >= wanted
+        hit = np.zeros(len(buf), bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        if wanted == length and shorter:
+            hit[: 1 - length] &= buf[length - 1 :] != FILL[0]
+        out += [hit[a : a + k] for a, k in zip(at.tolist(), n.tolist())]
+    return out
 
 
 def _spans(mask: np.ndarray) -> list[int]:
@@ -237,21 +256,21 @@ def _spans(mask: np.ndarray) -> list[int]:
 # ---- the jobs
 
 
-def _cut(batches, length: int, crowd: int):
-    """Cut segments out of their texts; those of crowded anchors in parts of STEP strings."""
+def _cut(batches, length: int, crowd: int, more: int = 0):
+    """Cut segments out of their texts, with ``more`` bytes that follow; those of crowded anchors in parts of STEP strings."""
     names = ["key", "d1", "d2", "copies", "pkey", "p1", "p2", "off", "bytes"]
     kinds = [pa.int64()] * 8 + [pa.binary()]
     # a few hundred rows at a time: the lists of wanted segments are larger as Python objects than as columns
     for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         buf, offsets = text_bytes(batch.column(0))
         for k, wanted in enumerate(batch.column(1).to_pylist()):
-            text = buf[offsets[k] : offsets[k + 1]].tobytes()
+            text = buf[offsets[k] : offsets[k + 1]].tobytes() + FILL * more
             rows = []
             for w in wanted:
                 first, n, lead = w["first"], w["n"], w["lead"]
                 mine = (w["key"], w["d1"], w["d2"])
                 if w["kinds"] <= crowd:
-                    rows.append((*mine, w["copies"], *mine, 0, text[first : first + n + length - 1]))
+                    rows.append((*mine, w["copies"], *mine, 0, text[first : first + n + length - 1 + more]))
                     continue
                 s = 0
                 while s < n:
@@ -260,7 +279,7 @@ def _cut(batches, length: int, crowd: int):
                     e = min(n, (group + 1) * STEP + lead)
                     core = first + lead + group * STEP + STEP - 1
                     shared = hashlib.blake2b(text[core : core + length - STEP + 1], digest_size=8, key=str(group).encode()).digest()
-                    part = text[first + s : first + e + length - 1]
+                    part = text[first + s : first + e + length - 1 + more]
                     d = np.frombuffer(hashlib.blake2b(part, digest_size=16).digest(), np.int64)
                     rows.append((int(np.frombuffer(shared, np.int64)[0]), int(d[0]), int(d[1]), w["copies"], *mine, s, part))
                     s = e
@@ -268,21 +287,26 @@ def _cut(batches, length: int, crowd: int):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def _sort(batches, length: int):
+def _sort(batches, lengths: tuple[int, int | None]):
     """Suffix arrays over chunks of whole groups; in: (key, d1, d2, copies, bytes), sorted by key.
 
     A segment that stands for several is in the array twice, so that its strings are found there.
     """
-    names = ["key", "d1", "d2", "spans"]
+    names = ["key", "d1", "d2", "spans", "shorter"]
     held: list[tuple] = []
     size = 0
 
     def close():
-        found = repeated_strings([r[4] for r in held] + [r[4] for r in held if r[3] > 1], length)
-        spans = [_spans(f) for f in found[: len(held)]]
-        keep = [i for i, s in enumerate(spans) if s]
+        parts = [r[4] for r in held] + [r[4] for r in held if r[3] > 1]
+        found = repeated_strings(parts, *lengths)
+        both = [[_spans(f) for f in found[: len(held)]], [_spans(f) for f in found[len(parts) :][: len(held)]] or [[]] * len(held)]
+        keep = [i for i, s in enumerate(zip(*both)) if any(s)]
         return pa.RecordBatch.from_arrays(
-            [*(pa.array([held[i][c] for i in keep], pa.int64()) for c in range(3)), list_array(np.array([x for i in keep for x in spans[i]], np.int32), np.array([len(spans[i]) for i in keep]), pa.int32())], names=names
+            [
+                *(pa.array([held[i][c] for i in keep], pa.int64()) for c in range(3)),
+                *(list_array(np.array([x for i in keep for x in spans[i]], np.int32), np.array([len(spans[i]) for i in keep], np.int64), pa.int32()) for spans in both),
+            ],
+            names=names,
         )
 
     for batch in batches:
@@ -296,31 +320,35 @@ def _sort(batches, length: int):
         yield close()
 
 
-def _strings(batches, length: int):
-    """A row for each string of a part; in: (key, d1, d2, copies, bytes), out: (key, d1, d2, copies, at, s1, s2)."""
+def _strings(batches, length: int, shorter: int | None = None):
+    """A row for each string of a part; in: (key, d1, d2, copies, bytes), out: (key, d1, d2, copies, bytes, at, s1, s2)."""
     for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
         parts = batch.column(4).to_pylist()
-        n = np.array([len(p) - length + 1 for p in parts])
-        digest = b"".join([hashlib.blake2b(p[i : i + length], digest_size=16).digest() for p, k in zip(parts, n.tolist()) for i in range(k)])
-        d = np.frombuffer(digest, np.int64).reshape(-1, 2)
-        at = pa.array(np.repeat(np.arange(len(n)), n))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c).take(at) for c in range(4)), pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])],
-            names=["key", "d1", "d2", "copies", "at", "s1", "s2"],
-        )
-
-
-def _counted(parts: DataFrame, length: int) -> DataFrame:
-    """(key, d1, d2, spans): what the suffix arrays give, by counting the strings of each part; equal ones add up before they are moved."""
-    strings = materialize(parts.mapInArrow(lambda b: _strings(b, length), "key long, d1 long, d2 long, copies long, at int, s1 long, s2 long"), "crowded-strings")
-    repeated = strings.groupBy("s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").select("s1", "s2")
-    found = strings.join(materialize(repeated, "repeated-strings"), ["s1", "s2"])
-    return found.groupBy("key", "d1", "d2").agg(F.flatten(F.collect_list(F.array("at", "at"))).alias("spans"))
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, row, starts): first and last start of runs of repeated strings. docs: (doc_id, row, text)."""
-    found = materialize(segments(docs, length), "segments")
+        for size in [length, shorter] if shorter else [length]:
+            # strings that run into what fills up a text's end are no strings of the text
+            n = np.array([len(p.rstrip(FILL) if size == length else p[: len(p) - length + size]) - size + 1 for p in parts]).clip(0)
+            digest = b"".join([hashlib.blake2b(p[i : i + size], digest_size=16).digest() for p, k in zip(parts, n.tolist()) for i in range(k)])
+            d = np.frombuffer(digest, np.int64).reshape(-1, 2)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in range(4)), pa.array(np.full(len(d), size, np.int32)), pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()), pa.array(d[:, 0]), pa.array(d[:, 1])],
+                names=["key", "d1", "d2", "copies", "bytes", "at", "s1", "s2"],
+            )
+
+
+def _counted(parts: DataFrame, length: int, shorter: int | None = None) -> DataFrame:
+    """(key, d1, d2, spans, shorter): what the suffix arrays give, by counting the strings of each part; equal ones add up before they are moved."""
+    strings = materialize(parts.mapInArrow(lambda b: _strings(b, length, shorter), "key long, d1 long, d2 long, copies long, bytes int, at int, s1 long, s2 long"), "crowded-strings")
+    repeated = strings.groupBy("bytes", "s1", "s2").agg(F.sum("copies").alias("n")).where("n > 1").select("bytes", "s1", "s2")
+    found = strings.join(materialize(repeated, "repeated-strings"), ["bytes", "s1", "s2"])
+    at = lambda size: F.flatten(F.collect_list(F.when(size, F.array("at", "at"))))
+    return found.groupBy("key", "d1", "d2").agg(at(F.col("bytes") == length).alias("spans"), at(F.col("bytes") != length).alias("shorter"))
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, shorter: int | None = None) -> DataFrame:
+    """(doc_id, row, starts, shorter_starts): first and last start of runs of repeated strings, of ``length`` bytes and of ``shorter``. docs: (doc_id, row, text)."""
+    dealt, more = (shorter, length - shorter) if shorter else (length, 0)
+    found = materialize(segments(docs, dealt, more), "segments")
     keys = materialize(found.groupBy("key").agg(F.count("*").alias("total")).where("total > 1"), "shared-keys")
     shared = materialize(join_counted(found, keys, ["key"], "total", found.count()).drop("total"), "shared-segments")
     discard(found, keys)
@@ -335,7 +363,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     )
     # rows that repeat each other have one key and are cut twice; their strings are repeated anyway
     texts = per_text.join(docs, F.col("w_id").eqNullSafe(F.col("doc_id")) & (F.col("w_row") == F.col("row"))).select("text", "wanted")
-    cut = texts.mapInArrow(released(lambda b: _cut(b, length, crowd)), "key long, d1 long, d2 long, copies long, pkey long, p1 long, p2 long, off long, bytes binary")
+    cut = texts.mapInArrow(released(lambda b: _cut(b, dealt, crowd, more)), "key long, d1 long, d2 long, copies long, pkey long, p1 long, p2 long, off long, bytes binary")
     cut = materialize(cut, "cut-segments")
     plain = cut.where("off = 0 and key = pkey and d1 = p1 and d2 = p2").select("key", "d1", "d2", "copies", "bytes")
     again = cut.where("not (off = 0 and key = pkey and d1 = p1 and d2 = p2)").groupBy("key", "d1", "d2").agg(F.sum("copies").alias("copies"), F.first("bytes").alias("bytes"))
@@ -343,14 +371,15 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
     full = cut.where("not (off = 0 and key = pkey and d1 = p1 and d2 = p2)").select("key", "d1", "d2").distinct().groupBy("key").count().where(F.col("count") > crowd)
     full = materialize(full.select("key"), "full-keys")
     met = plain.unionByName(again.join(full, "key", "left_anti")).repartition("key").sortWithinPartitions("key", "d1", "d2")
-    sorted_ = met.mapInArrow(released(lambda b: _sort(b, length)), "key long, d1 long, d2 long, spans array<int>")
-    sorted_ = sorted_.unionByName(_counted(again.join(full, "key", "left_semi"), length))
+    sorted_ = met.mapInArrow(released(lambda b: _sort(b, (length, shorter))), "key long, d1 long, d2 long, spans array<int>, shorter array<int>")
+    sorted_ = sorted_.unionByName(_counted(again.join(full, "key", "left_semi"), length, shorter))
+    moved = lambda by: [F.transform(c, lambda x: x + F.col(by)).alias(c) for c in ("spans", "shorter")]
     marks = (
         cut.drop("bytes", "copies").join(sorted_, ["key", "d1", "d2"])
-        .select(F.col("pkey").alias("key"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), F.transform("spans", lambda x: x + F.col("off")).alias("spans"))
+        .select(F.col("pkey").alias("key"), F.col("p1").alias("d1"), F.col("p2").alias("d2"), *moved("off"))
     )
-    starts = shared.join(marks, ["key", "d1", "d2"]).select("doc_id", "row", F.transform("spans", lambda x: x + F.col("first")).alias("starts"))
-    return starts.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    starts = shared.join(marks, ["key", "d1", "d2"]).select("doc_id", "row", *moved("first"))
+    return starts.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("spans")).alias("starts"), F.flatten(F.collect_list("shorter")).alias("shorter_starts"))
 
 
 def _removed(starts: list[int] | None, size: int, length: int) -> list[tuple[int, int]]:
@@ -380,18 +409,24 @@ def _whole(raw: bytes, edges: list[int]) -> list[int]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, whole_characters: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, crowd: int = CROWD, whole_characters: bool = False, shorter: int | None = None
+) -> DataFrame:
     """``docs`` with removed_spans (array of from, to in bytes) and kept_bytes (the other bytes) per row.
 
     With ``whole_characters``, kept_bytes also loses what a cut within a character leaves of it, so it is UTF-8.
+    With ``shorter``, less than ``length``, shorter_spans has the bytes that a string of so many bytes covers which also starts anywhere else; they stay.
     """
-    docs = docs.drop("removed_spans", "kept_bytes")
+    if shorter and not 0 < shorter < length:
+        raise ValueError(f"shorter strings of {shorter} bytes are sought along with those of {length}")
+    added = {"removed_spans": T.ArrayType(T.LongType()), "kept_bytes": T.BinaryType()} | ({"shorter_spans": T.ArrayType(T.LongType())} if shorter else {})
+    docs = docs.drop(*added)
     keyed = docs.withColumn("__row", row_key(id_col, text_col))
     texts = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    spans = repeated_spans(texts, length, crowd).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__key"), F.col("starts").alias("__starts"))
+    spans = repeated_spans(texts, length, crowd, shorter).select(F.col("doc_id").alias("__doc"), F.col("row").alias("__key"), F.col("starts").alias("__starts"), F.col("shorter_starts").alias("__shorter"))
     joined = keyed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__key")), "left").drop("__doc", "__key", "__row")
-    at, starts_at = joined.columns.index(text_col), joined.columns.index("__starts")
-    fields = [*docs.schema.fields, T.StructField("removed_spans", T.ArrayType(T.LongType())), T.StructField("kept_bytes", T.BinaryType())]
+    at, starts_at, shorter_at = (joined.columns.index(c) for c in (text_col, "__starts", "__shorter"))
+    fields = [*docs.schema.fields, *(T.StructField(c, kind) for c, kind in added.items())]
 
     def run(batches):
         for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
@@ -405,22 +440,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if whole_characters and gone:
                     edge = _whole(raw, edge)
                 kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])))
-            own = [c for k, c in enumerate(batch.columns) if k != starts_at]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())], names=[f.name for f in fields])
+            new = [pa.array(spans, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+            if shorter:
+                sizes = np.diff(offsets).tolist()
+                new.append(pa.array([[x for ab in _removed(starts, size, shorter) for x in ab] for starts, size in zip(batch.column(shorter_at).to_pylist(), sizes)], pa.list_(pa.int64())))
+            own = [c for k, c in enumerate(batch.columns) if k not in (starts_at, shorter_at)]
+            yield pa.RecordBatch.from_arrays([*own, *new], names=[f.name for f in fields])
 
     return joined.mapInArrow(released(run), T.StructType(fields))
 
 
+def _covered(spans: str):
+    """Bytes that the spans of a column (from, to, ...) cover."""
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("k"))
+    return F.aggregate(spans, zero, lambda a, x: F.struct((a.s + x * a.k).alias("s"), (-a.k).alias("k")), lambda a: a.s)
+
+
+def _count(spans: str):
+    return (F.size(spans) / 2).cast("long")
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    pairs = F.size("removed_spans")
-    removed = F.aggregate("removed_spans", F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).cast("long").alias("k")), lambda a, x: F.struct((a.s + x * a.k).alias("s"), (-a.k).alias("k")), lambda a: a.s)
+    """What goes of each text, by strings of ``LENGTH`` bytes; and, as it stays, what strings of ``PASSAGE`` bytes cover that start elsewhere too."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), shorter=PASSAGE)
+    removed = _covered("removed_spans")
     return out.select(
         "doc_id",
         (F.octet_length("kept_bytes") + removed).cast("long").alias("n_bytes"),
         removed.alias("n_removed"),
-        (pairs / 2).cast("long").alias("n_spans"),
+        _count("removed_spans").alias("n_spans"),
         F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        _covered("shorter_spans").alias("n_passage_bytes"),
+        _count("shorter_spans").alias("n_passages"),
     )
 
 
