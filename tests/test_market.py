@@ -1,5 +1,8 @@
 """Bars, order flow, alignment, analytics and alerts on small tables."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +48,32 @@ def test_asof(spark):
     assert near == {5: 1.0, 10: 1.0, 14: 1.0, 15: 1.0, 30: 2.0}
 
 
+def test_nearest_over_blocks_is_a_plain_loop(spark):
+    rng = random.Random(4)
+    # blocks of 10: many without marks, times below zero and at edges, a mark without value, a key without marks, probes and marks without time
+    marks = [(k, t, None if t % 7 == 0 else float(t)) for k in "AB" for t in rng.sample(range(-300, 300), 12)] + [("A", None, 5.0), ("B", 400, 4.0)]
+    probes = [(k, i, None if i % 25 == 0 else rng.choice([rng.randrange(-400, 500), 10 * rng.randrange(-40, 50)])) for k in "ABC" for i in range(200)]
+    got = align.asof_nearest(spark.createDataFrame(probes, "symbol string, seq long, time long"), spark.createDataFrame(marks, "symbol string, time long, v double"), "v", block=10)
+
+    def near(key, time):
+        of = [(abs(t - time), t, v) for k, t, v in marks if k == key and t is not None] if time is not None else []
+        _, t, v = min(of, default=(None, None, None))
+        return v, t
+
+    assert got.columns == ["symbol", "seq", "time", "near_v", "near_time"]
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[:2]) == [(k, i, t, *near(k, t)) for k, i, t in sorted(probes, key=lambda r: r[:2])]
+
+
+def test_nearest_takes_time_in_proportion(spark):
+    n = 60_000
+    probes = spark.range(n).select(F.lit("A").alias("symbol"), F.col("id").alias("time"))
+    marks = probes.where("time % 100 = 0").withColumn("v", F.col("time").cast("double"))
+    began = time.perf_counter()
+    # all in one block; when each row went through all later ones this took minutes
+    got = align.asof_nearest(probes, marks, "v", block=n).where("abs(time - near_time) <= 50 or time > near_time and near_time = 59900").count()
+    assert got == n and time.perf_counter() - began < 60
+
+
 def test_value_area_grows_to_the_larger_neighbour(spark):
     p = spark.createDataFrame([(float(i), float(t)) for i, t in enumerate([1, 5, 3, 10, 3, 4, 9, 1])], "price double, total double")
     r = orderflow.value_area(p, 0.5).first()

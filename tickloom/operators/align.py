@@ -35,17 +35,27 @@ def asof_backward(probes: DataFrame, marks: DataFrame, value: str, key: str = "s
     return seen.select("probe.*", F.col("b.mark").alias(f"asof_{value}"), F.col("b.mark_time").alias("asof_time"))
 
 
-def asof_nearest(probes: DataFrame, marks: DataFrame, value: str, key: str = "symbol") -> DataFrame:
-    """``probes`` with the mark nearest in time; of two as near the earlier."""
-    both = _merged(probes, marks, key, value)
-    mark = F.when(F.col("kind") == 0, F.struct("mark", "mark_time"))
-    order = Window.partitionBy(key).orderBy("time", "kind")
-    # marks of a probe's own time stand before it, so the later side has none of them
-    seen = (
-        both.withColumn("b", F.last(mark, True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("f", F.first(mark, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-        .where("kind = 1")
-    )
+def asof_nearest(probes: DataFrame, marks: DataFrame, value: str, key: str = "symbol", block: int = 86_400) -> DataFrame:
+    """``probes`` with the mark nearest in time; of two as near the earlier, and null for a probe without time.
+
+    Rows meet by key and ``block`` of time, so one key is the work of many tasks. The last mark before a block
+    and the first after it stand in the block too; they come from the ends of the blocks that have marks.
+    """
+    at = F.floor(F.col("time") / block).alias("block")
+    mark = F.struct(F.col(value).alias("mark"), F.col("time").alias("mark_time"))
+    own = marks.where("time is not null").select(key, at, mark.alias("m"))
+    ends = own.groupBy(key, "block").agg(F.min_by("m", "m.mark_time").alias("first"), F.max_by("m", "m.mark_time").alias("last"))
+    # a block of both kinds has two rows; its own marks among the edges change nothing
+    blocks = probes.where("time is not null").select(key, at).distinct().unionByName(ends, allowMissingColumns=True)
+    up, down = (Window.partitionBy(key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("block"), F.desc("block")))
+    edges = blocks.select(key, "block", F.array(F.last("last", True).over(up), F.last("first", True).over(down)).alias("ms")).select(key, "block", F.explode("ms").alias("m")).where("m is not null")
+    right = own.unionByName(edges).select(key, "block", F.col("m.mark_time").alias("time"), "m", F.lit(0).alias("kind"))
+    left = probes.select(key, at, "time", F.struct(*probes.columns).alias("probe"), F.lit(1).alias("kind"))
+    # marks of a probe's own time stand before it, both up and down, so the later side has none of them; a frame that
+    # ends at the last row instead would be gone through anew for each row
+    w = Window.partitionBy(key, "block")
+    up, down = (w.orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ((F.asc("time"), F.asc("kind")), (F.desc("time"), F.desc("kind"))))
+    seen = left.unionByName(right, allowMissingColumns=True).withColumn("b", F.last("m", True).over(up)).withColumn("f", F.last("m", True).over(down)).where("kind = 1")
     earlier = F.col("f").isNull() | (F.col("b").isNotNull() & (F.col("time") - F.col("b.mark_time") <= F.col("f.mark_time") - F.col("time")))
     best = F.when(earlier, F.col("b")).otherwise(F.col("f"))
     return seen.select("probe.*", best.getField("mark").alias(f"near_{value}"), best.getField("mark_time").alias("near_time"))
